@@ -4,9 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, small_table
 from .line_quality import line_quality
+from .packing import pack
 from .ring_shards import ring_shards
+from .simhash import simhash_components
+from .url_rules import judge_urls
+
+#: The rules of the URL query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [{"host": h, "path": p, "action": a} for h, p, a in URL_RULES]
+    return judge_urls(read_table(spark, sf_dir, "pages"), small_table(spark, rules, "host string, path string, action string"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,4 +57,17 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    longest = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{a} {h}{p}'" for h, p, a in longest
+    )
+    return {
+        "op3_url_rules": f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), judged AS (SELECT page_id, host, path, CASE {fits} END AS hit FROM parts)
+SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule, coalesce(split_part(hit, ' ', 1), 'allow') AS verdict FROM judged""",
+    }
