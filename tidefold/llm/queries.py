@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table, small_table
+from .decontamination import contaminated
+from .language_id import identify
 from .line_quality import line_quality
 from .packing import pack
 from .ring_shards import ring_shards
@@ -48,6 +51,15 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return identify(read_table(spark, sf_dir, "documents"), F.coalesce(held_out, F.lit(False)))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(read_table(spark, sf_dir, "documents"))
 
