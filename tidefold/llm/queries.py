@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, small_table
 from .decontamination import contaminated
+from .html_text import extract
 from .language_id import identify
 from .line_quality import line_quality
 from .packing import pack
@@ -30,6 +31,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), word_tokenizer())
 
