@@ -1,15 +1,21 @@
 import collections
+import random
 import zlib
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from tidefold.llm.packing import pack
+from tidefold.llm.packing import Encoder, encode_texts, pack
 from tidefold.llm.queries import word_tokenizer
 
 
-def ids_of(text):
-    return [*Tokenizer.from_file(word_tokenizer()).encode(text or "", add_special_tokens=False).ids, 1]
+def test_chunks_give_the_tokens_of_the_text():
+    tok, rng = Tokenizer.from_file(word_tokenizer()), random.Random(1)
+    parts = [*"abcXYZ 0159\n\t'sÉéßΣσİ\u0301  \x1c.,!<|>你👩\u200d \u200b\x85()=-@", "<|endoftext|>", "'re ", " <|startoftext|>", "ΑΣ", "straße ", "Éau,", "word.", "\u00b5"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    for text, ids in zip(texts, encode_texts([t.encode() for t in texts], word_tokenizer())):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    assert Encoder(word_tokenizer()).direct
 
 
 def check(rows, out, length):

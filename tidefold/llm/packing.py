@@ -21,9 +21,10 @@ documents of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,45 +35,99 @@ from pyspark.sql import types as T
 from .common import written
 
 #: Chunks a worker remembers, and bytes of text that it splits at once.
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
+REMEMBERED, AT_ONCE = 300_000, 1 << 20
 
-_tokenizers: dict[str, object] = {}
-_chunks: dict[str, dict[bytes, bytes]] = {}
+#: Letters that normal forms leave alone, then marks that make one piece: the tokenizer's first steps keep such a
+#: chunk as these two pieces, so its model can be asked directly. All other chunks go through the whole tokenizer.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:%&*$#|()=+@-]*)")
 
 
-def tokenizer_of(path: str):
-    if path not in _tokenizers:
+class Encoder:
+    """Little-endian 32-bit ids of texts; ids of chunks and of their pieces are remembered, within a bound."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].no_truncation()
-        _tokenizers[path].no_padding()
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.chunks, self.old_chunks = {}, {}
+        self.pieces, self.old_pieces = {}, {}
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in kept]
+        self.byte_letters = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(moved)}
+        self.direct = self.agrees()
+
+    def agrees(self) -> bool:
+        """Whether this tokenizer treats plain chunks as described; another kind of tokenizer never takes the short way."""
+        probes = ["Word.", "straße", "É", "naïve,", "ÿ!?", "a", "übermäßigerweise;;", "Aa%%%"]
+        try:
+            return all(self.plain(p.encode()) == self.whole([p])[0] for p in probes)
+        except Exception:  # a model that cannot be asked for single pieces
+            return False
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", c.ids).tobytes() for c in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def piece(self, text: bytes) -> bytes:
+        known = self.pieces.get(text)
+        if known is None:
+            known = self.old_pieces.get(text)
+            if known is None:
+                letters = text.decode() if text.isascii() else "".join(map(self.byte_letters.__getitem__, text))
+                known = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            self.pieces[text] = known
+        return known
+
+    def plain(self, chunk: bytes) -> bytes | None:
+        if chunk.isalpha():  # ASCII letters only
+            return self.piece(chunk.lower())
+        if found := PLAIN.fullmatch(chunk.decode()):
+            return self.piece(found[1].lower().encode()) + (self.piece(found[2].encode()) if found[2] else b"")
+        return None
+
+    def learn(self, new: set[bytes]) -> None:
+        others = []
+        for chunk in new:
+            ids = self.old_chunks.get(chunk) or (self.plain(chunk) if self.direct else None)
+            if ids is None:
+                others.append(chunk)
+            else:
+                self.chunks[chunk] = ids
+        if others:
+            self.chunks.update(zip(others, self.whole([c.decode() for c in others])))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out, k = [], 0
+        while k < len(texts):
+            split, size = [], 0
+            while k < len(texts) and (not split or size < AT_ONCE):
+                split.append(texts[k].split())
+                size += len(texts[k])
+                k += 1
+            # What was not used since the last time is forgotten.
+            if len(self.chunks) > REMEMBERED:
+                self.chunks, self.old_chunks = {}, self.chunks
+            if len(self.pieces) > REMEMBERED:
+                self.pieces, self.old_pieces = {}, self.pieces
+            self.learn(set().union(*split).difference(self.chunks))
+            out += [b"".join(map(self.chunks.__getitem__, words)) for words in split]
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text."""
-    known = _chunks.setdefault(path, {})
-    out, k = [], 0
-    while k < len(texts):
-        split, size = [], 0
-        while k < len(texts) and (not split or size < AT_ONCE):
-            split.append(texts[k].split())
-            size += len(texts[k])
-            k += 1
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*split).difference(known))
-        if new:
-            coded = tokenizer_of(path).encode_batch([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
-        out += [b"".join(map(known.__getitem__, words)) for words in split]
-    return out
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """A row per document, with its tokens' running sum in its queue within this task."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = end_id.to_bytes(4, "little")
     block, row, sums = TaskContext.get().partitionId(), 0, {}
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
