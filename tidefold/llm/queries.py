@@ -9,6 +9,7 @@ from .common import read_table, small_table
 from .decontamination import contaminated
 from .html_text import extract
 from .language_id import identify
+from .line_dedup import dedup_lines
 from .line_quality import line_quality
 from .packing import pack
 from .ring_shards import ring_shards
@@ -56,6 +57,11 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("clean_text").alias("text"), "n_removed_lines", "n_removed_words")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
