@@ -14,6 +14,7 @@ from .line_quality import line_quality
 from .packing import pack
 from .ring_shards import ring_shards
 from .simhash import simhash_components
+from .surrogates import replace_entities
 from .url_rules import judge_urls
 
 #: The rules of the URL query.
@@ -45,6 +46,11 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), small_table(spark, rules, "host string, path string, action string"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replace_entities(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("clean_text").alias("text"), "n_entities")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
