@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless the path that they inherit has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    application = spark.sparkContext.applicationId
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or application in _shipped:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tidefold.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "tidefold")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(application)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it outlives executors and cuts the lineage."""
     spark = df.sparkSession

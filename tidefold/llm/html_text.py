@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 #: Classes of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title".split())
@@ -305,6 +307,7 @@ def fit(pages: DataFrame, html: str, fit_pages: int) -> Model:
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", fit_pages: int = 2000) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages."""
+    ship(pages.sparkSession)
     model = fit(pages, html, fit_pages)
     chosen = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
 

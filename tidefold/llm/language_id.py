@@ -27,6 +27,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 SIZES = (3, 4)
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 HASHES = 4
@@ -168,6 +170,7 @@ def identify(
     slots: int = 1 << 20,
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row for each row of docs. Rows that are held out teach nothing."""
+    ship(docs.sparkSession)
     model = fit(docs.where(~held_out), text, lang, fit_rows, grams, slots)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))

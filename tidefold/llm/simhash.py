@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import ship, written
 from .components import components
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +63,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    ship(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +152,87 @@ def simhash_components(
     """(doc_id, fingerprint, component_id), a row for each row of docs."""
     prints = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(links(classes.select("fp"), max_bits, full)).select(F.col("node").alias("fp"), "root")
+    return labelled(prints, classes, links(classes.select("fp"), max_bits, full))
+
+
+def labelled(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(labelled, "fp").select(
+    ids = rooted.join(least, "root").select("fp", "component_id")
+    return prints.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def shingle_set(text: bytes, shingle: int) -> set[bytes]:
+    words = text.translate(LOWERED).split()
+    if len(words) < shingle:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
+def sampled_references(tables: int, bits: int) -> list[int]:
+    """Masks of so many bits; a table compares fingerprints by their distances to the mask's single-bit references."""
+    rng = np.random.default_rng(11)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
+def wide_candidates(fps: DataFrame, max_bits: int, tables: int, bits: int, near: int) -> DataFrame:
+    """(a, b): pairs up to max_bits apart that agree on the references of some table, most of those there are.
+
+    In a table, fingerprints that agree are compared with the near next ones in their order, in blocks, so that a
+    crowded place costs near for each member and not the square."""
+    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in sampled_references(tables, bits)])
+    keyed = fps.select("fp", F.inline(F.transform(masks, lambda m, k: F.struct(k.alias("t"), F.col("fp").bitwiseAND(m).alias("key")))))
+    order = F.row_number().over(W.partitionBy("t", "key").orderBy("fp"))
+    placed = keyed.withColumn("k", order).withColumn("block", F.floor(F.col("k") / near).cast("int"))
+    after = placed.select("t", "key", F.col("fp").alias("b"), F.col("k").alias("k2"), F.explode(F.array("block", F.col("block") - 1)).alias("block"))
+    met = placed.join(after, ["t", "key", "block"]).where((F.col("k2") > F.col("k")) & (F.col("k2") - F.col("k") <= near))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_bits
+    return met.where(close).select(F.col("fp").alias("a"), "b").distinct()
+
+
+def similar(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column("x").cast(pa.binary()).to_pylist(), batch.column("y").cast(pa.binary()).to_pylist()):
+            p, q = shingle_set(x, shingle), shingle_set(y, shingle)
+            out.append(len(p & q) >= least * len(p | q))
+        yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    max_bits: int = 14,
+    tables: int = 40,
+    bits: int = 13,
+    near: int = 32,
+) -> DataFrame:
+    """(doc_id, fingerprint, component_id): groups of documents whose sets of shingles have this Jaccard similarity.
+
+    Fingerprints up to two bits apart are linked as above. Similarities near 0.8 part fingerprints by ten bits and
+    more, which pivots cannot tell from chance, so wider candidates come from tables of sampled single-bit references
+    and are verified on the texts of their representatives."""
+    prints = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    wide = written(wide_candidates(classes.select("fp"), max_bits, tables, bits, near), "wide-candidates")
+    asked = wide.select(F.col("a").alias("fp")).unionByName(wide.select(F.col("b").alias("fp"))).distinct()
+    ids = classes.join(asked, "fp", "left_semi").withColumnRenamed("least", "doc_id")
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    found = source.join(ids, source["doc_id"].eqNullSafe(ids["doc_id"])).select("fp", "x")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # of several texts under one id, those with this fingerprint
+            texts = batch.column("x").cast(pa.binary()).to_pylist()
+            ok = [fingerprint(t, shingle) == fp for t, fp in zip(texts, batch.column("fp").to_pylist())]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    texts = written(found.mapInArrow(own, "fp long, x string").groupBy("fp").agg(F.min("x").alias("x")), "candidate-texts")
+    pairs = wide.join(texts.withColumnRenamed("fp", "a"), "a").join(texts.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
+    linked = pairs.select("a", "b", "x", "y").mapInArrow(lambda b: similar(b, shingle, similarity), "a long, b long")
+    return labelled(prints, classes, links(classes.select("fp")).unionByName(linked))

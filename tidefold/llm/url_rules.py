@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ends a label in a key; below every character of a host, so a host sorts right before its subdomains.
 END = "\x01"
@@ -110,6 +112,7 @@ def judge_urls(
     pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow", block_rules: int = 100_000
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages; rules has host, path, action."""
+    ship(pages.sparkSession)
     rules = rules.select("host", "path", "action")
     found = rules.limit(block_rules + 1).collect()
     if len(found) <= block_rules:
