@@ -1,14 +1,136 @@
-"""Validation of report payloads."""
+"""Validation of report payloads: declared fields are cast, everything else is dropped, and a report with any bad field
+is rejected with the list of what is wrong. All of it is column expressions on one parsed VARIANT, without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import semver
+from ..functions import casting
+from ..functions.keys import origin_of, semver
+from ..schemas import KINDS, Field, column_of
 
+MAX_ISSUES, MAX_VALUE = 20, 256
 #: Fixed values of the version gate.
 AFTER_VERSION, FROM_REPORTER, REPORTER = "7.9.1", "3.6.0", "Reporter "
+#: A number in JSON that may not fit a double: three digits of exponent, or very many digits.
+HUGE = r"-?[0-9]+(?:\.[0-9]+)?[eE]\+?[0-9]{3,}|-?[0-9]{309,}(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+
+ARRAYS = ("integerArray", "numberArray", "nestedIntegerArray")
+ISSUE = "struct<path:string,code:string,expected_type:string,received_type:string,invalid_value:string,received_size:int>"
+
+
+def parse_reports(df: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
+    """(reports with the object as VARIANT v, rejected with a message). data is a JSON object, or a JSON text of
+    one. Of repeated keys the last counts if spark.sql.variant.allowDuplicateKeys is true; else they reject."""
+    parsed = F.try_parse_json(data)
+    inner = F.when(casting.type_of(F.col("_v")) == "string", F.try_parse_json(casting.get(F.col("_v"), "string"))).otherwise(F.col("_v"))
+    judged = df.withColumn("_v", parsed).withColumn("v", inner).drop("_v")
+    message = F.when(F.col("v").isNull(), "data must be valid JSON").when(casting.type_of(F.col("v")) != "object", "data must be a JSON object")
+    judged = judged.withColumn("message", message)
+    return judged.where("message IS NULL").drop("message"), judged.where("message IS NOT NULL").drop("v")
+
+
+def has_infinite(text: Column) -> Column:
+    """Whether a JSON text has a number that no double holds; texts inside are not looked at."""
+    bare = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', '""')
+    huge = F.regexp_extract_all(bare, F.lit(HUGE), F.lit(0))
+    return F.exists(huge, lambda x: F.abs(x.try_cast("double")) == F.lit(float("inf")))
+
+
+def part_of(v: Column, at: Column) -> Column:
+    """The element of an array that at (``.0`` or ``.2.1``) names."""
+    first = F.regexp_extract(at, r"\A\.([0-9]+)", 1).try_cast("int")
+    second = F.regexp_extract(at, r"\A\.[0-9]+\.([0-9]+)\z", 1).try_cast("int")
+    outer = casting.let(casting.elements(v), lambda e: F.when(first.isNull(), v).otherwise(F.get(e, first)))
+    return casting.let(outer, lambda o: F.when(second.isNull(), o).otherwise(casting.let(casting.elements(o), lambda e: F.get(e, second))))
+
+
+def issue_of(path: Column, code: Column, expected: Column, v: Column) -> Column:
+    """One entry of the issue log."""
+
+    def entry(s):
+        size = F.coalesce(F.size(casting.get(v, "array<variant>")), F.size(casting.get(v, "map<string,variant>")))
+        return F.struct(
+            path.alias("path"), code.alias("code"), expected.alias("expected_type"), F.coalesce(s["kind"], F.lit("undefined")).alias("received_type"),
+            F.substring(casting.scalar_text(s), 1, MAX_VALUE).alias("invalid_value"),
+            F.when(s["kind"].isin("array", "object"), size).cast("int").alias("received_size"),
+        ).cast(ISSUE)
+
+    return casting.scanned(v, entry)
+
+
+def kind_results(v: Column, names: list[str], kind: str, infinite: Column) -> Column:
+    """For the fields of one kind, an array of (v, value, present, code, at): one cast expression for all of them."""
+    type = KINDS[kind]
+    default = F.array() if type.startswith("array") else F.lit("[]") if kind == "jsonArray" else F.lit(None)
+
+    def judged(x):
+        def of(c):
+            code = c["code"]
+            if kind in ("json", "jsonArray"):
+                code = F.when(infinite & F.coalesce(c["value"].rlike(r'"-?Infinity"'), F.lit(False)), "invalid_type")
+            return F.struct(x["v"].alias("v"), c["value"].cast(type).alias("value"), F.lit(True).alias("present"), code.alias("code"), c["at"].alias("at"))
+
+        gone = F.struct(x["v"].alias("v"), default.cast(type).alias("value"), F.lit(False).alias("present"), F.lit(None).cast("string").alias("code"), F.lit("").alias("at"))
+        return F.when(x["v"].isNull(), gone).otherwise(casting.let(casting.cast_field(x["v"], kind), of))
+
+    fields = F.array(*[F.struct(casting.get(v, "variant", f"$['{n}']").alias("v")) for n in names])
+    return F.transform(fields, judged)
+
+
+def normalize(
+    df: DataFrame, schema: dict[str, Field], v: str = "v", data: str | None = "data", prefix: str = "", report: str = "", presence: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted with a column per declared field, rejected with issues and message).
+
+    presence: fields that get a companion has_<column>, true if the report had them. data: the raw text, looked at
+    for numbers that are not finite; without it, JSON fields are not checked for them."""
+    infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False)) if data else F.lit(False)
+    by_kind: dict[str, list[str]] = {}
+    for f, field in schema.items():
+        by_kind.setdefault(field.kind, []).append(f)
+    judged = df.withColumn("_infinite", infinite)
+    judged = judged.withColumns({f"_k_{k}": kind_results(F.col(v), names, k, F.col("_infinite")) for k, names in by_kind.items()})
+    of = {f: F.get(F.col(f"_k_{k}"), F.lit(i)) for k, names in by_kind.items() for i, f in enumerate(names)}
+    marks = []
+    for f, field in schema.items():
+        missing = of[f]["code"].isNull() & of[f]["value"].isNull() if field.required else F.lit(False)
+        path = f"{prefix}.{f}" if prefix else f
+        marks.append(
+            F.struct(
+                F.lit(path).alias("path"), F.when(missing, "required").otherwise(of[f]["code"]).alias("code"), F.when(missing, "").otherwise(of[f]["at"]).alias("at"),
+                F.when(missing, field.kind).otherwise(casting.EXPECTED[field.kind]).alias("expected"), of[f]["v"].alias("v"),
+                F.lit(field.kind in ARRAYS).alias("array"),
+            )
+        )
+    bad = F.slice(F.filter(F.array(*marks), lambda m: m["code"].isNotNull()), 1, MAX_ISSUES)
+
+    def issue(m):
+        seen = F.when(m["array"] & (m["at"] != ""), part_of(m["v"], m["at"])).otherwise(m["v"])
+        return casting.let(seen, lambda y: issue_of(F.concat(m["path"], m["at"]), m["code"], m["expected"], y))
+
+    judged = judged.withColumn("issues", F.transform(bad, issue))
+    taken = [column_of(f, report) for f in schema]
+    keep = [c for c in df.columns if c not in (v, *taken)]
+    values = [of[f]["value"].alias(column_of(f, report)) for f in schema]
+    has = [of[f]["present"].alias(f"has_{column_of(f, report)}") for f in presence]
+    accepted = judged.where(F.size("issues") == 0).select(*keep, *values, *has)
+    first = F.get("issues", F.lit(0))
+    message = F.concat(first["path"], F.lit(": expected "), first["expected_type"])
+    rejected = judged.where(F.size("issues") > 0).select(*[c for c in df.columns if c != v], "issues", message.alias("message"))
+    return accepted, rejected
+
+
+def with_origin(df: DataFrame, origin: str = "origin", x_reporter: str = "x_reporter", user_agent: str = "user_agent") -> DataFrame:
+    """P2"""
+    return df.withColumn(origin, origin_of(F.col(origin), F.col(x_reporter), F.col(user_agent)))
+
+
+def clear_early_snapshot(df: DataFrame, map_id: str = "map_id", has_map_id: str = "has_map_id", snapshot: str = "owned_ship_snapshot", limit: int = 73) -> DataFrame:
+    """Below map limit the snapshot is emptied; a null map counts as 0, an absent one as none."""
+    early = F.col(has_map_id) & (F.coalesce(F.col(map_id), F.lit(0)) < limit)
+    return df.withColumn(snapshot, F.when(early, F.lit("{}")).otherwise(F.col(snapshot)))
 
 
 def semver_outcome(version: Column, origin: Column) -> Column:
@@ -18,3 +140,13 @@ def semver_outcome(version: Column, origin: Column) -> Column:
     bad = own.isNull() | (is_reporter & reporter.isNull())
     new = (own > semver(F.lit(AFTER_VERSION))) & is_reporter & (reporter >= semver(F.lit(FROM_REPORTER)))
     return F.when(bad, "rejected").when(new, "stored").otherwise("ignored")
+
+
+def semver_gate(df: DataFrame, version: str = "poi_version", origin: str = "origin") -> tuple[DataFrame, DataFrame, DataFrame]:
+    judged = df.withColumn("_outcome", semver_outcome(F.col(version), F.col(origin)))
+    return tuple(judged.where(F.col("_outcome") == k).drop("_outcome") for k in ("stored", "ignored", "rejected"))
+
+
+def drop_noop_stage(df: DataFrame, stage: str = "stage") -> DataFrame:
+    """Stage -1 is accepted, but not stored."""
+    return df.where(F.col(stage) != -1)
