@@ -1,14 +1,197 @@
-"""Item-improvement records."""
+"""Item-improvement records: batches of up to 100 records in a report, validated as a whole before anything is exploded,
+so one bad record rejects its report without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import casting, keys
+from ..functions.calendar import jst_weekday, near_jst_midnight
+
+MAX_BATCH = 100
+#: The earliest observation (2013-04-23T00:00Z) and the clock skew that is tolerated, in milliseconds.
+EARLIEST_MS, SKEW_MS = 1_366_675_200_000, 600_000
+WHOLE = r"\A-?[0-9]+\z"
+COMMON = {"schemaVersion": 1, "recipeId": 1, "itemId": 1, "observedSecondShipId": 0}
+LEVELS = {
+    "list": {},
+    "detail": dict.fromkeys("itemLevel stage fuel ammo steel bauxite buildkit remodelkit certainBuildkit certainRemodelkit".split(), 0),
+    "execution": {"itemLevel": 0, "upgradeToItemId": 1, "upgradeToItemLevel": 0},
+}
+ITEMS = "array<struct<id:bigint,count:bigint>>"
+
+
+def strict_whole(v: Column) -> Column:
+    """A whole number, a text of digits or a boolean, as BIGINT; null for anything else."""
+
+    def of(s):
+        number = F.when(s["kind"] == "number", casting.finite(s["number"])).when((s["kind"] == "string") & s["text"].rlike(WHOLE), s["text"].try_cast("double"))
+        number = number.when(s["kind"] == "boolean", (s["text"] == "true").cast("int").cast("double"))
+        return casting.let(number, lambda n: F.when((n == F.floor(n)) & (F.abs(n) <= casting.SAFE), n.cast("long")))
+
+    return casting.scanned(v, of)
+
+
+def int32(v: Column, least: int = -2147483648) -> Column:
+    return casting.let(strict_whole(v), lambda n: F.when(n.between(least, 2147483647), n))
+
 
 def summed_items(items: Column) -> Column:
     """P24, the sum: counts of one id added up, by id; pairs of two zeros are no items."""
-    real = F.filter(items, lambda x: ~((x["id"] == 0) & (x["count"] == 0)))
-    ids = F.array_sort(F.array_distinct(F.transform(real, lambda x: x["id"])))
-    count = lambda i: F.aggregate(F.filter(real, lambda x: x["id"] == i), F.lit(0).cast("long"), lambda acc, x: acc + x["count"])
-    return F.transform(ids, lambda i: F.struct(i.alias("id"), count(i).alias("count")))
+
+    def of(real):
+        ids = F.array_sort(F.array_distinct(F.transform(real, lambda x: x["id"])))
+        count = lambda i: F.aggregate(F.filter(real, lambda x: x["id"] == i), F.lit(0).cast("long"), lambda acc, x: acc + x["count"])
+        return F.transform(ids, lambda i: F.struct(i.alias("id"), count(i).alias("count")))
+
+    return casting.let(F.filter(items, lambda x: ~((x["id"] == 0) & (x["count"] == 0))), of)
+
+
+def required_items(v: Column) -> Column:
+    """Struct (items, at, bad): at is the place of the first bad pair, null if there is none."""
+
+    def judged(raw):
+        bad = F.filter(
+            F.transform(raw, lambda x, k: F.struct(k.alias("k"), (x["id"].isNull() | x["count"].isNull()).alias("type"), x["id"].alias("id"), x["count"].alias("count"))),
+            lambda x: x["type"] | (~((x["id"] == 0) & (x["count"] == 0)) & ((x["id"] <= 0) | (x["count"] <= 0))),
+        )
+        return casting.let(
+            F.get(bad, F.lit(0)),
+            lambda b: F.struct(F.when(b.isNull(), summed_items(raw)).alias("items"), b["k"].alias("at"), (b.isNotNull() & b["type"]).alias("wrong_type")),
+        )
+
+    pairs = F.transform(
+        casting.get(v, "array<variant>"),
+        lambda e: F.struct(int32(casting.get(e, "variant", "$.id")).alias("id"), int32(casting.get(e, "variant", "$.count")).alias("count")),
+    )
+    none = F.struct(F.lit(None).cast(ITEMS).alias("items"), F.lit(-1).alias("at"), F.lit(True).alias("wrong_type"))
+    return F.when(casting.type_of(v) == "array", casting.let(pairs, judged)).otherwise(none)
+
+
+def flagship_ids(one: Column, many: Column) -> Column:
+    """P25: the union of an id and a list, distinct and ascending."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(one), F.coalesce(many, F.array().cast("array<bigint>"))))))
+
+
+def plausible_time(ms: Column, received: Column) -> Column:
+    """P22"""
+    return ms.between(F.lit(EARLIEST_MS), received + SKEW_MS)
+
+
+def day_problem(day: Column, observed: Column, received: Column) -> Column:
+    """What is wrong with the weekday, null if nothing."""
+    off = (day != jst_weekday(received)) & ~near_jst_midnight(observed) & ~near_jst_midnight(received)
+    return F.when(day != jst_weekday(observed), "day: does not match clientObservedAt JST day").when(off, "day: does not match serverReceivedAt JST day")
+
+
+def record_of(r: Column, received: Column) -> Column:
+    """A record's fields with problem, the first thing that is wrong with it."""
+    part = lambda name: casting.get(r, "variant", f"$['{name}']")
+    source = casting.get(r, "string", "$.source")
+    numbers = COMMON | LEVELS["detail"] | LEVELS["execution"]
+    ids = F.transform(casting.get(part("observedFlagshipIds"), "array<variant>"), lambda e: int32(e, 1))
+    fields = F.struct(
+        F.when(casting.type_of(part("source")) == "string", source).alias("source"),
+        *[int32(part(n), least).alias(n) for n, least in numbers.items()],
+        int32(part("day"), 0).alias("day"),
+        strict_whole(part("clientObservedAt")).alias("clientObservedAt"),
+        int32(part("observedFlagshipId"), 1).alias("one"),
+        ids.alias("many"),
+        part("observedFlagshipId").isNotNull().alias("has_one"),
+        part("observedFlagshipIds").isNotNull().alias("has_many"),
+        required_items(part("reqSlotItems")).alias("slots"),
+        required_items(part("reqUseItems")).alias("uses"),
+        part("reqSlotItems").isNotNull().alias("has_slots"),
+        part("reqUseItems").isNotNull().alias("has_uses"),
+        F.when(part("changeFlag").isNull(), F.lit(0).cast("long")).otherwise(int32(part("changeFlag"))).alias("changeFlag"),
+        F.coalesce((casting.type_of(part("upgradeObserved")) == "boolean") & casting.get(r, "boolean", "$.upgradeObserved"), F.lit(False)).alias("upgradeObserved"),
+    )
+
+    def judged(x):
+        detail, execution = x["source"] == "detail", x["source"] == "execution"
+        wrong = F.when(~F.coalesce(x["source"].isin("list", "detail", "execution"), F.lit(False)), "source: must be list, detail or execution")
+        for n, least in COMMON.items():
+            wrong = wrong.when(x[n].isNull(), f"{n}: must be a {'positive' if least else 'non-negative'} integer")
+        wrong = wrong.when(x["day"].isNull() | (x["day"] > 6), "day: must be between 0 and 6")
+        wrong = wrong.when(x["clientObservedAt"].isNull() | ~plausible_time(x["clientObservedAt"], received), "clientObservedAt: is not a plausible timestamp")
+        wrong = wrong.when(x["has_one"] & x["one"].isNull(), "observedFlagshipId: must be a positive integer")
+        wrong = wrong.when(x["has_many"] & (x["many"].isNull() | F.exists(x["many"], lambda i: i.isNull())), "observedFlagshipIds: must be positive integers")
+        for side, here in (("detail", detail), ("execution", execution)):
+            for n, least in LEVELS[side].items():
+                wrong = wrong.when(here & x[n].isNull(), f"{n}: must be a {'positive' if least else 'non-negative'} integer")
+        wrong = wrong.when(execution & ~x["upgradeObserved"], "upgradeObserved: must be true")
+        for name, side, has in (("reqSlotItems", "slots", "has_slots"), ("reqUseItems", "uses", "has_uses")):
+            used = detail | ((x["source"] == "list") & x[has])
+            problem = F.when(x[side]["at"] < 0, f"{name}: must be a list").otherwise(
+                F.concat(F.lit(f"{name}."), x[side]["at"].cast("string"), F.when(x[side]["wrong_type"], ": must have whole id and count").otherwise(": must contain positive id and count"))
+            )
+            wrong = wrong.when(used & x[side]["at"].isNotNull(), problem)
+        wrong = wrong.when(detail & x["changeFlag"].isNull(), "changeFlag: must be an integer")
+        wrong = F.coalesce(wrong, day_problem(x["day"], x["clientObservedAt"], received))
+        return F.struct(
+            wrong.alias("problem"), x["source"].alias("source"), x["schemaVersion"].alias("schema_version"), x["clientObservedAt"].alias("client_observed_at"),
+            x["recipeId"].alias("recipe_id"), x["itemId"].alias("item_id"), x["day"].alias("day"), x["observedSecondShipId"].alias("observed_second_ship_id"),
+            flagship_ids(x["one"], x["many"]).alias("observed_flagship_ids"),
+            *[x[n].alias("".join(f"_{c.lower()}" if c.isupper() else c for c in n)) for n in (LEVELS["detail"] | LEVELS["execution"])],
+            x["slots"]["items"].alias("req_slot_items"), x["uses"]["items"].alias("req_use_items"), x["changeFlag"].alias("change_flag"),
+            x["upgradeObserved"].alias("upgrade_observed"),
+        )
+
+    return casting.let(fields, judged)
+
+
+SHARED = ["key", "source", "schema_version", "client_observed_at", "recipe_id", "item_id", "day", "observed_second_ship_id", "observed_flagship_ids"]
+MATERIALS = ["fuel", "ammo", "steel", "bauxite", "buildkit", "remodelkit", "certain_buildkit", "certain_remodelkit"]
+
+
+def improvement_records(
+    df: DataFrame, v: str = "v", received_ms: str = "received_ms", x_reporter: str = "x_reporter", max_batch: int = MAX_BATCH, keep: tuple[str, ...] = ("id", "ingested_at")
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(listed, detailed, executed, rejected). A report has a list ``records`` or is one record
+    itself; its place in the report is ``position``."""
+    records = casting.get(F.col(v), "variant", "$.records")
+    batch = F.when(records.isNull(), F.array(F.col(v))).otherwise(casting.get(records, "array<variant>"))
+    sized = df.withColumn("_batch", batch)
+    shape = F.when(F.col("_batch").isNull(), "records: must be a list").when(F.size("_batch") > max_batch, f"records: must have at most {max_batch} elements")
+    parsed = F.when(shape.isNull(), F.transform("_batch", lambda r: record_of(r, F.col(received_ms))))
+    judged = sized.withColumn("_message", shape).withColumn("_records", parsed)
+    bad = F.get(F.filter(F.transform("_records", lambda r, k: F.struct(r["problem"].alias("p"), k.alias("k"))), lambda b: b["p"].isNotNull()), F.lit(0))
+    judged = judged.withColumn("_message", F.coalesce("_message", bad["p"]))
+    rejected = judged.where("_message IS NOT NULL").select(*keep, F.col("_message").alias("message"))
+    good = judged.where("_message IS NULL").select(*keep, received_ms, keys.reporter_origin(F.col(x_reporter)).alias("origin"), F.posexplode("_records").alias("position", "r"))
+    good = good.select(*keep, F.col(received_ms).alias("reported_at"), "origin", "position", "r.*").drop("problem")
+    recipe, item, day, second, level = (F.col(c) for c in ("recipe_id", "item_id", "day", "observed_second_ship_id", "item_level"))
+    key = {
+        "list": keys.availability_key(recipe, item, day, second),
+        "detail": keys.cost_key(recipe, item, level, F.col("stage"), day, second, [F.col(c) for c in MATERIALS], F.col("req_slot_items"), F.col("req_use_items"), F.col("change_flag")),
+        "execution": keys.update_key(recipe, item, level, day, second, F.col("upgrade_to_item_id"), F.col("upgrade_to_item_level")),
+    }
+    more = {
+        "list": [],
+        "detail": ["item_level", "stage", *MATERIALS, "req_slot_items", "req_use_items", "change_flag"],
+        "execution": ["item_level", "upgrade_to_item_id", "upgrade_to_item_level", "upgrade_observed"],
+    }
+    common = [*keep, "position", "reported_at", "origin"]
+    routed = [good.where(F.col("source") == s).withColumn("key", key[s]).select(*common, *SHARED, *more[s]) for s in ("list", "detail", "execution")]
+    return (*routed, rejected)
+
+
+def record_list(
+    df: DataFrame, schema: dict, v: str = "v", name: str = "quests", keep: tuple[str, ...] = ("id", "ingested_at")
+) -> tuple[DataFrame, DataFrame]:
+    """A report with a list of objects, all valid or none taken: (accepted rows with position, rejected).
+
+    Paths in messages begin with ``name.position``."""
+    from .normalize import normalize
+
+    listed = df.withColumn("_list", casting.get(F.col(v), "array<variant>", f"$.{name}"))
+    whole = F.col("_list").isNotNull() & F.forall("_list", lambda e: F.coalesce(casting.type_of(e) == "object", F.lit(False)))
+    shapeless = listed.where(~F.coalesce(whole, F.lit(False))).select(*keep, F.lit(f"{name}: must be a list of objects").alias("message"))
+    each = listed.where(whole).select(*keep, F.size("_list").alias("_n"), F.posexplode("_list").alias("position", "v"))
+    accepted, rejected = normalize(each, schema, "v", None)
+    # A report is taken if as many of its elements were accepted as it has; both sides hash on the report's key.
+    bad = rejected.groupBy(*keep).agg(F.min(F.struct("position", "message")).alias("m"))
+    message = F.concat(F.lit(f"{name}."), F.col("m.position").cast("string"), F.lit("."), F.col("m.message"))
+    taken = accepted.join(bad.select(*keep), list(keep), "left_anti").drop("_n")
+    return taken, bad.select(*keep, message.alias("message")).unionByName(shapeless)
