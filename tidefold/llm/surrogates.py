@@ -60,6 +60,16 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 NUMBERS = ("ssn", "card", "phone")
 
 
+def possible(text: Column) -> Column:
+    """Whether a text may have an entity at all; cheap, and true for every text that has one: addresses and numbers need
+    an @ or a digit, secrets their prefix or key word, names a title or given name as a word."""
+    words = F.array(*map(F.lit, sorted({*titles.split("|"), *given.split("|")})))
+    out = text.rlike("[0-9@]")
+    for mark in ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "password", "passwd", "pwd", "secret", "token", "api_key", "apikey"):
+        out = out | text.contains(mark)
+    return out | F.arrays_overlap(F.split(text, r"[^\p{L}]+"), words)
+
+
 def kind_of(raw: Column) -> Column:
     """A mention's kind; lookarounds see the mention alone, so a secret after a key word is what nothing else is."""
     out = F.when(raw.rlike(rf"\A(?:{KINDS['email']})\z"), "email")
@@ -239,9 +249,10 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
 
 def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:
     """docs with clean_text and n_entities. key: whoever has it can make the same surrogates; keep it secret."""
-    found = F.coalesce(F.col(text), F.lit("")).rlike(ANY)
-    hits = docs.where(found).withColumn("_pii_row", F.monotonically_increasing_id())
-    hits = written(hits.withColumn("_pii_raw", F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))), "with-entities")
+    maybe = possible(F.coalesce(F.col(text), F.lit("")))
+    looked = docs.where(maybe).withColumn("_pii_raw", F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
+    looked = written(looked.withColumn("_pii_row", F.monotonically_increasing_id()), "looked-at")
+    hits = looked.where(F.size("_pii_raw") > 0)
     mentions = hits.select("_pii_row", F.posexplode("_pii_raw").alias("at", "raw"))
     raws = mentions.select("raw").distinct().withColumn("kind", kind_of(F.col("raw")))
     raws = written(raws.withColumns({"text": canonical(F.col("kind"), F.col("raw")), "gender": F.when(F.col("kind") == "name", gender_of(F.col("raw")))}), "mentions")
@@ -252,5 +263,6 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text
     parts = F.split(F.col(text), ANY, -1)
     body = F.array_join(F.transform(parts, lambda p, k: F.concat(p, F.coalesce(F.get(F.col("_pii_new"), k)["new"], F.lit("")))), "")
     done = hits.join(news, "_pii_row").withColumns({"clean_text": body, "n_entities": F.size("_pii_new")})
-    rest = docs.where(~found).withColumns({"clean_text": F.col(text), "n_entities": F.lit(0)})
+    rest = docs.where(~maybe).unionByName(looked.where(F.size("_pii_raw") == 0).drop("_pii_row", "_pii_raw"))
+    rest = rest.withColumns({"clean_text": F.col(text), "n_entities": F.lit(0)})
     return rest.unionByName(done.drop("_pii_row", "_pii_raw", "_pii_new"))
