@@ -36,7 +36,10 @@ def oracle_sql() -> dict[str, str]:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as reports: k from props, ms from ts."""
-    df = read_table(spark, sf_dir, "events")
+    return as_reports(read_table(spark, sf_dir, "events"))
+
+
+def as_reports(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "k": F.get_json_object("props", "$.k").cast("int"),
@@ -385,3 +388,175 @@ def manifest_reconcile(spark, sf_dir):
     number = F.substring("dataset", 6, 2).cast("int")
     manifest = counts.where(number != 2).withColumn("row_count", F.col("row_count") + F.when(number == 3, 1).otherwise(0))
     return exports.reconcile(manifest, counts.where(number != 1), columns=("row_count",))
+
+
+MISPLACED = f"WITH {INGESTED} SELECT o_orderkey, dump_month, month FROM od WHERE dump_month <> month"
+
+
+@query(MISPLACED)
+def misplaced_rows(spark, sf_dir):
+    from ..sources.observations import misplaced_rows as misplaced
+
+    out = misplaced(ingested_orders(spark, sf_dir))
+    return out.select("o_orderkey", "dump_month", calendar.jst_month(F.col("ingested_at")).alias("month"))
+
+
+@query(
+    f"""WITH {INGESTED} SELECT dump_month, min(ingested_at) AS first, max(ingested_at) AS last,
+    min(ingested_at) >= strptime(dump_month || '-01', '%Y-%m-%d') - INTERVAL 9 HOUR AND
+    max(ingested_at) < strptime(dump_month || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH - INTERVAL 9 HOUR AS within FROM od GROUP BY dump_month"""
+)
+def check_month_bounds(spark, sf_dir):
+    from ..sources.observations import check_month_bounds as check
+
+    return check(ingested_orders(spark, sf_dir))
+
+
+@query(
+    """SELECT event_id, '{"observationId":"' || event_id || '","ingestedAt":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '","userId":' || user_id ||
+    ',"eventType":"' || event_type || '","props":' || CAST(json(props) AS VARCHAR) || ',"note":null}' AS line FROM events"""
+)
+def serialize(spark, sf_dir):
+    from ..sources.dump import serialize as lines
+
+    df = read_table(spark, sf_dir, "events").withColumn("note", F.lit(None).cast("string"))
+    fields = {"user_id": ("userId", "integer"), "event_type": ("eventType", "string"), "props": ("props", "json"), "note": ("note", "string")}
+    return lines(df, fields, "event_id", "ts").select("event_id", "line")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events")
+def dump_order(spark, sf_dir):
+    return exports.with_ordered_index(read_table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], "place").select("event_id", "place")
+
+
+@query(
+    """SELECT event_id, '{"a":' || CAST(json(props) AS VARCHAR) || ',"b":[2,1],"z":"' || event_type || '"}' AS canonical,
+    md5(CAST(json(props) AS VARCHAR)) AS digest FROM events"""
+)
+def canonical_json(spark, sf_dir):
+    text = F.concat(F.lit('{ "z" : "'), F.col("event_type"), F.lit('", "b": [2, 1], "a": '), F.col("props"), F.lit("}"))
+    df = read_table(spark, sf_dir, "events")
+    return df.select("event_id", keys.canonical_json(text).alias("canonical"), F.md5(keys.canonical_json(F.col("props"))).alias("digest"))
+
+
+@query("SELECT strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY ALL")
+def jst_day_counts(spark, sf_dir):
+    from ..streaming.reports import jst_day_counts as days
+
+    return days(read_table(spark, sf_dir, "events"), "ts", ["event_type"])
+
+
+@query(f"WITH {INGESTED} SELECT month IN ('1996-02', '1997-07') AS late, count(*) AS count FROM od GROUP BY ALL")
+def split_late(spark, sf_dir):
+    from ..streaming.reports import split_late as split
+
+    sides = split(ingested_orders(spark, sf_dir), ["1996-02", "1997-07"])
+    counts = [side.groupBy(F.lit(late).alias("late")).agg(F.count("*").alias("count")) for late, side in zip((False, True), sides)]
+    return counts[0].unionByName(counts[1])
+
+
+def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON reports with fields that are missing, null, lenient and wrong."""
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    number = (
+        F.when(e % 6 == 0, F.concat(F.lit('"count":'), user))
+        .when(e % 6 == 1, F.concat(F.lit('"count":" '), user, F.lit(' "')))
+        .when(e % 6 == 2, '"count":1.5')
+        .when(e % 6 == 3, '"count":null')
+        .when(e % 6 == 5, '"count":true')
+    )
+    label = F.when(e % 7 == 0, '"label":{"a":1}').otherwise(F.concat(F.lit('"label":"'), F.col("event_type"), F.lit('"')))
+    ids = F.when(e % 4 == 1, '"ids":null').when(e % 4 == 2, '"ids":[1,"2",null]').when(e % 4 == 3, '"ids":5')
+    data = F.concat(F.lit("{"), F.concat_ws(",", number, label, ids, F.lit('"unknown":1')), F.lit("}"))
+    return read_table(spark, sf_dir, "events").select("event_id", data.alias("data"))
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..operators.normalize import normalize, parse_reports
+    from ..schemas import Field
+
+    schema = {"count": Field("integer", True), "label": Field("string"), "ids": Field("integerArray")}
+    return normalize(parse_reports(raw_reports(spark, sf_dir))[0], schema)
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 6 = 5 THEN 1 ELSE user_id END AS count, event_type AS label,
+    CASE event_id % 4 WHEN 0 THEN '[]' WHEN 2 THEN '[1,2,null]' WHEN 3 THEN '[5]' END AS ids
+    FROM events WHERE event_id % 6 IN (0, 1, 5) AND event_id % 7 <> 0"""
+)
+def normalize_accept(spark, sf_dir):
+    return normalized(spark, sf_dir)[0].select("event_id", "count", "label", F.to_json("ids").alias("ids"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 6 = 2 THEN 'count: expected signed 32-bit integer' WHEN event_id % 6 IN (3, 4) THEN 'count: expected integer'
+    ELSE 'label: expected string' END AS message, CAST(event_id % 6 IN (2, 3, 4) AS INT) + CAST(event_id % 7 = 0 AS INT) AS n_issues
+    FROM events WHERE event_id % 6 IN (2, 3, 4) OR event_id % 7 = 0"""
+)
+def normalize_reject(spark, sf_dir):
+    return normalized(spark, sf_dir)[1].select("event_id", "message", F.size("issues").alias("n_issues"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 5 = 0 THEN (dayofweek(ts + INTERVAL 9 HOUR) + 1) % 7
+      ELSE dayofweek(ts + INTERVAL 9 HOUR) END AS day, user_id FROM events)
+    SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'v1|availability|' || (user_id + 1) || '|' || (event_id % 50 + 1) || '|' || day || '|0' END AS key,
+    CASE WHEN event_id % 5 = 0 THEN 'day: does not match clientObservedAt JST day' END AS message FROM r"""
+)
+def improvement_records(spark, sf_dir):
+    """Events as improvement reports; every fifth names a wrong weekday and is rejected."""
+    from ..operators.improvement import improvement_records as records
+    from ..operators.normalize import parse_reports
+
+    df = events(spark, sf_dir)
+    e, day = F.col("event_id"), calendar.jst_weekday(F.col("ms"))
+    one = F.struct(
+        F.lit("list").alias("source"), F.lit(1).alias("schemaVersion"), F.col("ms").alias("clientObservedAt"), (F.col("user_id") + 1).alias("recipeId"),
+        (e % 50 + 1).cast("string").alias("itemId"), F.when(e % 5 == 0, (day + 1) % 7).otherwise(day).alias("day"), F.lit(0).alias("observedSecondShipId"),
+    )
+    raw = df.select("event_id", F.col("ms").alias("received_ms"), F.lit("poi").alias("x_reporter"), F.to_json(F.struct(F.array(one).alias("records"))).alias("data"))
+    listed, _, _, rejected = records(parse_reports(raw)[0], keep=("event_id",))
+    none = F.lit(None).cast("string")
+    return listed.select("event_id", "key", none.alias("message")).unionByName(rejected.select("event_id", none.alias("key"), "message"))
+
+
+@query(f"WITH {FACTS} SELECT facts.*, elements FROM facts JOIN els USING (user_id)")
+def stream_facts(spark, sf_dir):
+    """The fold of accumulate_facts as a stream over the table's files, one batch after the other."""
+    from ..storage import new_folder
+    from ..streaming.reports import read_state, stream_state
+
+    table = read_table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    spec = {
+        "event_type": "first", "first_client_observed_at": "min", "last_client_observed_at": "max", "first_reported": "first",
+        "last_reported": "max", "count": "sum", "element": "union",
+    }
+
+    def fold(batch):
+        return facts_of(as_reports(batch))
+
+    root = new_folder(spark, "facts")
+    stream_state(stream, fold, lambda old, new: folds.merge_state(old, new, ["user_id"], spec), root, new_folder(spark, "facts-checkpoint")).awaitTermination()
+    return read_state(spark, root).withColumn("elements", F.array_join("element", ",")).drop("element")
+
+
+@query(
+    f"""WITH {INGESTED} SELECT 'nightContactObservations' AS dataset, '1996-02/nightContactObservations.jsonl.gz' AS object_key,
+    count(*) AS row_count FROM od WHERE month = '1996-02'"""
+)
+def publish_month(spark, sf_dir):
+    """Orders appended as observations, then one month published; its manifest entry."""
+    from datetime import datetime
+
+    from ..sources import dump, observations
+    from ..storage import new_folder
+
+    df = ingested_orders(spark, sf_dir).select(
+        F.col("o_orderkey").alias("id"), F.col("ingested_at").cast("timestamp").alias("ingested_at"), F.lit(1).alias("fleet_type"), F.lit(2).alias("ship_id"),
+        F.lit(3).alias("ship_lv"), F.lit(4).alias("item_id"), F.lit(5).alias("item_lv"), (F.col("o_orderkey") % 2 == 0).alias("contact"),
+    )
+    root = new_folder(spark, "observations")
+    observations.append_observations(df, root, "nightContactObservations", writers=1)
+    entries = dump.publish_month(spark, root, new_folder(spark, "published"), "1996-02", datetime(2024, 1, 1))
+    return entries.where("dataset = 'nightContactObservations'").select("dataset", "object_key", "row_count")
