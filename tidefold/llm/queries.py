@@ -85,12 +85,38 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+LINE_QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+l AS (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM d),
+n AS (SELECT r, source, line, md5(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'))) AS key,
+  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+k AS (SELECT *, min(key) OVER (PARTITION BY r) AS sketch FROM n WHERE words > 0),
+hosts AS (SELECT source, count(DISTINCT sketch) AS docs FROM k GROUP BY source),
+counts AS (SELECT source, key, count(DISTINCT sketch) AS c FROM k GROUP BY source, key),
+frequent AS (SELECT counts.source, key FROM counts JOIN hosts ON counts.source IS NOT DISTINCT FROM hosts.source WHERE c >= 10 AND c > docs * 0.02),
+per AS (SELECT k.r, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines, count(frequent.key) AS n_removed_lines,
+  CAST(sum(CASE WHEN frequent.key IS NULL THEN 0 ELSE words END) AS BIGINT) AS gone
+  FROM k LEFT JOIN frequent ON k.key = frequent.key AND k.source IS NOT DISTINCT FROM frequent.source GROUP BY k.r),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM
+  (SELECT r, words, unnest(generate_series(1, len(words) - 2)) AS i FROM w WHERE len(words) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) AS v(o) GROUP BY r),
+s AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_lines, 0) AS n_removed_lines, len(words) - coalesce(gone, 0) AS n_left_words
+  FROM d JOIN w USING (r) LEFT JOIN per USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * (n_words - n_left_words) > 70 * n_words AS kept FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
     longest = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
     fits = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{a} {h}{p}'" for h, p, a in longest
     )
     return {
+        "op6_line_quality": LINE_QUALITY,
         "op3_url_rules": f"""
 WITH rests AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
