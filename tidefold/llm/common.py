@@ -55,7 +55,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    scratch.append((spark.sparkContext.applicationId, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+#: (application, path) of the tables that written() has made and nobody has deleted.
+scratch: list[tuple[str, str]] = []
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    gone = {(app, path) for path in paths}
+    scratch[:] = [x for x in scratch if x not in gone]
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     before = _state(edges)
     while before[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        delete(edges.sparkSession, [last.scratch_path])
         after = _state(edges)
         if after == before:
             break

@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,25 +171,70 @@ def shingle_set(text: bytes, shingle: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
 
 
-def sampled_references(tables: int, bits: int) -> list[int]:
-    """Masks of so many bits; a table compares fingerprints by their distances to the mask's single-bit references."""
-    rng = np.random.default_rng(11)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+def long_fingerprint(text: bytes, shingle: int) -> tuple[int, int]:
+    """128 bits in two halves, over the distinct shingles."""
+    shingles = list(shingle_set(text, shingle))
+    if not shingles:
+        return 0, 0
+    counts = np.zeros(128, np.int64)
+    for k in range(0, len(shingles), AT_ONCE):
+        raw = b"".join(map(xxhash.xxh3_128_digest, shingles[k : k + AT_ONCE]))
+        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(0, np.int64)
+    low, high = np.packbits(2 * counts > len(shingles)).view(np.int64)
+    return int(low), int(high)
+
 
+def sampled_references(tables: int, bits: int) -> list[tuple[int, int]]:
+    """Masks of so many bits, in turn of either half; a table compares fingerprints by their distances to the mask's
+    single-bit references."""
+    rng = np.random.default_rng(11)
+    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+    return [(m, 0) if k % 2 else (0, m) for k, m in enumerate(masks)]
 
-def wide_candidates(fps: DataFrame, max_bits: int, tables: int, bits: int, near: int) -> DataFrame:
-    """(a, b): pairs up to max_bits apart that agree on the references of some table, most of those there are.
 
-    In a table, fingerprints that agree are compared with the near next ones in their order, in blocks, so that a
-    crowded place costs near for each member and not the square."""
-    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in sampled_references(tables, bits)])
-    keyed = fps.select("fp", F.inline(F.transform(masks, lambda m, k: F.struct(k.alias("t"), F.col("fp").bitwiseAND(m).alias("key")))))
-    order = F.row_number().over(W.partitionBy("t", "key").orderBy("fp"))
-    placed = keyed.withColumn("k", order).withColumn("block", F.floor(F.col("k") / near).cast("int"))
-    after = placed.select("t", "key", F.col("fp").alias("b"), F.col("k").alias("k2"), F.explode(F.array("block", F.col("block") - 1)).alias("block"))
-    met = placed.join(after, ["t", "key", "block"]).where((F.col("k2") > F.col("k")) & (F.col("k2") - F.col("k") <= near))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_bits
-    return met.where(close).select(F.col("fp").alias("a"), "b").distinct()
+def neighbours(batches: Iterator[pa.RecordBatch], max_bits: int, near: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, high) come sorted; each is paired with the last one before it that is close enough, at most near
+    places away and with the same key. Every row gives one pair at most, so a crowded place stays linear."""
+    tail = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "high")]
+        key, fp, high = (np.concatenate(x) for x in zip(tail, new))
+        first = len(tail[0])
+        rows = np.arange(first, len(key))
+        found_a, found_b = [], []
+        for k in range(1, near + 1):
+            rows = rows[rows >= k]
+            same = key[rows] == key[rows - k]
+            rows = rows[same]  # sorted by key: who differs k places away differs further away
+            if not len(rows):
+                break
+            other = rows - k
+            apart = sum(np.bitwise_count((x[rows] ^ x[other]).view(np.uint64)).astype(int) for x in (fp, high))
+            hit = (apart <= max_bits) & (fp[rows] != fp[other])
+            found_a.append(fp[other[hit]])
+            found_b.append(fp[rows[hit]])
+            rows = rows[~hit]
+        tail = [x[-near:] for x in (key, fp, high)]
+        if found_a:
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def wide_candidates(classes: DataFrame, max_bits: int, tables: int, bits: int, near: int) -> DataFrame:
+    """classes (fp, high) -> (a, b): pairs up to max_bits of 128 apart that agree on the references of some table and
+    are neighbours there in the order of the other bits, which differs from table to table."""
+    masks = F.array(*[F.struct(F.lit(_signed(x)).cast("long").alias("x"), F.lit(_signed(y)).cast("long").alias("y")) for x, y in sampled_references(tables, bits)])
+
+    def place(m, k):
+        turn = (k * 11) % 64
+        return F.struct(
+            F.xxhash64(k, F.col("fp").bitwiseAND(m["x"]), F.col("high").bitwiseAND(m["y"])).alias("key"),
+            F.call_function("shiftleft", "fp", turn).bitwiseOR(F.call_function("shiftrightunsigned", "fp", F.lit(64) - turn)).alias("order"),
+        )
+
+    keyed = classes.select("fp", "high", F.inline(F.transform(masks, place)))
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "order", "fp")
+    return dealt.select("key", "fp", "high").mapInArrow(lambda b: neighbours(b, max_bits, near), "a long, b long").distinct()
 
 
 def similar(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -208,31 +252,46 @@ def near_duplicates(
     text: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    max_bits: int = 14,
+    max_bits: int = 28,
     tables: int = 40,
     bits: int = 13,
     near: int = 32,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of documents whose sets of shingles have this Jaccard similarity.
 
-    Fingerprints up to two bits apart are linked as above. Similarities near 0.8 part fingerprints by ten bits and
-    more, which pivots cannot tell from chance, so wider candidates come from tables of sampled single-bit references
-    and are verified on the texts of their representatives."""
-    prints = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    wide = written(wide_candidates(classes.select("fp"), max_bits, tables, bits, near), "wide-candidates")
+    Fingerprints up to two of 64 bits apart are linked as above. A similarity near 0.8 parts fingerprints by ten bits
+    and more, which distances to pivots cannot tell from chance, so these fingerprints have a second half, wider
+    candidates come from tables of sampled single-bit references, and they are verified on the texts of their
+    representatives. Chance pairs of 28 in 128 bits are rarer than one in 10^9."""
+    ship(docs.sparkSession)
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    long = T.LongType()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                got = [long_fingerprint(t.as_py() or b"", shingle) for t in part.column(1).cast(pa.binary())]
+                halves = [pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *halves], names=["doc_id", "fp", "high"])
+
+    schema = T.StructType([chosen.schema["doc_id"], T.StructField("fp", long), T.StructField("high", long)])
+    prints = written(chosen.mapInArrow(of, schema), "fingerprints")
+    first = F.min(F.struct("doc_id", "high")).alias("first")
+    classes = written(prints.groupBy("fp").agg(first).select("fp", "first.high", F.col("first.doc_id").alias("least")), "fingerprint-classes")
+    wide = written(wide_candidates(classes.select("fp", "high"), max_bits, tables, bits, near), "wide-candidates")
     asked = wide.select(F.col("a").alias("fp")).unionByName(wide.select(F.col("b").alias("fp"))).distinct()
-    ids = classes.join(asked, "fp", "left_semi").withColumnRenamed("least", "doc_id")
+    ids = classes.join(asked, "fp", "left_semi").select("fp", "high", F.col("least").alias("id"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    found = source.join(ids, source["doc_id"].eqNullSafe(ids["doc_id"])).select("fp", "x")
+    found = source.join(ids, source["doc_id"].eqNullSafe(ids["id"])).select("fp", "x")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # of several texts under one id, those with this fingerprint
             texts = batch.column("x").cast(pa.binary()).to_pylist()
-            ok = [fingerprint(t, shingle) == fp for t, fp in zip(texts, batch.column("fp").to_pylist())]
+            ok = [long_fingerprint(t, shingle)[0] == fp for t, fp in zip(texts, batch.column("fp").to_pylist())]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     texts = written(found.mapInArrow(own, "fp long, x string").groupBy("fp").agg(F.min("x").alias("x")), "candidate-texts")
     pairs = wide.join(texts.withColumnRenamed("fp", "a"), "a").join(texts.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
     linked = pairs.select("a", "b", "x", "y").mapInArrow(lambda b: similar(b, shingle, similarity), "a long, b long")
-    return labelled(prints, classes, links(classes.select("fp")).unionByName(linked))
+    return labelled(prints, classes.select("fp", "least"), links(classes.select("fp")).unionByName(linked))
