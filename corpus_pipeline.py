@@ -6,12 +6,13 @@ of which the later stages keep one. An empty table passes through. Columns other
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontamination, line_dedup, line_quality, packing, simhash
+from tidefold.llm import common, decontamination, line_dedup, line_quality, packing, simhash
 from tidefold.llm.common import read_table, shared_dir, written
 from tidefold.llm.queries import word_tokenizer
 
@@ -29,11 +30,35 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
+_left: list[str] = []
+
+
+def stage(f):
+    """A stage deletes what earlier stages left in the shared folder: their results have been written by then. Tables
+    that docs still reads, if somebody hands a stage's result on unwritten, stay."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        made = {path for a, path in common.scratch if a == app}
+        old = [p for p in _left if p in made]
+        if old:
+            used = docs.inputFiles()
+            common.delete(spark, [p for p in old if not any(p.split(":", 1)[-1].strip("/") in file for file in used)])
+        out = f(spark, docs, sf_dir)
+        _left[:] = [path for a, path in common.scratch if a == app and path not in made or path in _left]
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or consist of their host's frequent lines; removes those lines."""
     return with_text(line_quality.line_quality(docs.select(*COLUMNS)).where("kept"), "clean_text")
 
 
+@stage
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes blocks that an earlier document has; documents of which nothing is left go."""
     cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
@@ -41,6 +66,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return with_text(cut.where((F.col("n_removed_lines") == 0) | left), "clean_text")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id."""
     rows = numbered(docs)
@@ -51,6 +77,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(written(goes, "near-copies"), "row", "left_anti").select(*COLUMNS)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
     rows = numbered(docs)
@@ -59,6 +86,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(hits, "row", "left_anti").select(*COLUMNS)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, word_tokenizer())
 
