@@ -150,14 +150,22 @@ def improvement_records(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(listed, detailed, executed, rejected). A report has a list ``records`` or is one record
     itself; its place in the report is ``position``."""
-    records = casting.get(F.col(v), "variant", "$.records")
-    batch = F.when(records.isNull(), F.array(F.col(v))).otherwise(casting.get(records, "array<variant>"))
-    sized = df.withColumn("_batch", batch)
-    shape = F.when(F.col("_batch").isNull(), "records: must be a list").when(F.size("_batch") > max_batch, f"records: must have at most {max_batch} elements")
-    parsed = F.when(shape.isNull(), F.transform("_batch", lambda r: record_of(r, F.col(received_ms))))
-    judged = sized.withColumn("_message", shape).withColumn("_records", parsed)
-    bad = F.get(F.filter(F.transform("_records", lambda r, k: F.struct(r["problem"].alias("p"), k.alias("k"))), lambda b: b["p"].isNotNull()), F.lit(0))
-    judged = judged.withColumn("_message", F.coalesce("_message", bad["p"]))
+    from .normalize import computed
+
+    def judged_batch(batch):
+        shape = F.when(batch.isNull(), "records: must be a list").when(F.size(batch) > max_batch, f"records: must have at most {max_batch} elements")
+        parsed = F.when(shape.isNull(), F.transform(batch, lambda r: record_of(r, F.col(received_ms))))
+
+        def whole(records):
+            bad = F.get(F.filter(F.transform(records, lambda r, k: F.struct(r["problem"].alias("p"), k.alias("k"))), lambda b: b["p"].isNotNull()), F.lit(0))
+            return F.struct(F.coalesce(shape, bad["p"]).alias("_message"), records.alias("_records"))
+
+        return casting.let(parsed, whole)
+
+    listed = casting.let(
+        casting.get(F.col(v), "variant", "$.records"), lambda r: F.when(r.isNull(), F.array(F.col(v))).otherwise(casting.get(r, "array<variant>"))
+    )
+    judged = computed(df, casting.let(listed, judged_batch))
     rejected = judged.where("_message IS NOT NULL").select(*keep, F.col("_message").alias("message"))
     good = judged.where("_message IS NULL").select(*keep, received_ms, keys.reporter_origin(F.col(x_reporter)).alias("origin"), F.posexplode("_records").alias("position", "r"))
     good = good.select(*keep, F.col(received_ms).alias("reported_at"), "origin", "position", "r.*").drop("problem")

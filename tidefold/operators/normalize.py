@@ -23,12 +23,23 @@ ISSUE = "struct<path:string,code:string,expected_type:string,received_type:strin
 def parse_reports(df: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
     """(reports with the object as VARIANT v, rejected with a message). data is a JSON object, or a JSON text of
     one. Of repeated keys the last counts if spark.sql.variant.allowDuplicateKeys is true; else they reject."""
-    parsed = F.try_parse_json(data)
-    inner = F.when(casting.type_of(F.col("_v")) == "string", F.try_parse_json(casting.get(F.col("_v"), "string"))).otherwise(F.col("_v"))
-    judged = df.withColumn("_v", parsed).withColumn("v", inner).drop("_v")
-    message = F.when(F.col("v").isNull(), "data must be valid JSON").when(casting.type_of(F.col("v")) != "object", "data must be a JSON object")
-    judged = judged.withColumn("message", message)
-    return judged.where("message IS NULL").drop("message"), judged.where("message IS NOT NULL").drop("v")
+    def judged(v):
+        message = F.when(v.isNull(), "data must be valid JSON").when(casting.type_of(v) != "object", "data must be a JSON object")
+        return F.struct(v.alias("v"), message.alias("message"))
+
+    def unpacked(p):
+        return F.when(casting.type_of(p) == "string", F.try_parse_json(casting.get(p, "string"))).otherwise(p)
+
+    once = casting.let(F.try_parse_json(data), lambda p: casting.let(unpacked(p), judged))
+    out = computed(df, once)
+    return out.where("message IS NULL").drop("message"), out.where("message IS NOT NULL").drop("v")
+
+
+def computed(df: DataFrame, struct: Column) -> DataFrame:
+    """df with the fields of a struct as columns, computed once for each row: as rows of a generator, so that a filter
+    on one of them does not compute it again below. Columns of df with these names are replaced."""
+    names = df.select(struct.alias("s")).select("s.*").columns
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(struct)))
 
 
 def has_infinite(text: Column) -> Column:
@@ -86,39 +97,44 @@ def normalize(
 
     presence: fields that get a companion has_<column>, true if the report had them. data: the raw text, looked at
     for numbers that are not finite; without it, JSON fields are not checked for them."""
-    infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False)) if data else F.lit(False)
     by_kind: dict[str, list[str]] = {}
     for f, field in schema.items():
         by_kind.setdefault(field.kind, []).append(f)
-    judged = df.withColumn("_infinite", infinite)
-    judged = judged.withColumns({f"_k_{k}": kind_results(F.col(v), names, k, F.col("_infinite")) for k, names in by_kind.items()})
-    of = {f: F.get(F.col(f"_k_{k}"), F.lit(i)) for k, names in by_kind.items() for i, f in enumerate(names)}
-    marks = []
-    for f, field in schema.items():
-        missing = of[f]["code"].isNull() & of[f]["value"].isNull() if field.required else F.lit(False)
-        path = f"{prefix}.{f}" if prefix else f
-        marks.append(
-            F.struct(
-                F.lit(path).alias("path"), F.when(missing, "required").otherwise(of[f]["code"]).alias("code"), F.when(missing, "").otherwise(of[f]["at"]).alias("at"),
-                F.when(missing, field.kind).otherwise(casting.EXPECTED[field.kind]).alias("expected"), of[f]["v"].alias("v"),
-                F.lit(field.kind in ARRAYS).alias("array"),
-            )
-        )
-    bad = F.slice(F.filter(F.array(*marks), lambda m: m["code"].isNotNull()), 1, MAX_ISSUES)
 
     def issue(m):
         seen = F.when(m["array"] & (m["at"] != ""), part_of(m["v"], m["at"])).otherwise(m["v"])
         return casting.let(seen, lambda y: issue_of(F.concat(m["path"], m["at"]), m["code"], m["expected"], y))
 
-    judged = judged.withColumn("issues", F.transform(bad, issue))
+    def judged(r):
+        of = {f: F.get(r[k], F.lit(i)) for k, names in by_kind.items() for i, f in enumerate(names)}
+        marks = []
+        for f, field in schema.items():
+            missing = of[f]["code"].isNull() & of[f]["value"].isNull() if field.required else F.lit(False)
+            marks.append(
+                F.struct(
+                    F.lit(f"{prefix}.{f}" if prefix else f).alias("path"), F.when(missing, "required").otherwise(of[f]["code"]).alias("code"),
+                    F.when(missing, "").otherwise(of[f]["at"]).alias("at"), F.when(missing, field.kind).otherwise(casting.EXPECTED[field.kind]).alias("expected"),
+                    of[f]["v"].alias("v"), F.lit(field.kind in ARRAYS).alias("array"),
+                )
+            )
+        bad = F.slice(F.filter(F.array(*marks), lambda m: m["code"].isNotNull()), 1, MAX_ISSUES)
+        values = [of[f]["value"].alias(f"value_{k}") for k, f in enumerate(schema)]
+        has = [of[f]["present"].alias(f"has_{k}") for k, f in enumerate(schema)]
+        return F.struct(F.transform(bad, issue).alias("issues"), F.struct(*values).alias("_values"), F.struct(*has).alias("_has"))
+
+    def cast(infinite):
+        return casting.let(F.struct(*[kind_results(F.col(v), names, k, infinite).alias(k) for k, names in by_kind.items()]), judged)
+
+    infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False)) if data else F.lit(False)
+    out = computed(df, casting.let(infinite, cast))
     taken = [column_of(f, report) for f in schema]
-    keep = [c for c in df.columns if c not in (v, *taken)]
-    values = [of[f]["value"].alias(column_of(f, report)) for f in schema]
-    has = [of[f]["present"].alias(f"has_{column_of(f, report)}") for f in presence]
-    accepted = judged.where(F.size("issues") == 0).select(*keep, *values, *has)
+    keep = [c for c in df.columns if c not in (v, "issues", *taken)]
+    values = [F.col(f"_values.value_{k}").alias(c) for k, c in enumerate(taken)]
+    has = [F.col(f"_has.has_{k}").alias(f"has_{column_of(f, report)}") for k, f in enumerate(schema) if f in presence]
+    accepted = out.where(F.size("issues") == 0).select(*keep, *values, *has)
     first = F.get("issues", F.lit(0))
     message = F.concat(first["path"], F.lit(": expected "), first["expected_type"])
-    rejected = judged.where(F.size("issues") > 0).select(*[c for c in df.columns if c != v], "issues", message.alias("message"))
+    rejected = out.where(F.size("issues") > 0).select(*[c for c in df.columns if c not in (v, "issues", "message")], "issues", message.alias("message"))
     return accepted, rejected
 
 
