@@ -514,7 +514,7 @@ def improvement_records(spark, sf_dir):
         F.lit("list").alias("source"), F.lit(1).alias("schemaVersion"), F.col("ms").alias("clientObservedAt"), (F.col("user_id") + 1).alias("recipeId"),
         (e % 50 + 1).cast("string").alias("itemId"), F.when(e % 5 == 0, (day + 1) % 7).otherwise(day).alias("day"), F.lit(0).alias("observedSecondShipId"),
     )
-    raw = df.select("event_id", F.col("ms").alias("received_ms"), F.lit("poi").alias("x_reporter"), F.to_json(F.struct(F.array(one).alias("records"))).alias("data"))
+    raw = df.select("event_id", F.col("ms").alias("received_ms"), F.lit("client").alias("x_reporter"), F.to_json(F.struct(F.array(one).alias("records"))).alias("data"))
     listed, _, _, rejected = records(parse_reports(raw)[0], keep=("event_id",))
     none = F.lit(None).cast("string")
     return listed.select("event_id", "key", none.alias("message")).unionByName(rejected.select("event_id", none.alias("key"), "message"))
