@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import ship, written
 
 #: Chunks a worker remembers, and bytes of text that it splits at once.
-REMEMBERED, AT_ONCE = 300_000, 1 << 20
+REMEMBERED, AT_ONCE = 500_000, 1 << 20
 
 #: Letters that normal forms leave alone, then marks that make one piece: the tokenizer's first steps keep such a
 #: chunk as these two pieces, so its model can be asked directly. All other chunks go through the whole tokenizer.
