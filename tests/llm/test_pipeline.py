@@ -105,3 +105,20 @@ def test_near_duplicates_of_words_against_all_pairs(spark):
                 root[b] = a
     assert np.mean([got[k] == find(k) for k in range(len(texts))]) > 0.97
     assert len({got[k] for k in (len(texts) - 3, len(texts) - 2, len(texts) - 1)}) == 1
+
+
+def test_near_duplicates_of_a_template_against_all_pairs(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template, texts = [word() for _ in range(270)], []
+    for k in range(500):
+        own = [word() for _ in range(60)]
+        texts.append(" ".join(template + own))  # Jaccard 0.69 with one another
+        if k % 5 == 0:
+            texts.append(" ".join(template[:120] + [word() for _ in range(3)] + template[140:] + own))
+    texts += texts[:3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    sets = [shingle_set(t.encode(), 5) for t in texts]
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 100 and not [(i, j) for i, j in alike if got[i] != got[j]]

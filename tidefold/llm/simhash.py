@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -171,19 +172,41 @@ def shingle_set(text: bytes, shingle: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
 
 
-def long_fingerprint(text: bytes, shingle: int) -> tuple[int, int]:
+def shingle_codes(text: bytes, shingle: int) -> np.ndarray:
+    """A 128-bit hash of each distinct shingle, as two numbers."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, shingle_set(text, shingle)))
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
+
+def long_fingerprint(codes: np.ndarray) -> tuple[int, int]:
     """128 bits in two halves, over the distinct shingles."""
-    shingles = list(shingle_set(text, shingle))
-    if not shingles:
+    if not len(codes):
         return 0, 0
     counts = np.zeros(128, np.int64)
-    for k in range(0, len(shingles), AT_ONCE):
-        raw = b"".join(map(xxhash.xxh3_128_digest, shingles[k : k + AT_ONCE]))
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(0, np.int64)
-    low, high = np.packbits(2 * counts > len(shingles)).view(np.int64)
+    for k in range(0, len(codes), AT_ONCE):
+        counts += np.unpackbits(codes[k : k + AT_ONCE].view(np.uint8), axis=1).sum(0, np.int64)
+    low, high = np.packbits(2 * counts > len(codes)).view(np.int64)
     return int(low), int(high)
 
 
+def set_code(codes: np.ndarray) -> int:
+    """The same for equal sets of shingles: the hashes' sum."""
+    return int(codes[:, 1].sum(dtype=np.uint64).view(np.int64)) if len(codes) else 0
+
+
+def prefix(codes: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles, rarest first, of which two sets of this similarity must share one: all but similarity * n, and one.
+
+    Any order that all documents share is exact; common (sorted) and often only keep frequent shingles out of it."""
+    tokens = codes[:, 0]
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        order = np.lexsort((tokens, np.where(common[at] == tokens, often[at], 0)))
+    else:
+        order = np.argsort(tokens)
+    return tokens[order[: len(tokens) - ceil(similarity * len(tokens) - 1e-9) + 1]].view(np.int64)
+
+
 def sampled_references(tables: int, bits: int) -> list[tuple[int, int]]:
     """Masks of so many bits, in turn of either half; a table compares fingerprints by their distances to the mask's
     single-bit references."""
@@ -246,6 +269,87 @@ def similar(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> It
         yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
 
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two or more of a sample of docs (doc_id, text) have, and how many have them. Only an order is made of them."""
+    total = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < ceil(1_000_000 * sample / max(total, 1)))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_codes(t.as_py() or b"", shingle)[:, 0].view(np.int64))], names=["h"])
+
+    counts = some.select("text").mapInArrow(of, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "h").limit(most).collect()
+    common = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], np.array([r.n for r in rows], np.int64)[order]
+
+
+def met(root: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the rows of one shingle, of different roots, that sizes and places allow to be similar if it is their first common one."""
+    order = np.lexsort((node, size))
+    order = order[np.append(True, node[order][1:] != node[order][:-1])]
+    root, node, size, left = root[order], node[order], size[order], (size - at)[order]
+    ends = np.searchsorted(size, size / similarity + 1e-6, "right")
+    lo = 0
+    while lo < len(node):
+        hi = lo + max(1, (1 << 21) // (len(node) - lo))
+        rows = np.arange(lo, min(hi, len(node)))
+        others = np.arange(lo, ends[rows[-1]])
+        x, y = rows[:, None], others[None, :]
+        ok = (y > x) & (y < ends[x]) & (root[x] != root[y])
+        ok &= np.minimum(left[x], left[y]) >= similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
+        i, j = np.nonzero(ok)
+        if len(i):
+            yield node[rows[i]], node[others[j]]
+        lo = hi
+
+
+def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (token, root, node, size, at) come sorted by token; the rows of one may go over several batches."""
+    names = ["token", "root", "node", "size", "at"]
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, root = rows[:2]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        ends = np.append(starts[1:], len(token))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        found_a, found_b, size = [], [], 0
+        for lo, hi in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+            for a, b in met(*(x[lo:hi] for x in rows[1:]), similarity):
+                found_a.append(np.minimum(a, b))
+                found_b.append(np.maximum(a, b))
+                size += len(a)
+                if size > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b)], names=["a", "b"])
+                    found_a, found_b, size = [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b)], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(new[0]):
+            continue
+        first = int(np.searchsorted(new[0], new[0][-1]))  # where the last token begins
+        if first or (held and held[0][0][0] != new[0][0]):
+            yield from pairs([np.concatenate(x) for x in zip(*held, [x[:first] for x in new])])
+            held = []
+        held.append([x[first:] for x in new])
+    if held:
+        yield from pairs([np.concatenate(x) for x in zip(*held)])
+
+
+def sharing(prints: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """prints (fp, node, size, prefix), roots (fp, root) -> (a, b): nodes of different roots that share a shingle of their
+    prefixes and can be similar by size and place. No pair of this similarity and of different roots is missing."""
+    sets = prints.select("fp", "node", "size", "prefix").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = sets.select("root", "node", "size", F.posexplode("prefix").alias("at", "token"))
+    dealt = rows.repartition("token").sortWithinPartitions("token")
+    return dealt.select("token", "root", "node", "size", "at").mapInArrow(lambda b: meetings(b, similarity), "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -260,38 +364,57 @@ def near_duplicates(
     """(doc_id, fingerprint, component_id): groups of documents whose sets of shingles have this Jaccard similarity.
 
     Fingerprints up to two of 64 bits apart are linked as above. A similarity near 0.8 parts fingerprints by ten bits
-    and more, which distances to pivots cannot tell from chance, so these fingerprints have a second half, wider
-    candidates come from tables of sampled single-bit references, and they are verified on the texts of their
-    representatives. Chance pairs of 28 in 128 bits are rarer than one in 10^9."""
+    and more, which distances to pivots cannot tell from chance. Such pairs are found in two rounds, each verified on
+    texts. The first draws large groups together in linear time: fingerprints have a second half, and candidates come
+    from tables of sampled single-bit references. The second is exact: sets of that similarity share one of the
+    rarest shingles of each, and all those that do and are not yet in one group are compared."""
     ship(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     long = T.LongType()
+    common, often = common_shingles(chosen, shingle)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                got = [long_fingerprint(t.as_py() or b"", shingle) for t in part.column(1).cast(pa.binary())]
-                halves = [pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *halves], names=["doc_id", "fp", "high"])
-
-    schema = T.StructType([chosen.schema["doc_id"], T.StructField("fp", long), T.StructField("high", long)])
+                codes = [shingle_codes(t.as_py() or b"", shingle) for t in part.column(1).cast(pa.binary())]
+                got = [(*long_fingerprint(c), set_code(c), len(c)) for c in codes]
+                numbers = [pa.array([g[k] for g in got], pa.int64()) for k in range(4)]
+                rare = pa.array([prefix(c, similarity, common, often) if len(c) else [] for c in codes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, rare], names=["doc_id", "fp", "high", "node", "size", "prefix"])
+
+    fields = [T.StructField(c, long) for c in ("fp", "high", "node", "size")]
+    schema = T.StructType([chosen.schema["doc_id"], *fields, T.StructField("prefix", T.ArrayType(long))])
     prints = written(chosen.mapInArrow(of, schema), "fingerprints")
-    first = F.min(F.struct("doc_id", "high")).alias("first")
-    classes = written(prints.groupBy("fp").agg(first).select("fp", "first.high", F.col("first.doc_id").alias("least")), "fingerprint-classes")
+    first = F.min(F.struct("doc_id", "high", "node")).alias("first")
+    classes = prints.groupBy("fp").agg(first).select("fp", "first.high", "first.node", F.col("first.doc_id").alias("least"))
+    classes = written(classes, "fingerprint-classes")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those pairs (a, b) of keys whose texts are similar; sets (key, node, id) names a document for each key."""
+        asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        ids = sets.join(asked, "key", "left_semi")
+        source = chosen.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("x"))
+        found = source.join(ids, source["doc_id"].eqNullSafe(ids["id"])).select("key", "node", "x")
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:  # of several texts under one id, those with these shingles
+                texts = batch.column("x").cast(pa.binary()).to_pylist()
+                ok = [set_code(shingle_codes(t, shingle)) == node for t, node in zip(texts, batch.column("node").to_pylist())]
+                yield batch.select(["key", "x"]).filter(pa.array(ok, pa.bool_()))
+
+        texts = written(found.mapInArrow(own, "key long, x string").groupBy("key").agg(F.min("x").alias("x")), "candidate-texts")
+        both = pairs.join(texts.withColumnRenamed("key", "a"), "a").join(texts.select(F.col("key").alias("b"), F.col("x").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(lambda b: similar(b, shingle, similarity), "a long, b long")
+
     wide = written(wide_candidates(classes.select("fp", "high"), max_bits, tables, bits, near), "wide-candidates")
-    asked = wide.select(F.col("a").alias("fp")).unionByName(wide.select(F.col("b").alias("fp"))).distinct()
-    ids = classes.join(asked, "fp", "left_semi").select("fp", "high", F.col("least").alias("id"))
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    found = source.join(ids, source["doc_id"].eqNullSafe(ids["id"])).select("fp", "x")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # of several texts under one id, those with this fingerprint
-            texts = batch.column("x").cast(pa.binary()).to_pylist()
-            ok = [long_fingerprint(t, shingle)[0] == fp for t, fp in zip(texts, batch.column("fp").to_pylist())]
-            yield batch.filter(pa.array(ok, pa.bool_()))
-
-    texts = written(found.mapInArrow(own, "fp long, x string").groupBy("fp").agg(F.min("x").alias("x")), "candidate-texts")
-    pairs = wide.join(texts.withColumnRenamed("fp", "a"), "a").join(texts.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
-    linked = pairs.select("a", "b", "x", "y").mapInArrow(lambda b: similar(b, shingle, similarity), "a long, b long")
-    return labelled(prints, classes.select("fp", "least"), links(classes.select("fp")).unionByName(linked))
+    linked = verified(wide, classes.select(F.col("fp").alias("key"), "node", F.col("least").alias("id")))
+    roots = written(components(links(classes.select("fp")).unionByName(linked)), "first-round")
+    more = written(sharing(prints, roots.select(F.col("node").alias("fp"), "root"), similarity), "sharing-candidates")
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    nodes = nodes.select(F.col("node").alias("key"), "node", F.col("first.doc_id").alias("id"), F.col("first.fp").alias("fp"))
+    fps = nodes.select("key", "fp")
+    edges = written(verified(more, nodes.select("key", "node", "id")), "similar")
+    edges = edges.join(fps.withColumnRenamed("key", "a"), "a").select(F.col("fp").alias("x"), "b").join(fps.withColumnRenamed("key", "b"), "b")
+    every = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("x").alias("a"), F.col("fp").alias("b")))
+    return labelled(prints, classes.select("fp", "least"), every)
