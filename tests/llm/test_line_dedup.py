@@ -95,6 +95,19 @@ def test_moved_and_repeated_blocks():
     assert common_blocks([(0, 0, "a", 20), (2, 2, "b", 20)], row("ab"), 25) == []
 
 
+def test_blocks_outside_of_the_alignment(spark):
+    passage, menu = "passage " + "word " * 60, ["home about", "all rights reserved"]
+    assert common_blocks([(0, 0, "p", 60), (1, 1, "m", 2), (2, 2, "n", 3)], [(0, 0, "m", 2), (1, 1, "n", 3), (2, 2, "p", 60)], 25) == [(0, 0)]
+    rows = [(1, "\n".join([*menu, passage]), "", 0, 0), (2, "\n".join([passage, *menu]), "", 0, 0)]
+    assert {r.doc_id: r.clean_text for r in deduped(spark, rows)} == {1: rows[0][1], 2: "\n".join(menu)}
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([(k, k, rng.randint(0, 7), 10) for k in range(rng.randint(0, 14))] for _ in range(2))
+        want = {k for i in range(len(a)) for j in range(len(b)) for n in range(3, 15) if i + n <= len(a) and j + n <= len(b)
+                and all(a[i + x][2] == b[j + x][2] for x in range(n)) for k in range(i, i + n)}
+        assert {k for lo, hi in common_blocks(a, b, 25) for k in range(lo, hi + 1)} == want
+
+
 def test_patience_matches_equal_lines_in_order():
     rng = random.Random(1)
     for _ in range(200):

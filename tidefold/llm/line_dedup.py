@@ -12,7 +12,7 @@ Candidates come two ways, both linear in the input:
 
 Alignment sees the hashes of shared lines and their places only. Lines that occur once in both documents are anchors;
 the longest increasing sequence of anchors is kept, grown line by line, and the gaps are aligned again; blocks that
-were moved are found by aligning what is left. The numbered documents are written once and shuffled
+were moved are found by aligning what is left, and shared runs outside of all alignments by their hashes. The numbered documents are written once and shuffled
 once, to meet their deleted lines.
 
 Defined results: null and empty texts stay as they are and match nothing; lines without a word take part in no match,
@@ -23,7 +23,7 @@ gives an empty result. Other columns pass through, whatever their names (helper
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -98,12 +98,29 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def stretches(lines: list[tuple], min_words: int) -> Iterator[tuple[int, int]]:
+    """The shortest stretches (first, last) of neighbouring lines with min_words words, from each line on and up to each line."""
+    sums, begins = [0], []
+    for k, x in enumerate(lines):
+        sums.append(sums[-1] + x[3])
+        begins.append(begins[-1] if k and x[0] - lines[k - 1][0] == 1 else k)
+    for k in range(len(lines)):
+        end = bisect_left(sums, sums[k] + min_words) - 1
+        if end < len(lines) and begins[end] <= k:
+            yield k, end
+        start = bisect_right(sums, sums[k + 1] - min_words) - 1
+        if start >= begins[k]:
+            yield start, k
+
+
 def common_blocks(later: list[tuple], earlier: list[tuple], min_words: int) -> list[tuple[int, int]]:
     """Blocks (first line, last line) of the later document to delete.
 
     Both are lists of (place, line, hash, words), places counting lines with words; a step of more than one in place
-    means that a line between is not shared. Aligned again without the found blocks until nothing more is found."""
+    means that a line between is not shared. Aligned again without the found blocks until nothing more is found; then
+    what lies outside of the alignments is added: every shared stretch of min_words words."""
     blocks = []
+    whole = later
     while later:
         matched = patience([x[2] for x in later], [x[2] for x in earlier])
         gone: set[int] = set()
@@ -122,6 +139,14 @@ def common_blocks(later: list[tuple], earlier: list[tuple], min_words: int) -> l
         if not gone:
             break
         later = [x for k, x in enumerate(later) if k not in gone]
+    left = {x[1] for x in later}
+    if left:
+        mine, theirs = ([x[2] for x in side] for side in (whole, earlier))
+        known = {tuple(theirs[i : j + 1]) for i, j in stretches(earlier, min_words)}
+        for i, j in sorted(stretches(whole, min_words)) if known else ():
+            if tuple(mine[i : j + 1]) in known and any(x[1] in left for x in whole[i : j + 1]):
+                blocks.append((whole[i][1], whole[j][1]))
+                left.difference_update(x[1] for x in whole[i : j + 1])
     return blocks
 
 
