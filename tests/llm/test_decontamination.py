@@ -63,6 +63,24 @@ def test_planted_items_and_paraphrases(spark, block):
     assert sorted((r.doc_id, r.item_id) for r in hits.collect()) == sorted(want)
 
 
+def test_frequent_items(spark):
+    rng = random.Random(9)
+    item = words(rng, 30).capitalize() + ". " + words(rng, 4) + "."
+    docs = [(d, words(rng, 80) + (" " + item + " " + words(rng, 20) if d % 3 == 0 else ""), "x", 1) for d in range(300)]
+    others = [(2, "zuvo zuvi zavu zevo. zova zuve."), (3, "zuvo.")]
+    hits = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item), *others], ITEMS))
+    assert sorted((r.doc_id, r.item_id) for r in hits.collect()) == [(d, 1) for d in range(0, 300, 3)]
+
+
+def test_short_items_against_brute_force(spark):
+    rng = random.Random(12)
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n - 1)) + f". end{n}.") for n in range(2, 15)]
+    docs = [(n, " ".join([words(rng, 200), text, words(rng, 100 + n)]), "x", 1) for n, text in items]
+    filler = [(100, " ".join(sorted({w for _, t in items for w in t.split()}, key=lambda w: rng.random())), "x", 1)]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs + filler, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert {x for x in got if x[0] < 100} == {(n, n) for n, _ in items}
+
+
 def test_given_documents_against_all_five_grams(spark, sf_small):
     docs, bench = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "benchmark"))
     norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())

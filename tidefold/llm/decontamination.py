@@ -7,7 +7,9 @@ parts are summed by term, and the driver finishes on matrices of vocabulary time
 positive semidefinite A'A). The items are rows of the same collection, with as much weight as all passages.
 
 Search: windows of three or more lengths slide over each document, so that every item fits one of them; windows are
-projected by running sums and compared with the items by cosine. Candidates are verified on the sequences: the
+projected by running sums and compared with the items by cosine. Words in many passages have no weight there, so a
+second, exact way adds every window that holds as many of an item's rarest words as one that passes must; if all words
+of an item are without weight, its cosine is 0. Candidates are verified on the sequences: the
 longest common subsequence of item and window must hold ``min_lcs`` of the item's words in order, and
 ``min_answer`` of its last sentence, the answer. Paraphrases that keep most words are found, chance overlaps are not.
 
@@ -213,6 +215,7 @@ class Latent:
     words: list[np.ndarray]
     answers: list[np.ndarray]
     mass: np.ndarray  # squared norm of each item
+    df: np.ndarray  # passages that have a term
 
 
 def bit_masks(words: np.ndarray) -> dict[int, int]:
@@ -235,7 +238,7 @@ def window_sizes(items: Items) -> dict[int, list[int]]:
     """Window length -> the items that fit it, wherever they lie: a window moves on by a quarter of its length."""
     sizes: dict[int, list[int]] = {}
     for k, words in enumerate(items.words):
-        size = 24
+        size = 12
         while len(words) > size * 3 // 4:
             size *= 2
         sizes.setdefault(size, []).append(k)
@@ -278,12 +281,66 @@ def candidates(seq: np.ndarray, latent: Latent, sizes: dict[int, list[int]], min
                 yield int(own[col]), start, start + size, float(cosines[row, col] / norms[row])
 
 
+@dataclass
+class Rare:
+    """The rarest words of items, term by term: entries starts[t] to starts[t + 1] are those of term t."""
+
+    starts: np.ndarray
+    item: np.ndarray
+    times: np.ndarray  # how often the item's rare words have the term
+    least: np.ndarray  # of each item: so many of its rare words are in every window that may pass
+
+
+def rare_words(latent: Latent, own: list[int], min_lcs: float) -> Rare:
+    """A window that holds min_lcs of an item's words lacks few: of any words, more than these few, it holds the rest."""
+    entries, least = [], np.zeros(len(latent.words), np.int64)
+    for k in own:
+        words = latent.words[k]
+        need = max(1, ceil(min_lcs * len(words) - 1e-9))
+        least[k] = max(1, ceil(need / 3))
+        order = np.lexsort((words, latent.df[words]))
+        terms, times = np.unique(words[order[: len(words) - need + least[k]]], return_counts=True)
+        entries += [(t, k, n) for t, n in zip(terms.tolist(), times.tolist())]
+    term, item, times = np.array(sorted(entries), np.int64).reshape(-1, 3).T
+    return Rare(np.searchsorted(term, np.arange(len(latent.df) + 1)), item, times, least)
+
+
+def holding(seq: np.ndarray, size: int, rare: Rare) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of all windows that hold as many of an item's rare words as a window that passes must."""
+    step, entries = size // 4, len(rare.item)
+    at = np.flatnonzero(seq >= 0)
+    codes = seq[at]
+    many = rare.starts[codes + 1] - rare.starts[codes]
+    at, codes, many = at[many > 0], codes[many > 0], many[many > 0]
+    if not len(at):
+        return
+    offsets = np.cumsum(many) - many
+    entry = np.arange(many.sum()) + np.repeat(rare.starts[codes] - offsets, many)
+    held, counts = np.unique(np.repeat(at // step, many) * entries + entry, return_counts=True)
+    steps, entry = held // entries, held % entries
+    # An item is asked for in windows only where their four steps have enough of its words, repeated ones counted.
+    items = len(rare.least)
+    pair, place = np.unique(steps * items + rare.item[entry], return_inverse=True)
+    sums = np.bincount(place, np.minimum(counts, rare.times[entry])).astype(np.int64)
+    moved = np.concatenate([pair - k * items for k in range(4)])
+    windows, place = np.unique(moved, return_inverse=True)
+    enough = np.bincount(place, np.tile(sums, 4)) >= rare.least[windows % items]
+    for w in windows[enough & (windows >= 0)].tolist():
+        yield w % items, w // items * step, w // items * step + size
+
+
+def cosine_of(latent: Latent, item: int, text: np.ndarray) -> float:
+    vector = latent.terms[text[text >= 0]].sum(0)
+    return float(vector @ latent.items[item] / max(np.linalg.norm(vector), 1e-9))
+
+
 def search(
     batches: Iterator[pa.RecordBatch], latent: Latent, sizes: dict[int, list[int]], min_cosine: float, min_lcs: float, min_answer: float
 ) -> Iterator[pa.RecordBatch]:
     """Documents are searched together, parted by gaps that no window spans; a very long one has its own turn."""
     names = ["doc_id", "item", "cosine", "lcs", "answer"]
     gap = np.full(max(sizes), -1, np.int32)
+    rare = {size: rare_words(latent, own, min_lcs) for size, own in sizes.items()}
     asked = [(bit_masks(w), len(w), bit_masks(a), len(a)) for w, a in zip(latent.words, latent.answers)]
     for batch in batches:
         seqs = list(sequences([batch]))
@@ -298,12 +355,16 @@ def search(
                 row += 1
             joined = np.concatenate(parts)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for item, start, end, cosine in candidates(joined, latent, sizes, min_cosine):
+            near = {(item, start, end): cosine for item, start, end, cosine in candidates(joined, latent, sizes, min_cosine)}
+            for size, own in rare.items():
+                near.update((x, None) for x in holding(joined, size, own) if x not in near)
+            for (item, start, end), cosine in near.items():
                 words, size, answer, answer_size = asked[item]
                 doc = bisect_left(begins, end) - 1
                 text = joined[start:end].tolist()
                 share = lcs(words, size, text) / size
                 if share >= min_lcs and (said := lcs(answer, answer_size, text) / answer_size) >= min_answer:
+                    cosine = cosine_of(latent, item, joined[start:end]) if cosine is None else cosine
                     best[doc, item] = max(best.get((doc, item), (0.0, 0.0, 0.0)), (share, said, cosine))
             for (doc, item), (share, said, cosine) in best.items():
                 for column, value in zip(out, (row - len(begins) + doc, item, cosine, share, said)):
@@ -340,7 +401,7 @@ def fit(encoded: DataFrame, items: Items, rank: int, stop: float, seed: int) ->
     vectors = leading_vectors(product + boost * own.T @ (own @ test), test, rank).astype(np.float32)
     projected = own.astype(np.float32) @ vectors
     norms = np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)
-    return Latent(vectors * weights[:, None], weights, projected / norms, items.words, items.answers, (own**2).sum(1))
+    return Latent(vectors * weights[:, None], weights, projected / norms, items.words, items.answers, (own**2).sum(1), df)
 
 
 def contaminated(
