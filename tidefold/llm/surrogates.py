@@ -58,6 +58,8 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 NUMBERS = ("ssn", "card", "phone")
+#: Attempts that keep an entity's form; later ones widen it.
+SAME_FORM = 5
 
 
 def possible(text: Column) -> Column:
@@ -113,18 +115,32 @@ def pick(seed: Column, place: str, words: str) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), draw(seed, place, len(words)) + 1)
 
 
-def same_form(text: Column, seed: Column) -> Column:
-    """Digits for digits, letters for letters of the same case and script; all else as it is."""
+def same_form(text: Column, seed: Column, all_of_it: Column | None = None) -> Column:
+    """Digits for digits, letters for letters of the same case and script; all else as it is, or, where all_of_it says
+    so of a character, a small letter."""
 
     def char(c, k):
         out = F.when(F.lit(False), c)
         for alphabet, cls in zip(ALPHABETS, CLASSES):
             out = out.when(c.rlike(cls), F.substring(F.lit(alphabet), draw(seed, k, len(alphabet)) + 1, F.lit(1)))
+        if all_of_it is not None:
+            out = out.when(all_of_it | c.rlike(r"[\p{L}\p{N}]"), F.substring(F.lit(ALPHABETS[1]), draw(seed, k, 26) + 1, F.lit(1)))
         return out.otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), char), "")
 
 
+def more(seed: Column, attempt: Column) -> Column:
+    """Digits by which a surrogate gets longer, one more with each attempt after the first few: so drawing ends."""
+    digits = F.lpad(F.pmod(F.xxhash64(seed, F.lit("more")), F.lit(10**18)).cast("string"), 18, "0")
+    return F.left(digits, F.greatest(attempt - SAME_FORM, F.lit(0)))
+
+
+def secret_like(text: Column, seed: Column) -> Column:
+    """Characters without an alphabet are drawn too if they are letters or digits, or if the secret has no others."""
+    return same_form(text, seed, ~text.rlike(r"[\p{L}\p{N}]"))
+
+
 def email_like(text: Column, seed: Column) -> Column:
     """Another local part, and another host below a domain that is reserved for examples."""
     local = same_form(F.substring_index(text, "@", 1), seed)
@@ -133,8 +149,8 @@ def email_like(text: Column, seed: Column) -> Column:
     return F.concat(local, F.lit("@mail"), (draw(seed, "host", 900) + 100).cast("string"), F.lit(".example."), top)
 
 
-def ip_like(text: Column, seed: Column) -> Column:
-    """Octets of as many digits."""
+def ip_like(text: Column, seed: Column, attempt: Column) -> Column:
+    """Octets of as many digits; then of three; at last addresses of IPv6's range for documentation."""
 
     def octet(x, k):
         return (
@@ -144,7 +160,16 @@ def ip_like(text: Column, seed: Column) -> Column:
             .cast("string")
         )
 
-    return F.array_join(F.transform(F.split(text, r"\."), octet), ".")
+    def three(x, k):
+        return (draw(seed, k, 156) + 100).cast("string")
+
+    octets = F.split(text, r"\.")
+    wide = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(seed, 4 * k + 1, 4)) for k in range(6)])
+    return (
+        F.when(attempt <= SAME_FORM, F.array_join(F.transform(octets, octet), "."))
+        .when(attempt <= 2 * SAME_FORM, F.array_join(F.transform(octets, three), "."))
+        .otherwise(wide)
+    )
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -171,19 +196,17 @@ def phone_like(digits: Column, seed: Column) -> Column:
     return F.concat(F.substring(digits, F.lit(1), ahead), same_form(F.substring(digits, ahead + 1, F.length(digits)), seed))
 
 
-def name_like(text: Column, gender: Column, seed: Column) -> Column:
-    """As many words: a given name of the gender if there are two or more, and made-up family names."""
+def name_part(kind: Column, text: Column, gender: Column, seed: Column, attempt: Column) -> Column:
+    """A given name of the gender (text: name and gender), later with made-up ones; or a made-up family name."""
     out = F.lit(None).cast("string")
     sure = F.when(gender == "u", F.when(draw(seed, "gender", 2) == 0, "m").otherwise("f")).otherwise(gender)
     for script in ("latin", "cyrillic"):
         first = F.when(sure == "m", pick(seed, "given", GIVEN["m", script])).otherwise(pick(seed, "given", GIVEN["f", script]))
-
-        def word(w, k):
-            family = F.concat(*[pick(F.concat(seed, k.cast("string")), str(n), SYLLABLES[script]) for n in range(4)])
-            return F.when((k == 0) & (F.size(F.split(text, " ")) > 1), first).otherwise(F.initcap(family))
-
-        made = F.array_join(F.transform(F.split(text, " "), word), " ")
-        out = F.when(text.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~text.rlike(r"\p{IsCyrillic}"), made).otherwise(out)
+        made = [pick(F.concat(seed, F.lit("0")), str(n), SYLLABLES[script]) for n in range(4)]
+        rest = [F.when(attempt > SAME_FORM + n, pick(seed, f"more{n}", SYLLABLES[script])).otherwise("") for n in range(12)]
+        second = F.when(attempt > SAME_FORM, F.concat(F.lit("-"), F.initcap(F.concat(*made, *rest)))).otherwise("")
+        part = F.when(kind == "given", F.concat(first, second)).otherwise(F.initcap(F.concat(*made, *rest)))
+        out = F.when(text.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~text.rlike(r"\p{IsCyrillic}"), part).otherwise(out)
     return out
 
 
@@ -191,31 +214,35 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, text, gender, attempt) with surrogate."""
     named = entities.withColumn("_pii_text", F.col("text"))
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "text", "attempt"), 256)
-    text, kind = F.col("_pii_text"), F.col("kind")
+    text, kind, attempt = F.col("_pii_text"), F.col("kind"), F.col("attempt")
     named = named.withColumn("_pii_seed", seed)
     seed = F.col("_pii_seed")
     made = (
-        F.when(kind == "email", email_like(text, seed))
-        .when(kind == "ip", ip_like(text, seed))
+        F.when(kind == "email", F.concat(more(seed, attempt), email_like(text, seed)))
+        .when(kind == "ip", ip_like(text, seed, attempt))
         .when(kind == "card", card_like(text, seed))
         .when(kind == "phone", phone_like(text, seed))
-        .when(kind == "name", name_like(text, F.col("gender"), seed))
-        .when(kind == "secret", F.when(text.startswith("AKIA"), F.concat(F.lit("AKIA"), same_form(F.substring(text, 5, 999), seed))).otherwise(same_form(text, seed)))
+        .when(kind.isin("given", "family"), name_part(kind, text, F.col("gender"), seed, attempt))
+        .when(kind == "secret", F.when(text.startswith("AKIA"), F.concat(F.lit("AKIA"), same_form(F.substring(text, 5, 999), seed))).otherwise(secret_like(text, seed)))
         .when(kind == "iban", F.concat(F.left(text, F.lit(2)), same_form(F.substring(text, 3, 99), seed)))
         .otherwise(same_form(text, seed))
     )
+    made = F.when(kind.isin(*NUMBERS, "iban", "secret"), F.concat(made, more(seed, attempt))).otherwise(made)
     return named.withColumn("surrogate", made).drop("_pii_text", "_pii_seed")
 
 
 def distinct_surrogates(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
-    """entities (kind, text, gender) -> (kind, text, surrogate), no surrogate given twice or being an entity itself."""
+    """entities (kind, text, gender) -> (kind, text, surrogate), no surrogate given twice or being an entity itself.
+
+    Given names may be those of other entities, but not their own."""
     table = written(with_surrogates(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
     real = entities.select("kind", F.col("text").alias("surrogate"), F.lit(True).alias("real"))
     order = W.partitionBy("kind", "surrogate").orderBy("attempt", "text")
+    own = (F.col("kind") == "given") & (F.lower("surrogate") == F.substring_index("text", " ", 1))
     for _ in range(rounds):
-        judged = table.withColumn("surrogate_", F.when(F.col("kind") == "name", F.lower("surrogate")).otherwise(F.col("surrogate")))
+        judged = table.withColumn("surrogate_", F.when(F.col("kind") == "family", F.lower("surrogate")).otherwise(F.col("surrogate")))
         judged = judged.join(real.withColumnRenamed("surrogate", "surrogate_"), ["kind", "surrogate_"], "left").drop("surrogate_")
-        judged = judged.withColumn("again", (F.row_number().over(order) > 1) | F.col("real").isNotNull()).drop("real")
+        judged = judged.withColumn("again", (F.row_number().over(order) > 1) | F.col("real").isNotNull() | own).drop("real")
         judged = written(judged, "surrogates-judged")
         if judged.where("again").isEmpty():
             return judged.select("kind", "text", "surrogate")
@@ -225,6 +252,24 @@ def distinct_surrogates(entities: DataFrame, key: str, rounds: int = 30) -> Data
     raise RuntimeError("surrogates still collide; a kind has too few forms")
 
 
+def chosen_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """As distinct_surrogates, with names drawn by their parts: a family name has one surrogate in full and short names,
+    and so has a given name of one gender. As no two parts share a surrogate, no two names do."""
+    names = entities.where("kind = 'name'").select("text", "gender", F.split("text", " ").alias("words"))
+    names = names.select(
+        "text", "gender", F.element_at("words", -1).alias("family"),
+        F.when(F.size("words") > 1, F.concat_ws(" ", F.element_at("words", 1), "gender")).alias("given"),
+    )
+    families = names.select(F.lit("family").alias("kind"), F.col("family").alias("text"), F.lit("u").alias("gender")).distinct()
+    firsts = names.where("given IS NOT NULL").select(F.lit("given").alias("kind"), F.col("given").alias("text"), "gender").distinct()
+    chosen = distinct_surrogates(entities.where("kind <> 'name'").unionByName(families).unionByName(firsts), key)
+    last = chosen.where("kind = 'family'").select(F.col("text").alias("family"), F.col("surrogate").alias("new_family"))
+    first = chosen.where("kind = 'given'").select(F.col("text").alias("given"), F.col("surrogate").alias("new_given"))
+    made = names.join(last, "family").join(first, "given", "left")
+    made = made.select(F.lit("name").alias("kind"), "text", F.concat_ws(" ", "new_given", "new_family").alias("surrogate"))
+    return chosen.where("kind NOT IN ('family', 'given')").unionByName(made)
+
+
 def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     """The surrogate in the form of a mention: separators of a number, title and capitals of a name."""
     digit = F.transform(
@@ -238,10 +283,12 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
         F.split(raw, ""),
         lambda c, k: F.when(c == " ", c).otherwise(F.substring(surrogate, F.length(F.regexp_replace(F.substring(raw, F.lit(1), k + 1), " ", "")), F.lit(1))),
     )
+    # A widened surrogate has more than the mention has places for.
+    rest = F.substring(surrogate, F.length(F.regexp_replace(raw, F.when(kind == "iban", " ").otherwise("[^0-9]"), "")) + 1, F.length(surrogate))
     title = F.regexp_extract(raw, rf"\A((?:{titles})\.? )", 1)
     return (
-        F.when(kind.isin(*NUMBERS), F.array_join(digit, ""))
-        .when(kind == "iban", F.array_join(spaced, ""))
+        F.when(kind.isin(*NUMBERS), F.concat(F.array_join(digit, ""), rest))
+        .when(kind == "iban", F.concat(F.array_join(spaced, ""), rest))
         .when(kind == "name", F.concat(title, surrogate))
         .otherwise(surrogate)
     )
@@ -257,7 +304,7 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text
     raws = mentions.select("raw").distinct().withColumn("kind", kind_of(F.col("raw")))
     raws = written(raws.withColumns({"text": canonical(F.col("kind"), F.col("raw")), "gender": F.when(F.col("kind") == "name", gender_of(F.col("raw")))}), "mentions")
     entities = raws.groupBy("kind", "text").agg(F.coalesce(F.min(F.when(F.col("gender") != "u", F.col("gender"))), F.lit("u")).alias("gender"))
-    chosen = distinct_surrogates(entities, key)
+    chosen = chosen_surrogates(entities, key)
     spelled = raws.join(chosen, ["kind", "text"]).select("raw", rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"))
     news = mentions.join(spelled, "raw").groupBy("_pii_row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_pii_new"))
     parts = F.split(F.col(text), ANY, -1)
