@@ -90,9 +90,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '')
 l AS (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM d),
 n AS (SELECT r, source, line, md5(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'))) AS key,
   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
-k AS (SELECT *, min(key) OVER (PARTITION BY r) AS sketch FROM n WHERE words > 0),
-hosts AS (SELECT source, count(DISTINCT sketch) AS docs FROM k GROUP BY source),
-counts AS (SELECT source, key, count(DISTINCT sketch) AS c FROM k GROUP BY source, key),
+k AS (SELECT * FROM n WHERE words > 0),
+contents AS (SELECT r, string_agg(DISTINCT key, ' ' ORDER BY key) AS content FROM k GROUP BY r),
+firsts AS (SELECT source, min(r) AS r FROM d JOIN contents USING (r) GROUP BY source, content),
+hosts AS (SELECT source, count(*) AS docs FROM firsts GROUP BY source),
+counts AS (SELECT source, key, count(*) AS c FROM (SELECT DISTINCT k.source, k.key, k.r FROM k JOIN firsts ON k.r = firsts.r) AS u GROUP BY source, key),
 frequent AS (SELECT counts.source, key FROM counts JOIN hosts ON counts.source IS NOT DISTINCT FROM hosts.source WHERE c >= 10 AND c > docs * 0.02),
 per AS (SELECT k.r, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines, count(frequent.key) AS n_removed_lines,
   CAST(sum(CASE WHEN frequent.key IS NULL THEN 0 ELSE words END) AS BIGINT) AS gone
