@@ -7,13 +7,12 @@ of which the later stages keep one. An empty table passes through. Columns other
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import common, decontamination, line_dedup, line_quality, packing, simhash
-from tidefold.llm.common import read_table, shared_dir, written
+from tidefold.llm import decontamination, line_dedup, line_quality, packing, simhash
+from tidefold.llm.common import read_table, sweep, written
 from tidefold.llm.queries import word_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,24 +29,14 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
-_left: list[str] = []
-
-
 def stage(f):
-    """A stage deletes what earlier stages left in the shared folder: their results have been written by then. Tables
-    that docs still reads, if somebody hands a stage's result on unwritten, stay."""
+    """A stage first deletes the intermediates that nothing can read any more: those of earlier stages whose results
+    have been written and dropped. Results that somebody still holds keep theirs."""
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        made = {path for a, path in common.scratch if a == app}
-        old = [p for p in _left if p in made]
-        if old:
-            used = docs.inputFiles()
-            common.delete(spark, [p for p in old if not any(p.split(":", 1)[-1].strip("/") in file for file in used)])
-        out = f(spark, docs, sf_dir)
-        _left[:] = [path for a, path in common.scratch if a == app and path not in made or path in _left]
-        return out
+        sweep(spark, collect=True)
+        return f(spark, docs, sf_dir)
 
     return run_stage
 
@@ -106,11 +95,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+        docs = written(out, f"pipeline-stage{k}")
+        del out  # so that the next stage can delete its intermediates

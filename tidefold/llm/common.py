@@ -1,30 +1,19 @@
-"""What the operators share: tables, the shared folder and written intermediates."""
+"""What the operators share: tables, written intermediates, and the package on its way to the workers."""
 
 from __future__ import annotations
 
 import json
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidefold.storage import delete, read_table, shared_dir, sweep, written
 
+__all__ = ["delete", "read_table", "shared_dir", "ship", "small_table", "sweep", "written"]
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    context = spark.sparkContext
-    if found := context.getConf().get("spark.checkpoint.dir"):
-        return found
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return context._jsc.sc().getCheckpointDir().get()
 
 
 _shipped: set[str] = set()
@@ -47,31 +36,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it outlives executors and cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    scratch.append((spark.sparkContext.applicationId, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-#: (application, path) of the tables that written() has made and nobody has deleted.
-scratch: list[tuple[str, str]] = []
-
-
-def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables of written() that nothing reads any more."""
-    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    gone = {(app, path) for path in paths}
-    scratch[:] = [x for x in scratch if x not in gone]
-
-
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of a few driver-side rows as plain SQL: a JSON literal that is inlined."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

@@ -152,17 +152,15 @@ def simhash_components(
     """(doc_id, fingerprint, component_id), a row for each row of docs."""
     prints = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    return labelled(prints, classes, links(classes.select("fp"), max_bits, full))
-
-
-def labelled(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    roots = components(edges).select(F.col("node").alias("fp"), "root")
+    roots = components(links(classes.select("fp"), max_bits, full)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints.join(ids, "fp").select("doc_id", fingerprint_text(), "component_id")
+
+
+def fingerprint_text() -> Column:
+    return F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
 
 
 def shingle_set(text: bytes, shingle: int) -> set[bytes]:
@@ -280,25 +278,30 @@ def common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, most: i
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_codes(t.as_py() or b"", shingle)[:, 0].view(np.int64))], names=["h"])
 
     counts = some.select("text").mapInArrow(of, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rows = counts.orderBy(F.desc("n"), "h").limit(most).collect()
-    common = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("n"), "h").limit(most).toArrow()
+    common = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(common)
-    return common[order], np.array([r.n for r in rows], np.int64)[order]
+    return common[order], rows.column("n").to_numpy()[order]
 
 
 def met(root: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the rows of one shingle, of different roots, that sizes and places allow to be similar if it is their first common one."""
-    order = np.lexsort((node, size))
-    order = order[np.append(True, node[order][1:] != node[order][:-1])]
+    """Pairs of the rows of one shingle, of different roots, that sizes and places allow to be similar if it is their first
+    common one. The largest group is not compared with itself: rows outside of it are compared with all."""
+    order = np.argsort(size, kind="stable")
     root, node, size, left = root[order], node[order], size[order], (size - at)[order]
-    ends = np.searchsorted(size, size / similarity + 1e-6, "right")
+    groups, which, counts = np.unique(root, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(which != counts.argmax())
+    begins = np.searchsorted(size, size[outside] * similarity - 1e-6, "left")
+    ends = np.searchsorted(size, size[outside] / similarity + 1e-6, "right")
+    inside = which == counts.argmax()
     lo = 0
-    while lo < len(node):
-        hi = lo + max(1, (1 << 21) // (len(node) - lo))
-        rows = np.arange(lo, min(hi, len(node)))
-        others = np.arange(lo, ends[rows[-1]])
+    while lo < len(outside):
+        hi = lo + max(1, (1 << 21) // len(node))
+        rows = outside[lo:hi]
+        first, last = begins[lo], ends[min(hi, len(outside)) - 1]
+        others = np.arange(first, last)
         x, y = rows[:, None], others[None, :]
-        ok = (y > x) & (y < ends[x]) & (root[x] != root[y])
+        ok = (y >= begins[lo:hi, None]) & (y < ends[lo:hi, None]) & (root[x] != root[y]) & (inside[y] | (y > x))
         ok &= np.minimum(left[x], left[y]) >= similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
         i, j = np.nonzero(ok)
         if len(i):
@@ -341,11 +344,11 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield from pairs([np.concatenate(x) for x in zip(*held)])
 
 
-def sharing(prints: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """prints (fp, node, size, prefix), roots (fp, root) -> (a, b): nodes of different roots that share a shingle of their
+def sharing(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """sets (node, size, prefix), roots (node, root) -> (a, b): nodes of different roots that share a shingle of their
     prefixes and can be similar by size and place. No pair of this similarity and of different roots is missing."""
-    sets = prints.select("fp", "node", "size", "prefix").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rows = sets.select("root", "node", "size", F.posexplode("prefix").alias("at", "token"))
+    rooted = sets.select("node", "size", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rooted.select("root", "node", "size", F.posexplode("prefix").alias("at", "token"))
     dealt = rows.repartition("token").sortWithinPartitions("token")
     return dealt.select("token", "root", "node", "size", "at").mapInArrow(lambda b: meetings(b, similarity), "a long, b long").distinct()
 
@@ -363,11 +366,12 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of documents whose sets of shingles have this Jaccard similarity.
 
-    Fingerprints up to two of 64 bits apart are linked as above. A similarity near 0.8 parts fingerprints by ten bits
-    and more, which distances to pivots cannot tell from chance. Such pairs are found in two rounds, each verified on
-    texts. The first draws large groups together in linear time: fingerprints have a second half, and candidates come
-    from tables of sampled single-bit references. The second is exact: sets of that similarity share one of the
-    rarest shingles of each, and all those that do and are not yet in one group are compared."""
+    Rows with one set of shingles are one node. Candidates come in two rounds, and texts verify every pair of both. The
+    first draws large groups together in linear time: fingerprints up to two of 64 bits apart, found as above, and, as a
+    similarity near 0.8 parts fingerprints by ten bits and more, which distances to pivots cannot tell from chance,
+    fingerprints with a second half that are neighbours in tables of sampled single-bit references. The second round is
+    exact: sets of that similarity share one of the rarest shingles of each, and all those that do, that sizes and
+    places allow to be similar and that are not yet in one group are compared."""
     ship(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     long = T.LongType()
@@ -386,35 +390,39 @@ def near_duplicates(
     fields = [T.StructField(c, long) for c in ("fp", "high", "node", "size")]
     schema = T.StructType([chosen.schema["doc_id"], *fields, T.StructField("prefix", T.ArrayType(long))])
     prints = written(chosen.mapInArrow(of, schema), "fingerprints")
-    first = F.min(F.struct("doc_id", "high", "node")).alias("first")
-    classes = prints.groupBy("fp").agg(first).select("fp", "first.high", "first.node", F.col("first.doc_id").alias("least"))
-    classes = written(classes, "fingerprint-classes")
+    first = F.min(F.struct("doc_id", "fp", "high", "size", "prefix")).alias("first")
+    sets = written(prints.groupBy("node").agg(first).select("node", "first.*"), "shingle-sets")
 
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of keys whose texts are similar; sets (key, node, id) names a document for each key."""
-        asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        ids = sets.join(asked, "key", "left_semi")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) of nodes whose texts are similar."""
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        ids = sets.select("node", F.col("doc_id").alias("id")).join(asked, "node", "left_semi")
         source = chosen.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("x"))
-        found = source.join(ids, source["doc_id"].eqNullSafe(ids["id"])).select("key", "node", "x")
+        found = source.join(ids, source["doc_id"].eqNullSafe(ids["id"])).select("node", "x")
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:  # of several texts under one id, those with these shingles
                 texts = batch.column("x").cast(pa.binary()).to_pylist()
                 ok = [set_code(shingle_codes(t, shingle)) == node for t, node in zip(texts, batch.column("node").to_pylist())]
-                yield batch.select(["key", "x"]).filter(pa.array(ok, pa.bool_()))
+                yield batch.select(["node", "x"]).filter(pa.array(ok, pa.bool_()))
 
-        texts = written(found.mapInArrow(own, "key long, x string").groupBy("key").agg(F.min("x").alias("x")), "candidate-texts")
-        both = pairs.join(texts.withColumnRenamed("key", "a"), "a").join(texts.select(F.col("key").alias("b"), F.col("x").alias("y")), "b")
+        texts = written(found.mapInArrow(own, "node long, x string").groupBy("node").agg(F.min("x").alias("x")), "candidate-texts")
+        both = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(lambda b: similar(b, shingle, similarity), "a long, b long")
 
-    wide = written(wide_candidates(classes.select("fp", "high"), max_bits, tables, bits, near), "wide-candidates")
-    linked = verified(wide, classes.select(F.col("fp").alias("key"), "node", F.col("least").alias("id")))
-    roots = written(components(links(classes.select("fp")).unionByName(linked)), "first-round")
-    more = written(sharing(prints, roots.select(F.col("node").alias("fp"), "root"), similarity), "sharing-candidates")
-    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
-    nodes = nodes.select(F.col("node").alias("key"), "node", F.col("first.doc_id").alias("id"), F.col("first.fp").alias("fp"))
-    fps = nodes.select("key", "fp")
-    edges = written(verified(more, nodes.select("key", "node", "id")), "similar")
-    edges = edges.join(fps.withColumnRenamed("key", "a"), "a").select(F.col("fp").alias("x"), "b").join(fps.withColumnRenamed("key", "b"), "b")
-    every = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("x").alias("a"), F.col("fp").alias("b")))
-    return labelled(prints, classes.select("fp", "least"), every)
+    # Of the nodes with one fingerprint the first stands for all; it is a candidate with each of the others.
+    classes = sets.groupBy("fp").agg(F.min(F.struct("node", "high")).alias("first")).select("fp", "first.node", "first.high")
+    classes = written(classes, "fingerprint-classes")
+    near_fps = links(classes.select("fp")).unionByName(wide_candidates(classes.select("fp", "high"), max_bits, tables, bits, near)).distinct()
+    node_of = classes.select(F.col("fp").alias("a"), F.col("node").alias("x"))
+    found = near_fps.join(node_of, "a").join(node_of.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
+    same = sets.select("fp", F.col("node").alias("y")).join(classes.select("fp", F.col("node").alias("x")), "fp").where("x <> y")
+    pairs = written(found.unionByName(same.select("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-candidates")
+    roots = written(components(verified(pairs)), "first-round")
+    more = written(sharing(sets, roots, similarity), "sharing-candidates")
+    every = verified(more).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    roots = components(every)
+    rooted = sets.select("node", F.col("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = rooted.join(least, "root").select("node", "component_id")
+    return prints.select("doc_id", "fp", "node").join(ids, "node").select("doc_id", fingerprint_text(), "component_id")
