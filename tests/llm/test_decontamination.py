@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.llm.decontamination import bit_masks, contaminated, lcs, leading_vectors, random_matrix
+from tidefold.llm.decontamination import bit_masks, contaminated, grouped_sum, lcs, leading_vectors, random_matrix
 
 
 def lcs_table(a, b):
@@ -35,6 +35,16 @@ def test_leading_vectors_span_those_of_an_exact_svd():
     assert np.linalg.svd(got.T @ exact)[1].min() > 0.999
 
 
+def test_grouped_sums():
+    rng = np.random.default_rng(3)
+    table = rng.standard_normal((40, 5))
+    for sizes in ([1], [3, 1, 200, 2], [1] * 50, rng.integers(1, 60, 90).tolist()):
+        groups, codes = np.repeat(np.arange(len(sizes)) * 3, sizes), rng.integers(0, 40, sum(sizes))
+        at, got = grouped_sum(table, codes, groups)
+        assert at.tolist() == [3 * k for k in range(len(sizes))]
+        assert np.allclose(got, [table[codes[groups == g]].sum(0) for g in at])
+
+
 ITEMS = "item_id long, text string"
 DOCS = "doc_id long, text string, item_id string, seq int"
 
@@ -72,6 +82,39 @@ def test_frequent_items(spark):
     assert sorted((r.doc_id, r.item_id) for r in hits.collect()) == [(d, 1) for d in range(0, 300, 3)]
 
 
+@pytest.mark.parametrize("share", [1, 50, 300])
+def test_an_item_in_all_some_or_one_of_the_documents(spark, share):
+    """However widely an item leaked, every document with it is found, and an item of common words too."""
+    rng = random.Random(share)
+    item, common = words(rng, 40) + ". " + words(rng, 5) + ".", " ".join(["lo", "mi", "te", "so"] * 6) + ". pa ne."
+    docs = [(d, words(rng, 300) + (" " + item if d % share == 0 else "") + " " + (common if d == 7 else "") + " " + words(rng, 90), "x", 1) for d in range(300)]
+    hits = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item), (2, common)], ITEMS))
+    got = {(r.doc_id, r.item_id) for r in hits.collect()}
+    assert {d for d, i in got if i == 1} == set(range(0, 300, share)) and (7, 2) in got
+
+
+def test_paraphrases_at_two_sizes_against_all_pairs(spark):
+    """All pairs of item and document: those whose best stretch of document has 0.7 of the item's words in order."""
+    for n, seed in ((40, 1), (400, 2)):
+        rng = random.Random(seed)
+        items = [(i, words(rng, 25) + ". " + words(rng, 5) + ".") for i in range(20)]
+        docs, want = [], set()
+        for d in range(n):
+            item = rng.randrange(20)
+            kept = [w for w in items[item][1].split() if rng.random() < rng.choice([0.5, 0.75, 0.95])]
+            docs.append((d, " ".join([words(rng, 100), *kept, words(rng, 60)]), "x", 1))
+        coded = lambda t: re.findall(r"[^\W_]+", t.lower())
+        for d, text, _, _ in docs:
+            doc = coded(text)
+            for i, asked in items:
+                w, answer = coded(asked), coded(asked.split(". ")[1])
+                spans = [doc[k : k + len(w)] for k in range(0, len(doc), 5)]
+                if any(lcs_table(w, x) >= 0.7 * len(w) and lcs_table(answer, x) >= 0.6 * len(answer) for x in spans):
+                    want.add((d, i))
+        got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+        assert len(want) > n // 4 and want <= got and len(got - want) < 0.05 * n
+
+
 def test_short_items_against_brute_force(spark):
     rng = random.Random(12)
     items = [(n, " ".join(f"w{n}x{k}" for k in range(n - 1)) + f". end{n}.") for n in range(2, 15)]

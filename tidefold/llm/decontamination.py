@@ -13,8 +13,9 @@ of an item are without weight, its cosine is 0. Candidates are verified on the s
 longest common subsequence of item and window must hold ``min_lcs`` of the item's words in order, and
 ``min_answer`` of its last sentence, the answer. Paraphrases that keep most words are found, chance overlaps are not.
 
-Bounds: items are taken in blocks of at most ``block_items``; what is broadcast or collected depends on a block's
-vocabulary and the rank, never on the documents. No text is shuffled.
+Bounds: texts are read once, with the vocabulary of all items, which is broadcast; items are then taken in blocks of at
+most ``block_items``, each a search through the compact sequences. What else is broadcast or collected depends on a
+block's vocabulary and the rank, never on the documents. No text is shuffled.
 
 Defined results: null and empty texts have no words and no hits; items without words are never found. Repeated rows
 with one doc_id give one row per item. Empty tables give an empty result. Other columns are not read.
@@ -31,23 +32,26 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship, written
 
-MARKS = re.compile(r"[\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Marks that most words have at an end, and what is no letter or digit.
+EDGES, MARKS = ".,;:!?\"'()", r"[^\pL\pN]+"
 PASSAGE = 64
-#: Chunks remembered by a task, term occurrences projected at once.
-REMEMBERED, AT_ONCE = 400_000, 16_384
+#: Term occurrences projected at once.
+AT_ONCE = 16_384
 
 
-def term(chunk: bytes) -> str:
-    if chunk.isalpha():  # ASCII letters
-        return chunk.lower().decode()
-    return MARKS.sub("", chunk.decode().lower())
+def terms_of(chunks: pa.Array) -> pa.Array:
+    """Chunks between white space in lower case, without all that is no letter or digit."""
+    low = pc.utf8_trim(pc.utf8_lower(chunks), characters=EDGES)
+    odd = pc.invert(pc.utf8_is_alnum(low))
+    return pc.replace_with_mask(low, odd, pc.replace_substring_regex(low.filter(odd), pattern=MARKS, replacement=""))
 
 
 @dataclass
@@ -62,7 +66,7 @@ def items_of(rows: list[tuple]) -> Items:
     terms: dict[str, int] = {}
 
     def coded(text: str) -> np.ndarray:
-        found = [w for c in text.encode().split() if (w := term(c))]
+        found = [w for w in terms_of(pc.ascii_split_whitespace(pa.array([text])).flatten()).to_pylist() if w]
         return np.array([terms.setdefault(w, len(terms)) for w in found], np.int32)
 
     ids, words, answers = [], [], []
@@ -75,30 +79,30 @@ def items_of(rows: list[tuple]) -> Items:
     return Items(ids, terms, words, answers)
 
 
-class Codes(dict):
-    """Chunk of text -> term id, -1 if no item has it, -2 if it has no letter or digit."""
-
-    def __init__(self, terms: dict[str, int]):
-        self.terms = terms
-
-    def __missing__(self, chunk: bytes) -> int:
-        word = term(chunk)
-        self[chunk] = code = self.terms.get(word, -1) if word else -2
-        return code
-
-
-def encode(batches: Iterator[pa.RecordBatch], terms: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    codes = Codes(terms)
+def encode(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, seq): the ids of a text's words, -1 for those that no item has, as 32-bit numbers."""
+    known = pa.array(terms, pa.string())
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
-            part, rows = batch.slice(lo, 500), []
-            if len(codes) > REMEMBERED:
-                codes.clear()
-            for text in part.column(1).cast(pa.binary()):
-                chunks = (text.as_py() or b"").split()
-                seq = np.fromiter(map(codes.__getitem__, chunks), np.int32, len(chunks))
-                rows.append(seq[seq > -2].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["doc_id", "seq"])
+            part = batch.slice(lo, 500)
+            words = pc.ascii_split_whitespace(pc.fill_null(part.column(1), ""))
+            chunks = words.flatten().dictionary_encode()
+            spelled = terms_of(chunks.dictionary)
+            codes = pc.fill_null(pc.index_in(spelled, value_set=known), -1).to_numpy().astype(np.int32)
+            codes[pc.equal(pc.binary_length(spelled), 0).to_numpy(zero_copy_only=False)] = -2
+            seq = codes[chunks.indices.to_numpy()]
+            offsets = np.asarray(words.offsets)
+            ends = np.append(0, np.cumsum(seq > -2))[offsets - offsets[0]]
+            buffers = [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(seq[seq > -2].tobytes())]
+            rows = pa.Array.from_buffers(pa.binary(), len(part), buffers)
+            yield pa.RecordBatch.from_arrays([part.column(0), rows], names=["doc_id", "seq"])
+
+
+def in_block(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sequences with the ids of a block: own has them by the ids of all items, and -1 at the end for all other words."""
+    for batch in batches:
+        rows = [own[seq].tobytes() for seq in sequences([batch])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "seq"])
 
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -146,10 +150,23 @@ def term_counts(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.Re
     )
 
 
-def grouped_sum(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """groups is sorted: the sums of the rows of each group."""
+def grouped_sum(table: np.ndarray, codes: np.ndarray, groups: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """groups is sorted: the sums of table[codes] over each group. Groups are added up side by side, place by place; where
+    only few go on, one after the other."""
     starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-    return groups[starts], np.add.reduceat(rows, starts, axis=0)
+    counts = np.diff(np.append(starts, len(groups)))
+    order = np.argsort(-counts, kind="stable")
+    first, many = starts[order], -counts[order]
+    sums = table[codes[first]]
+    place = 1
+    while (going := np.searchsorted(many, -place)) > few:
+        sums[:going] += table[codes[first[:going] + place]]
+        place += 1
+    for k in range(going):
+        sums[k] += table[codes[first[k] + place : first[k] - many[k]]].sum(axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return groups[starts], out
 
 
 def sketch_part(batches: Iterator[pa.RecordBatch], weights: np.ndarray, width: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -161,10 +178,10 @@ def sketch_part(batches: Iterator[pa.RecordBatch], weights: np.ndarray, width: i
         p, t = p[keep], t[keep]
         if not len(t):
             continue
-        at, rows = grouped_sum(scaled[t], p)
+        at, rows = grouped_sum(scaled, t, p)
         back = rows[np.searchsorted(at, p)] * weights[t][:, None]
         order = np.argsort(t, kind="stable")
-        at, rows = grouped_sum(back[order], t[order])
+        at, rows = grouped_sum(back, order, t[order])
         total[at] += rows
     at = np.flatnonzero(total.any(axis=1))
     for lo in range(0, len(at), 1000):
@@ -266,7 +283,7 @@ def candidates(seq: np.ndarray, latent: Latent, sizes: dict[int, list[int]], min
         keep = used[at]
         if not keep.any():
             continue
-        found, sums = grouped_sum(latent.terms[codes[keep]], at[keep])
+        found, sums = grouped_sum(latent.terms, codes[keep], at[keep])
         sums = np.vstack([sums, np.zeros((1, sums.shape[1]), np.float32)])
         row_of = np.full(steps, len(found))
         row_of[found] = np.arange(len(found))
@@ -375,10 +392,10 @@ def search(
         )
 
 
-def fit(encoded: DataFrame, items: Items, rank: int, stop: float, seed: int) -> Latent:
+def fit(encoded: DataFrame, items: Items, own: np.ndarray, rank: int, stop: float, seed: int) -> Latent:
     """The latent space of all passages and items; stop: terms in a larger share of passages have no weight."""
     terms = len(items.terms)
-    counted = encoded.mapInArrow(lambda b: term_counts(b, terms), "term int, df long, squares long")
+    counted = encoded.mapInArrow(lambda b: term_counts(in_block(b, own), terms), "term int, df long, squares long")
     rows = counted.groupBy("term").agg(F.sum("df"), F.sum("squares")).collect()  # a row per term of the vocabulary
     df, squares = np.zeros(terms + 1), np.zeros(terms + 1)
     for t, n, s in rows:
@@ -389,19 +406,19 @@ def fit(encoded: DataFrame, items: Items, rank: int, stop: float, seed: int) ->
         weights[df > max(stop * total, 50)] = 0
     rank = min(rank, terms)
     width = min(rank + 16, terms)
-    parts = encoded.mapInArrow(lambda b: sketch_part(b, weights, width, seed), "term int, row binary")
+    parts = encoded.mapInArrow(lambda b: sketch_part(in_block(b, own), weights, width, seed), "term int, row binary")
     parts = parts.repartition("term").mapInArrow(lambda b: summed(b, width), "term int, row binary")
     test = random_matrix(terms, width, seed).astype(float)
     product = np.zeros((terms, width))
     for t, row in parts.collect():  # vocabulary times width
         product[t] = np.frombuffer(row, np.float32)
-    own = weighted_rows(items, weights).astype(float)
-    energy = (own**2).sum()
+    asked = weighted_rows(items, weights).astype(float)
+    energy = (asked**2).sum()
     boost = max((weights.astype(float) ** 2 * squares).sum(), energy) / energy if energy else 1.0
-    vectors = leading_vectors(product + boost * own.T @ (own @ test), test, rank).astype(np.float32)
-    projected = own.astype(np.float32) @ vectors
+    vectors = leading_vectors(product + boost * asked.T @ (asked @ test), test, rank).astype(np.float32)
+    projected = asked.astype(np.float32) @ vectors
     norms = np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)
-    return Latent(vectors * weights[:, None], weights, projected / norms, items.words, items.answers, (own**2).sum(1), df)
+    return Latent(vectors * weights[:, None], weights, projected / norms, items.words, items.answers, (asked**2).sum(1), df)
 
 
 def contaminated(
@@ -425,22 +442,30 @@ def contaminated(
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_field, item_field = chosen.schema["doc_id"], asked.schema["item_id"]
     found = asked.limit(block_items + 1).collect()
-    if len(found) <= block_items:
-        blocks = [found]
-    else:
-        n = ceil(1.2 * asked.count() / block_items)
-        blocks = (asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() for k in range(n))
+    n = 0 if len(found) <= block_items else ceil(1.2 * asked.count() / block_items)
+
+    def blocks() -> Iterator[Items]:
+        for k in range(max(n, 1)):
+            rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() if n else found
+            if (items := items_of(sorted(map(tuple, rows), key=repr))).ids:
+                yield items
+
+    # The vocabulary of all blocks, so that the texts are read once.
+    terms: dict[str, int] = {}
+    for items in blocks():
+        for word in items.terms:
+            terms.setdefault(word, len(terms))
+    long_schema = T.StructType([id_field, T.StructField("seq", T.BinaryType())])
+    sent_terms = docs.sparkSession.sparkContext.broadcast(list(terms))
+    encoded = written(chosen.mapInArrow(lambda b: encode(b, sent_terms.value), long_schema), "term-sequences") if terms else None
     parts = []
-    for block in blocks:
-        items = items_of(sorted(map(tuple, block), key=repr))
-        if not items.ids:
-            continue
-        schema = T.StructType([id_field, T.StructField("seq", T.BinaryType())])
-        encoded = written(chosen.mapInArrow(lambda b, i=items: encode(b, i.terms), schema), "term-sequences")
-        latent, sizes = fit(encoded, items, rank, stop, seed), window_sizes(items)
+    for items in blocks() if terms else ():
+        own = np.full(len(terms) + 1, -1, np.int32)
+        own[[terms[word] for word in items.terms]] = list(items.terms.values())
+        latent, sizes = fit(encoded, items, own, rank, stop, seed), window_sizes(items)
         schema = T.StructType([id_field, T.StructField("item", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("cosine", "lcs", "answer"))])
-        sent = docs.sparkSession.sparkContext.broadcast((latent, sizes))
-        hits = encoded.mapInArrow(lambda b, s=sent: search(b, *s.value, min_cosine, min_lcs, min_answer), schema)
+        sent = docs.sparkSession.sparkContext.broadcast((own, latent, sizes))
+        hits = encoded.mapInArrow(lambda b, s=sent: search(in_block(b, s.value[0]), *s.value[1:], min_cosine, min_lcs, min_answer), schema)
         names = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), T.StructType([T.StructField("item", T.IntegerType()), item_field]))
         parts.append(hits.join(F.broadcast(names), "item"))
     if not parts:
