@@ -10,7 +10,8 @@ Candidates come two ways, both linear in the input:
   it to all later ones. Every block that may be deleted begins with such a run, so common lines lose nothing, and a
   line or group of copies in a third of all documents adds one pair for each of them.
 
-Alignment sees the hashes of shared lines and their places only. Lines that occur once in both documents are anchors;
+Candidates meet on 64-bit hashes; alignment compares lines by two of them, so that lines of a very large corpus are not
+taken for each other, and sees nothing else of them but their places. Lines that occur once in both documents are anchors;
 the longest increasing sequence of anchors is kept, grown line by line, and the gaps are aligned again; blocks that
 were moved are found by aligning what is left, and shared runs outside of all alignments by their hashes. The numbered documents are written once and shuffled
 once, to meet their deleted lines.
@@ -32,9 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, written
-from .line_quality import n_words_of
+from .line_quality import n_words_of, spaced
 
-SPACES = r"[\x20\x09-\x0D]+"
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of pairs (sorted by the first) that rises in the second."""
@@ -155,7 +155,7 @@ def aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
     for batch in batches:
         docs, gone = [], []
         for row, mine, theirs in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            got = common_blocks(*([(x["at"], x["line"], x["h"], x["w"]) for x in side] for side in (mine, theirs)), min_words)
+            got = common_blocks(*([(x["at"], x["line"], (x["h"], x["c"]), x["w"]) for x in side] for side in (mine, theirs)), min_words)
             for lo, hi in got:
                 docs.append(row)
                 gone.append({"lo": lo, "hi": hi})
@@ -171,13 +171,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     rows = written(docs.withColumn("_ld_row", F.monotonically_increasing_id()), "numbered-documents")
     raw = F.transform(
         F.split(F.col(text), "\n", -1),
-        lambda x, k: F.struct(k.alias("line"), F.trim(F.regexp_replace(x, SPACES, " ")).alias("x")),
+        lambda x, k: F.struct(k.alias("line"), spaced(x).alias("x")),
     )
     coded = F.transform(
         F.filter(raw, lambda x: x["x"] != ""),
         lambda x, k: F.struct(
-            k.alias("at"), x["line"].alias("line"), F.xxhash64(x["x"]).alias("h"),
-            (F.length(x["x"]) - F.length(F.translate(x["x"], " ", "")) + 1).alias("w"),
+            k.alias("at"), x["line"].alias("line"), F.xxhash64(x["x"]).alias("h"), F.xxhash64(F.lit(1), x["x"]).alias("c"),
+            (F.length(x["x"]) - F.length(F.replace(x["x"], F.lit(" "), F.lit(""))) + 1).alias("w"),
         ),
     )
     key = F.struct(F.col(doc_id).alias("id"), F.col("_ld_row").alias("row"))
@@ -212,7 +212,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     # What alignment needs of a document: its shared lines with their places.
     needed = pairs.select(F.col("doc").alias("row")).unionByName(pairs.select(F.col("owner").alias("row"))).distinct()
-    table = own.select(F.col("doc.row").alias("row"), F.struct("at", "line", "h", "w").alias("x")).join(needed, "row", "left_semi")
+    table = own.select(F.col("doc.row").alias("row"), F.struct("at", "line", "h", "c", "w").alias("x")).join(needed, "row", "left_semi")
     table = written(table.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("lines")), "shared-by-document")
     both = pairs.join(table.select(F.col("row").alias("doc"), F.col("lines").alias("mine")), "doc")
     both = both.join(table.select(F.col("row").alias("owner"), F.col("lines").alias("theirs")), "owner")

@@ -47,11 +47,14 @@ def word_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), has_word)
 
 
+def spaced(line: Column) -> Column:
+    """Trimmed, with single spaces; most lines have only such, and need no rewriting."""
+    return F.trim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, SPACES, " ")).otherwise(line))
+
+
 def line_key(line: Column) -> Column:
     """Lower case, single spaces, trimmed; then MD5, so that different lines do not meet at any size."""
-    low = F.lower(line)
-    spaced = F.when(low.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(low, SPACES, " ")).otherwise(low)
-    return F.md5(F.trim(spaced))
+    return F.md5(spaced(F.lower(line)))
 
 
 def repeated_words(grams: Column, few: int = 8) -> Column:
