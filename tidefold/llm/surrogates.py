@@ -5,19 +5,19 @@ case, a name without its title) gets one keyed surrogate of the same type and fo
 digits become digits, letters become letters of the same case and script, addresses stay addresses, octets stay
 octets, card numbers keep their issuer digit and a right check digit, names keep gender and script. Then surrogates
 are checked: two entities of one type never share one, and none is itself an entity of the corpus; those that fail
-draw again until none fails. So mentions that were equal stay equal, and those that differed differ.
+draw again, at last from longer forms, until none fails. So mentions that were equal stay equal, and those that differed differ.
 
 Only documents with entities are shuffled, by row; all others pass through where they are read. Entities meet their
 surrogates in joins, after distinct, so an entity in a third of all rows is one row there.
 
 Defined results: null texts stay null, empty ones empty. Repeated rows get equal texts. An empty table gives an empty
-result. Other columns pass through, whatever their names (helper columns begin with ``_pii_``).
+result. Other columns pass through, whatever their names (helper columns begin with ``_pii_``); clean_text and n_entities
+of the input give way to the results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
@@ -49,6 +49,7 @@ KINDS = {
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
     r"|(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)[=:])[^\s,;\"'<>]{4,}",
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?)(?![0-9A-Za-z-]|\.[0-9])",
@@ -75,7 +76,7 @@ def possible(text: Column) -> Column:
 def kind_of(raw: Column) -> Column:
     """A mention's kind; lookarounds see the mention alone, so a secret after a key word is what nothing else is."""
     out = F.when(raw.rlike(rf"\A(?:{KINDS['email']})\z"), "email")
-    for kind in ("ip", "iban", "ssn", "card", "phone", "name"):
+    for kind in ("ip", "ip6", "iban", "ssn", "card", "phone", "name"):
         out = out.when(raw.rlike(rf"\A(?:{KINDS[kind]})\z"), kind)
     return out.otherwise("secret")
 
@@ -86,7 +87,7 @@ def bare_name(raw: Column) -> Column:
 
 def canonical(kind: Column, raw: Column) -> Column:
     return (
-        F.when(kind == "email", F.lower(raw))
+        F.when(kind.isin("email", "ip6"), F.lower(raw))
         .when(kind.isin(*NUMBERS), F.regexp_replace(raw, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind == "name", F.lower(bare_name(raw)))
@@ -149,6 +150,11 @@ def email_like(text: Column, seed: Column) -> Column:
     return F.concat(local, F.lit("@mail"), (draw(seed, "host", 900) + 100).cast("string"), F.lit(".example."), top)
 
 
+def ip6_like(seed: Column) -> Column:
+    """An address of IPv6's range for documentation."""
+    return F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(seed, 4 * k + 1, 4)) for k in range(6)])
+
+
 def ip_like(text: Column, seed: Column, attempt: Column) -> Column:
     """Octets of as many digits; then of three; at last addresses of IPv6's range for documentation."""
 
@@ -164,11 +170,10 @@ def ip_like(text: Column, seed: Column, attempt: Column) -> Column:
         return (draw(seed, k, 156) + 100).cast("string")
 
     octets = F.split(text, r"\.")
-    wide = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(seed, 4 * k + 1, 4)) for k in range(6)])
     return (
         F.when(attempt <= SAME_FORM, F.array_join(F.transform(octets, octet), "."))
         .when(attempt <= 2 * SAME_FORM, F.array_join(F.transform(octets, three), "."))
-        .otherwise(wide)
+        .otherwise(ip6_like(seed))
     )
 
 
@@ -220,6 +225,7 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     made = (
         F.when(kind == "email", F.concat(more(seed, attempt), email_like(text, seed)))
         .when(kind == "ip", ip_like(text, seed, attempt))
+        .when(kind == "ip6", ip6_like(seed))
         .when(kind == "card", card_like(text, seed))
         .when(kind == "phone", phone_like(text, seed))
         .when(kind.isin("given", "family"), name_part(kind, text, F.col("gender"), seed, attempt))
@@ -231,25 +237,25 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     return named.withColumn("surrogate", made).drop("_pii_text", "_pii_seed")
 
 
-def distinct_surrogates(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
+def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, text, gender) -> (kind, text, surrogate), no surrogate given twice or being an entity itself.
 
-    Given names may be those of other entities, but not their own."""
+    Given names may be those of other entities, but not their own. Of those that drew one surrogate, one keeps it; the
+    others draw again, from wider and wider forms, so that rounds end whatever there is to be replaced."""
     table = written(with_surrogates(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
-    real = entities.select("kind", F.col("text").alias("surrogate"), F.lit(True).alias("real"))
-    order = W.partitionBy("kind", "surrogate").orderBy("attempt", "text")
+    real = entities.select("kind", F.col("text").alias("surrogate_"), F.lit(True).alias("real"))
     own = (F.col("kind") == "given") & (F.lower("surrogate") == F.substring_index("text", " ", 1))
-    for _ in range(rounds):
+    while True:
+        firsts = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "text")).alias("first"))
         judged = table.withColumn("surrogate_", F.when(F.col("kind") == "family", F.lower("surrogate")).otherwise(F.col("surrogate")))
-        judged = judged.join(real.withColumnRenamed("surrogate", "surrogate_"), ["kind", "surrogate_"], "left").drop("surrogate_")
-        judged = judged.withColumn("again", (F.row_number().over(order) > 1) | F.col("real").isNotNull() | own).drop("real")
+        judged = judged.join(real, ["kind", "surrogate_"], "left").drop("surrogate_").join(firsts, ["kind", "surrogate"])
+        judged = judged.withColumn("again", (F.col("text") != F.col("first.text")) | F.col("real").isNotNull() | own).drop("real", "first")
         judged = written(judged, "surrogates-judged")
         if judged.where("again").isEmpty():
             return judged.select("kind", "text", "surrogate")
         kept = judged.where("NOT again").drop("again")
         redrawn = judged.where("again").drop("again", "surrogate").withColumn("attempt", F.col("attempt") + 1)
         table = written(kept.unionByName(with_surrogates(redrawn, key)), "surrogates")
-    raise RuntimeError("surrogates still collide; a kind has too few forms")
 
 
 def chosen_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -296,6 +302,7 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
 
 def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:
     """docs with clean_text and n_entities. key: whoever has it can make the same surrogates; keep it secret."""
+    docs = docs.drop("clean_text", "n_entities")
     maybe = possible(F.coalesce(F.col(text), F.lit("")))
     looked = docs.where(maybe).withColumn("_pii_raw", F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     looked = written(looked.withColumn("_pii_row", F.monotonically_increasing_id()), "looked-at")
