@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 from datetime import datetime
 
@@ -119,3 +120,82 @@ def test_manifests_are_judged(spark):
     for broken in (files[:8], [*files, files[0]], [f | {"object_key": "x"} for f in files]):
         with pytest.raises(ValueError):
             dump.build_manifest(broken, "2026-06", datetime(2026, 7, 1))
+
+
+def rows_of(spark, n=500):
+    df = spark.range(n).withColumn("ingested_at", F.expr("timestamp'2026-06-01 00:00:00' + make_dt_interval(0, 0, 0, (id * 37) % 500)"))
+    return df.withColumn("line", F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit("}")))
+
+
+def test_parts_do_not_depend_on_the_cluster(spark, tmp_path):
+    """The same rows, dealt otherwise and under another number of shuffle partitions, give the same bytes."""
+    digests = []
+    for partitions in (3, 11):
+        kept = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            path = f"file://{tmp_path}/{partitions}"
+            assert dump.write_dump(dump.dump_rows(rows_of(spark).repartition(partitions), 120), path) == 500
+            digests.append(dump.folder_digest(spark, path))
+            names = [r.name for r in dump.file_digests(spark, path).orderBy("name").collect()]
+            assert names == [f"part-{k:05}.jsonl.gz" for k in range(5)]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert digests[0] == digests[1]
+    dump.publish_immutable(spark, f"file://{tmp_path}/3", f"file://{tmp_path}/goal")
+    dump.publish_immutable(spark, f"file://{tmp_path}/11", f"file://{tmp_path}/goal")
+
+
+def test_parts_are_bounded_by_bytes(spark):
+    lines = rows_of(spark, 100).withColumn("line", F.repeat(F.lit("x"), 1000))
+    assert dump.part_rows(lines, 2_000_000, 10_000) == 10 and dump.part_rows(lines, 7) == 7
+    assert dump.part_rows(lines.limit(0)) == dump.ROWS_PER_PART
+
+
+def test_digests_are_those_of_the_files(spark, tmp_path):
+    path = f"file://{tmp_path}/d"
+    dump.write_dump(dump.dump_rows(rows_of(spark), 300), path)
+    got = {r.name: (r.bytes, r.sha256) for r in dump.file_digests(spark, path).collect()}
+    want = {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in (tmp_path / "d").glob("*.gz")}
+    assert got == want and len(want) == 2
+
+
+@pytest.mark.parametrize("crash", range(4))
+def test_a_repair_that_crashed_is_finished(spark, tmp_path, crash, monkeypatch):
+    """Whichever rename a repair stops after, no row is lost, and the next repair finishes it."""
+    root = f"file://{tmp_path}/r"
+    df = rows_of(spark, 40).select("id", "ingested_at", F.when(F.col("id") % 4 == 0, "2026-05").otherwise("2026-06").alias("dump_month"))
+    df.write.partitionBy("dump_month").parquet(f"{root}/d")
+    real, left = observations.finish_repair, [crash]
+
+    class Stop(Exception):
+        pass
+
+    class Files:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            if not left[0]:
+                raise Stop
+            left[0] -= 1
+            return self.fs.rename(a, b)
+
+    def wrapped(spark, path, of=observations.filesystem):
+        fs, p = of(spark, path)
+        return Files(fs), p
+
+    monkeypatch.setattr(observations, "filesystem", wrapped)
+    try:
+        observations.repair_month(spark, root, "d", "2026-06")
+    except Stop:
+        pass
+    monkeypatch.undo()
+    assert observations.finish_repair is real
+    observations.repair_month(spark, root, "d", "2026-06")
+    table = observations.read_dataset(spark, root, "d")
+    assert table.count() == 40 and {r[0] for r in table.select("dump_month").distinct().collect()} == {"2026-06"}
+    assert not (tmp_path / "r" / "_repair" / "d").exists()

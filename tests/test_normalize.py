@@ -93,7 +93,8 @@ def test_presence_and_snapshot(spark):
 
 
 def test_version_gate(spark):
-    rows = [("7.9.2", "Reporter 3.6.0"), ("7.9.1", "Reporter 3.6.0"), ("8.0.0", "other/10.3.99"), ("8.0.0", "Reporter 3.5.9"), ("not-semver", "Reporter 3.6.0"), ("8.0.0", "Reporter not-semver"), ("v8.0.0", "Reporter 3.6.0"), ("7.9.1-beta", "Reporter 3.6.0"), ("8.0.0", "Reporter 3.6.0-beta.1"), ("8.0", "x"), ("01.0.0", "x"), ("8.0.0", None)]
+    rows = [("7.9.2", "Reporter 3.6.0"), ("7.9.1", "Reporter 3.6.0"), ("8.0.0", "other/10.3.99"), ("8.0.0", "Reporter 3.5.9"), ("not-semver", "Reporter 3.6.0"), ("8.0.0", "Reporter not-semver"), ("v8.0.0", "Reporter 3.6.0"), ("7.9.1-beta", "Reporter 3.6.0"), ("8.0.0", "Reporter 3.6.0-beta.1"), ("8.0", "x"), ("01.0.0", "x"), ("8.0.0", None),
+            ("1.99999999999999999999999.0", "x"), ("9007199254740993.0.0", "x"), ("9007199254740991.0.0", "x"), ("1.0.0-" + "a" * 251, "x"), ("1.0.0-" + "a" * 250, "x")]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, poi_version string, origin string")
     parts = [sorted(r.id for r in d.collect()) for d in N.semver_gate(df)]
-    assert parts == [[0, 6], [1, 2, 3, 7, 8, 11], [4, 5, 9, 10]]
+    assert parts == [[0, 6], [1, 2, 3, 7, 8, 11, 14, 16], [4, 5, 9, 10, 12, 13, 15]]

@@ -62,3 +62,9 @@ def adjacent_months(now: datetime) -> tuple[str, str]:
     here = (now + OFFSET).replace(day=1)
     before, after = here - timedelta(days=1), here + timedelta(days=31)
     return f"{before:%Y-%m}", f"{after:%Y-%m}"
+
+
+def adjacent_month_columns(ts: Column) -> tuple[Column, Column]:
+    """K14 on columns: the month before the one in which an instant (UTC) lies in Japan, and the month after it."""
+    here = F.trunc(japan(ts).cast("date"), "month")
+    return tuple(F.date_format(F.add_months(here, n), "yyyy-MM") for n in (-1, 1))

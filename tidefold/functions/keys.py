@@ -90,7 +90,12 @@ VERSION = r"\A\s*[v=]*\s*(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-((
 
 def semver(text: Column) -> Column:
     """(major, minor, patch, release) that orders as versions do up to prereleases among themselves, which are
-    lower than their release; null if it is no semantic version."""
+    lower than their release; null if it is no semantic version, as are texts of over 256 characters and numbers that
+    a script's whole numbers do not reach."""
     part = lambda k: F.regexp_extract(text, VERSION, k)
-    numbers = [part(k).cast("decimal(20,0)").alias(n) for k, n in ((1, "major"), (2, "minor"), (3, "patch"))]
-    return F.when(text.rlike(VERSION), F.struct(*numbers, F.when(part(4) == "", 1).otherwise(0).alias("release")))
+    number = lambda k: F.when(F.length(part(k)) <= 16, part(k).try_cast("long"))
+    numbers = [number(k).alias(n) for k, n in ((1, "major"), (2, "minor"), (3, "patch"))]
+    fits = F.lit(True)
+    for k in (1, 2, 3):
+        fits = fits & F.coalesce(number(k) <= 9_007_199_254_740_991, F.lit(False))
+    return F.when((F.length(text) <= 256) & text.rlike(VERSION) & fits, F.struct(*numbers, F.when(part(4) == "", 1).otherwise(0).alias("release")))

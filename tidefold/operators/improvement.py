@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casting, keys
 from ..functions.calendar import jst_weekday, near_jst_midnight
+from ..schemas import column_of
 
 MAX_BATCH = 100
 #: The earliest observation (2013-04-23T00:00Z) and the clock skew that is tolerated, in milliseconds.
@@ -186,20 +187,30 @@ def improvement_records(
 
 
 def record_list(
-    df: DataFrame, schema: dict, v: str = "v", name: str = "quests", keep: tuple[str, ...] = ("id", "ingested_at")
+    df: DataFrame, schema: dict, v: str = "v", name: str = "quests", keep: tuple[str, ...] = ("id", "ingested_at"), data: str = "data", report: str = ""
 ) -> tuple[DataFrame, DataFrame]:
     """A report with a list of objects, all valid or none taken: (accepted rows with position, rejected).
 
-    Paths in messages begin with ``name.position``."""
-    from .normalize import normalize
-
-    listed = df.withColumn("_list", casting.get(F.col(v), "array<variant>", f"$.{name}"))
-    whole = F.col("_list").isNotNull() & F.forall("_list", lambda e: F.coalesce(casting.type_of(e) == "object", F.lit(False)))
-    shapeless = listed.where(~F.coalesce(whole, F.lit(False))).select(*keep, F.lit(f"{name}: must be a list of objects").alias("message"))
-    each = listed.where(whole).select(*keep, F.size("_list").alias("_n"), F.posexplode("_list").alias("position", "v"))
-    accepted, rejected = normalize(each, schema, "v", None)
-    # A report is taken if as many of its elements were accepted as it has; both sides hash on the report's key.
-    bad = rejected.groupBy(*keep).agg(F.min(F.struct("position", "message")).alias("m"))
-    message = F.concat(F.lit(f"{name}."), F.col("m.position").cast("string"), F.lit("."), F.col("m.message"))
-    taken = accepted.join(bad.select(*keep), list(keep), "left_anti").drop("_n")
-    return taken, bad.select(*keep, message.alias("message")).unionByName(shapeless)
+    The list is judged as a whole before it is exploded, without a shuffle. Paths begin with ``name.position``."""
+    from .normalize import computed, has_infinite, judged_object, message_of
+
+    def judged(e, k, infinite):
+        path = F.concat(F.lit(f"{name}."), k.cast("string"))
+
+        def with_message(r):
+            shape = F.when(casting.type_of(e) == "object", F.lit(None).cast("string")).otherwise(F.concat(path, F.lit(": expected object")))
+            return F.struct(F.coalesce(shape, message_of(r["issues"])).alias("message"), r["_values"].alias("values"))
+
+        return casting.let(judged_object(e, schema, infinite, path), with_message)
+
+    def whole(each):
+        bad = F.get(F.filter(F.transform(each, lambda x: x["message"]), lambda m: m.isNotNull()), F.lit(0))
+        wrong = F.when(casting.type_of(casting.get(F.col(v), "variant", f"$.{name}")).eqNullSafe("array"), bad).otherwise(f"{name}: expected array")
+        return F.struct(wrong.alias("_message"), each.alias("_list"))
+
+    listed = F.transform(casting.get(F.col(v), "array<variant>", f"$.{name}"), casting.json_null)
+    infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False))
+    out = computed(df, casting.let(casting.let(infinite, lambda i: F.transform(listed, lambda e, k: judged(e, k, i))), whole))
+    rejected = out.where("_message IS NOT NULL").select(*keep, F.col("_message").alias("message"))
+    each = out.where("_message IS NULL").select(*keep, F.posexplode("_list").alias("position", "_r"))
+    return each.select(*keep, "position", *[F.col(f"_r.values.value_{k}").alias(column_of(f, report)) for k, f in enumerate(schema)]), rejected

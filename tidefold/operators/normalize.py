@@ -90,13 +90,8 @@ def kind_results(v: Column, names: list[str], kind: str, infinite: Column) -> Co
     return F.transform(fields, judged)
 
 
-def normalize(
-    df: DataFrame, schema: dict[str, Field], v: str = "v", data: str | None = "data", prefix: str = "", report: str = "", presence: tuple[str, ...] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """(accepted with a column per declared field, rejected with issues and message).
-
-    presence: fields that get a companion has_<column>, true if the report had them. data: the raw text, looked at
-    for numbers that are not finite; without it, JSON fields are not checked for them."""
+def judged_object(v: Column, schema: dict[str, Field], infinite: Column, prefix: Column | None = None) -> Column:
+    """P3-P12 for one object: struct (issues, _values, _has), a value and a presence for each field of the schema."""
     by_kind: dict[str, list[str]] = {}
     for f, field in schema.items():
         by_kind.setdefault(field.kind, []).append(f)
@@ -112,7 +107,7 @@ def normalize(
             missing = of[f]["code"].isNull() & of[f]["value"].isNull() if field.required else F.lit(False)
             marks.append(
                 F.struct(
-                    F.lit(f"{prefix}.{f}" if prefix else f).alias("path"), F.when(missing, "required").otherwise(of[f]["code"]).alias("code"),
+                    (F.lit(f) if prefix is None else F.concat(prefix, F.lit(f".{f}"))).alias("path"), F.when(missing, "required").otherwise(of[f]["code"]).alias("code"),
                     F.when(missing, "").otherwise(of[f]["at"]).alias("at"), F.when(missing, field.kind).otherwise(casting.EXPECTED[field.kind]).alias("expected"),
                     of[f]["v"].alias("v"), F.lit(field.kind in ARRAYS).alias("array"),
                 )
@@ -122,20 +117,31 @@ def normalize(
         has = [of[f]["present"].alias(f"has_{k}") for k, f in enumerate(schema)]
         return F.struct(F.transform(bad, issue).alias("issues"), F.struct(*values).alias("_values"), F.struct(*has).alias("_has"))
 
-    def cast(infinite):
-        return casting.let(F.struct(*[kind_results(F.col(v), names, k, infinite).alias(k) for k, names in by_kind.items()]), judged)
+    return casting.let(F.struct(*[kind_results(v, names, k, infinite).alias(k) for k, names in by_kind.items()]), judged)
+
+
+def message_of(issues: Column) -> Column:
+    """The first issue as a message; null if there is none."""
+    first = F.get(issues, F.lit(0))
+    return F.concat(first["path"], F.lit(": expected "), first["expected_type"])
 
-    infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False)) if data else F.lit(False)
-    out = computed(df, casting.let(infinite, cast))
+
+def normalize(
+    df: DataFrame, schema: dict[str, Field], v: str = "v", data: str = "data", prefix: str = "", report: str = "", presence: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted with a column per declared field, rejected with issues and message).
+
+    presence: fields that get a companion has_<column>, true if the report had them. data: the raw text, looked at
+    for numbers that are not finite."""
+    infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False))
+    out = computed(df, casting.let(infinite, lambda i: judged_object(F.col(v), schema, i, F.lit(prefix) if prefix else None)))
     taken = [column_of(f, report) for f in schema]
     keep = [c for c in df.columns if c not in (v, "issues", *taken)]
     values = [F.col(f"_values.value_{k}").alias(c) for k, c in enumerate(taken)]
     has = [F.col(f"_has.has_{k}").alias(f"has_{column_of(f, report)}") for k, f in enumerate(schema) if f in presence]
     accepted = out.where(F.size("issues") == 0).select(*keep, *values, *has)
-    first = F.get("issues", F.lit(0))
-    message = F.concat(first["path"], F.lit(": expected "), first["expected_type"])
-    rejected = out.where(F.size("issues") > 0).select(*[c for c in df.columns if c not in (v, "issues", "message")], "issues", message.alias("message"))
-    return accepted, rejected
+    rejected = out.where(F.size("issues") > 0)
+    return accepted, rejected.select(*[c for c in df.columns if c not in (v, "issues", "message")], "issues", message_of(F.col("issues")).alias("message"))
 
 
 def with_origin(df: DataFrame, origin: str = "origin", x_reporter: str = "x_reporter", user_agent: str = "user_agent") -> DataFrame:
@@ -164,5 +170,5 @@ def semver_gate(df: DataFrame, version: str = "poi_version", origin: str = "orig
 
 
 def drop_noop_stage(df: DataFrame, stage: str = "stage") -> DataFrame:
-    """Stage -1 is accepted, but not stored."""
-    return df.where(F.col(stage) != -1)
+    """Stage -1 is accepted, but not stored; no stage at all is."""
+    return df.where(~F.col(stage).eqNullSafe(-1))

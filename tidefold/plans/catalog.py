@@ -27,10 +27,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import reports  # noqa: F401  its queries register themselves
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
@@ -424,9 +427,11 @@ def serialize(spark, sf_dir):
     return lines(df, fields, "event_id", "ts").select("event_id", "line")
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) // 700 AS INT) AS part FROM events")
 def dump_order(spark, sf_dir):
-    return exports.with_ordered_index(read_table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], "place").select("event_id", "place")
+    from ..sources.dump import dump_rows
+
+    return dump_rows(read_table(spark, sf_dir, "events").select("event_id", "ts"), 700, "ts", "event_id").select("event_id", "place", "part")
 
 
 @query(
@@ -557,6 +562,6 @@ def publish_month(spark, sf_dir):
         F.lit(3).alias("ship_lv"), F.lit(4).alias("item_id"), F.lit(5).alias("item_lv"), (F.col("o_orderkey") % 2 == 0).alias("contact"),
     )
     root = new_folder(spark, "observations")
-    observations.append_observations(df, root, "nightContactObservations", writers=1)
+    observations.append_observations(df, root, "nightContactObservations")
     entries = dump.publish_month(spark, root, new_folder(spark, "published"), "1996-02", datetime(2024, 1, 1))
     return entries.where("dataset = 'nightContactObservations'").select("dataset", "object_key", "row_count")

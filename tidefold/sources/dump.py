@@ -1,7 +1,8 @@
 """Monthly publication: canonical JSON Lines, digests, manifest, immutable publish, retention.
 
 A dataset of a month is a folder of ordered parts ``month/dataset.jsonl.gz/part-00000.jsonl.gz`` ..., written by the
-executors; read one after the other they are the month in the order of (ingested_at, id), and one gzip stream. The
+executors; read one after the other they are the month in the order of (ingested_at, id), and one gzip stream. Where a
+part ends depends on the rows alone, so that a month exported again, on whatever cluster, has the same bytes. The
 manifest is written last and is the commit point: a month is published if it is there. Its digest of a dataset is the
 SHA-256 over the parts' own digests, a line for each."""
 
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import is_month, iso_millis, month_bounds
 from ..functions.keys import decimal_text
-from ..operators.exports import reconcile
+from ..operators.exports import reconcile, with_ordered_index
 from ..schemas import JSON_KINDS, OBSERVATIONS, observation_fields
-from ..storage import new_folder
+from ..storage import new_folder, written
 from .observations import drop_month, exists, filesystem, is_closed, misplaced_counts, read_dataset, read_month
 
 RETENTION = timedelta(hours=168)
-SUFFIX, ROWS_PER_PART = "jsonl.gz", 2_000_000
+SUFFIX, ROWS_PER_PART, BYTES_PER_PART = "jsonl.gz", 2_000_000, 512 << 20
 TIMEZONE = "Asia/Tokyo"
 MANIFEST = "schemaVersion int, dumpMonth string, timezone string, publishedAt string, files array<struct<dataset:string,objectKey:string,rowCount:string,compressedBytes:string,sha256:string>>"
 
@@ -60,10 +61,17 @@ def serialize(df: DataFrame, fields: dict[str, tuple[str, str]], id: str = "id",
     return df.withColumn("line", checked)
 
 
-def dump_rows(df: DataFrame, parts: int | None = None, ts: str = "ingested_at", id: str = "id") -> DataFrame:
-    """M5: range-partitioned and sorted by (ingested_at, id); partition k comes before k + 1."""
-    ranged = df.repartitionByRange(parts, ts, id) if parts else df.repartitionByRange(ts, id)
-    return ranged.sortWithinPartitions(ts, id)
+def dump_rows(df: DataFrame, rows_per_part: int = ROWS_PER_PART, ts: str = "ingested_at", id: str = "id") -> DataFrame:
+    """M5: rows with place, dense in the order of (ingested_at, id), and part; each part sorted, and in one partition."""
+    placed = with_ordered_index(df, [ts, id], "place")
+    parts = placed.withColumn("part", F.floor(F.col("place") / rows_per_part).cast("int"))
+    return parts.repartition("part").sortWithinPartitions("part", "place")
+
+
+def part_rows(lines: DataFrame, most: int = ROWS_PER_PART, most_bytes: int = BYTES_PER_PART) -> int:
+    """Rows for each part, so that a mean part has at most most_bytes of lines."""
+    rows, size = lines.agg(F.count("line"), F.sum(F.octet_length("line"))).first()
+    return max(1, min(most, most_bytes * rows // size if size else most))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -78,17 +86,19 @@ def folder_digest(spark: SparkSession, path: str) -> tuple[int, str]:
     return sum(p["bytes"] for p in parts), hashlib.sha256("".join(p.sha256 + "\n" for p in parts).encode()).hexdigest()
 
 
-def write_dump(df: DataFrame, path: str, rows_per_part: int = ROWS_PER_PART) -> int:
-    """Rows with line, in order, as parts with fixed names; returns how many rows were written."""
+def write_dump(df: DataFrame, path: str) -> int:
+    """Rows with line, place and part, as a file for each part, in order; returns how many rows were written."""
     spark = df.sparkSession
     seen = Observation()
-    counted = df.select("line").observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.option("compression", "gzip").option("maxRecordsPerFile", rows_per_part).text(path)
+    counted = df.select("part", "line").observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.option("compression", "gzip").option("maxRecordsPerFile", 0).partitionBy("part").text(path)
     fs, folder = filesystem(spark, path)
-    names = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
-    for k, name in enumerate(names):
-        fs.rename(filesystem(spark, f"{path}/{name}")[1], filesystem(spark, f"{path}/part-{k:05}.{SUFFIX}")[1])
-    if not names:
+    parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part=")]
+    for part in parts:  # a folder with one file for each part
+        (file,) = [f.getPath() for f in fs.listStatus(part) if f.getPath().getName().startswith("part-")]
+        fs.rename(file, filesystem(spark, f"{path}/part-{int(part.getName()[5:]):05}.{SUFFIX}")[1])
+        fs.delete(part, True)
+    if not parts:
         fs.create(filesystem(spark, f"{path}/part-00000.{SUFFIX}")[1], True).close()
     return seen.get["rows"]
 
@@ -178,8 +188,8 @@ def read_manifests(spark: SparkSession, out: str) -> DataFrame:
 def export_month(spark: SparkSession, root: str, staged: str, dataset: str, month: str) -> dict:
     """M5-M9 for one dataset: ordered lines in staged, with exact counts."""
     rows = read_month(spark, root, dataset, month)
-    lines = serialize(dump_rows(rows), observation_fields(dataset))
-    wrote, there = write_dump(lines, staged), rows.count()
+    lines = written(serialize(rows, observation_fields(dataset)).select("ingested_at", "id", "line"), "dump-lines")
+    wrote, there = write_dump(dump_rows(lines, part_rows(lines)), staged), rows.count()
     if wrote != there:
         raise RuntimeError(f"{dataset} {month}: wrote {wrote} of {there} rows")
     size, sha = folder_digest(spark, staged)

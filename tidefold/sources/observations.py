@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import jst_month, month_bounds, month_bounds_columns
 from ..schemas import KINDS, observation_fields
-from ..storage import new_folder
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -33,11 +32,11 @@ def schema_of(dataset: str) -> str:
     return ", ".join(["id bigint", "ingested_at timestamp", *columns, "dump_month string"])
 
 
-def append_observations(df: DataFrame, root: str, dataset: str, writers: int = 8, max_records: int = 5_000_000) -> None:
-    """Every row is appended, none merged. The month in which everything arrives is dealt to several writers."""
+def append_observations(df: DataFrame, root: str, dataset: str, max_records: int = 5_000_000) -> None:
+    """Every row is appended, none merged. Rows are dealt out by month and evenly, so that the month in which
+    everything arrives has as many writers as it needs, and a month of few rows one file."""
     out = df.withColumn("dump_month", jst_month(F.col("ingested_at")))
-    salt = F.pmod(F.xxhash64("id", "ingested_at"), F.lit(writers))
-    out = out.repartition("dump_month", salt)
+    out = out.hint("rebalance", "dump_month")
     out.write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("dump_month").parquet(f"{root}/{dataset}")
 
 
@@ -78,7 +77,9 @@ def check_month_bounds(df: DataFrame, ts: str = "ingested_at", stored: str = "du
 def repair_month(spark: SparkSession, root: str, dataset: str, month: str, ts: str = "ingested_at") -> int:
     """M2: moves the month's misplaced rows into its partition and returns how many; a second run moves none.
 
-    Touched partitions are rebuilt in the shared folder and checked there; then they replace the stored ones."""
+    Touched partitions are rebuilt and checked beside the table, in a folder that becomes ready by its last file. From
+    then on the repair can only go forward: whoever finds it ready, after a crash as well, finishes it."""
+    finish_repair(spark, root, dataset)
     table = read_dataset(spark, root, dataset)
     wrong = misplaced_rows(table, month, ts)
     touched = [r[0] for r in wrong.select("dump_month").distinct().collect()]  # months: few
@@ -87,25 +88,42 @@ def repair_month(spark: SparkSession, root: str, dataset: str, month: str, ts: s
     moved = wrong.count()
     parts = table.where(F.col("dump_month").isin([*touched, month]))
     true = jst_month(F.col(ts))
-    staged = new_folder(spark, "repair")
+    staged = f"{root}/_repair/{dataset}"
+    fs, folder = filesystem(spark, staged)
+    fs.delete(folder, True)  # of a repair that never became ready
     fixed = parts.withColumn("dump_month", F.when(true == month, F.lit(month)).otherwise(F.col("dump_month")))
-    fixed.repartition("dump_month", F.pmod(F.xxhash64("id", ts), F.lit(8))).write.partitionBy("dump_month").parquet(staged)
-    built = spark.read.parquet(staged).withColumn("dump_month", F.col("dump_month").cast("string"))
+    fixed.repartition("dump_month", F.pmod(F.xxhash64("id", ts), F.lit(8))).write.partitionBy("dump_month").parquet(f"{staged}/new")
+    built = spark.read.parquet(f"{staged}/new").withColumn("dump_month", F.col("dump_month").cast("string"))
     if built.count() != parts.count() or not misplaced_rows(built, month, ts).isEmpty():
         raise RuntimeError(f"repair of {dataset} {month} lost or left rows")
-    target = f"{root}/{dataset}"
     left = {r[0] for r in built.select("dump_month").distinct().collect()}
-    for name in [*touched, month]:
-        fs, old = filesystem(spark, f"{target}/dump_month={name}")
-        aside = f"{staged}/old-{name}"
-        if fs.exists(old):
-            fs.rename(old, filesystem(spark, aside)[1])
-        if name in left:
-            fs.mkdirs(old.getParent())
-            fs.rename(filesystem(spark, f"{staged}/dump_month={name}")[1], old)
+    fs.mkdirs(filesystem(spark, f"{staged}/old")[1])
+    fs.mkdirs(filesystem(spark, f"{root}/{dataset}")[1])
+    for name in {*touched, month} - left:  # partitions that end up empty
+        fs.mkdirs(filesystem(spark, f"{staged}/gone/dump_month={name}")[1])
+    fs.create(filesystem(spark, f"{staged}/READY")[1], True).close()
+    finish_repair(spark, root, dataset)
     return moved
 
 
+def finish_repair(spark: SparkSession, root: str, dataset: str) -> bool:
+    """Moves the partitions of a repair that is ready to their places; each step is done once, however often it is begun."""
+    staged = f"{root}/_repair/{dataset}"
+    if not exists(spark, f"{staged}/READY"):
+        return False
+    fs, folder = filesystem(spark, staged)
+    for kind in ("new", "gone"):
+        source = filesystem(spark, f"{staged}/{kind}")[1]
+        names = [f.getPath().getName() for f in fs.listStatus(source)] if fs.exists(source) else []
+        for name in sorted(n for n in names if n.startswith("dump_month=")):
+            (_, here), (_, aside), (_, staged_one) = (filesystem(spark, f"{top}/{name}") for top in (f"{root}/{dataset}", f"{staged}/old", f"{staged}/{kind}"))
+            if fs.exists(here) and not fs.exists(aside):
+                fs.rename(here, aside)
+            if kind == "new":
+                fs.rename(staged_one, here)
+    return fs.delete(folder, True)
+
+
 def drop_month(spark: SparkSession, root: str, dataset: str, month: str) -> bool:
     month_bounds(month)
     fs, p = filesystem(spark, f"{root}/{dataset}/dump_month={month}")
