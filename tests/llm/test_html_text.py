@@ -3,6 +3,9 @@ import itertools
 import math
 import random
 import re
+import time
+
+import pytest
 
 from tidefold.llm.html_text import Model, Node, extract, features, main_text, marginals, message
 
@@ -72,6 +75,16 @@ def test_other_layouts_and_broken_markup(spark):
     assert sorted(got) == sorted([(k, t) for k, (_, t) in more.items()] + [(1002, more[1002][1])])
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<a href='" * 110_000, '<p title="x' * 90_000, "<div>" * 60_000 + "</p>" * 60_000, "<p><b class=ad>" + "<i class=ad>" * 40_000 + "</b><u>" * 40_000,
+    "<div><span class=ad>" * 30_000 + "</span>" * 30_000, "<!--" * 250_000, "<x>" * 80_000 + "<p>" * 80_000, "<script" * 140_000, "</script <" * 100_000, "=\"='" * 250_000,
+], ids=range(11))
+def test_a_megabyte_of_broken_markup_takes_seconds(page):
+    began = time.process_time()
+    main_text(page, Model({}, 1.0))
+    assert time.process_time() - began < 15  # quadratic ways take hours
+
+
 def test_empty(spark):
     assert extract(spark.createDataFrame([], SCHEMA)).collect() == []
     assert main_text("<p></p>", Model({}, 1.0)) == ""

@@ -6,13 +6,13 @@ pair potentials from how often child and parent share a label. Two sweeps of sum
 downward, give each leaf's exact marginal; leaves that are more likely content than not are joined by block. Below an
 element whose name says outright that it is no content, the pair potential is firm and nothing is passed upward.
 
-Training: a bounded sample of pages (``fit_pages``, chosen by a hash of the address) is labelled by what its markup
+Training: a bounded sample of pages (``fit_pages``, chosen by a hash of id and address) is labelled by what its markup
 says outright: elements whose names say navigation, header, footer, advert, form or comment are no content, the main
 article is. The counts of features and label pairs over these pages, smoothed, are the potentials. Names are features
 among others afterwards, so on pages without telling names the text features and the neighbours decide.
 
-Recovery: closed void elements, unclosed paragraphs and list items, stray and crossing end tags, unclosed comments
-and raw-text elements. Defined results: null, empty and textless pages give an empty text. Repeated rows each get the
+Recovery: closed void elements, unclosed paragraphs and list items, stray and crossing end tags, unclosed tags, comments
+and raw-text elements; time is linear in a page, whatever is broken in it. Defined results: null, empty and textless pages give an empty text. Repeated rows each get the
 same text. An empty table gives an empty result. Texts are read whole.
 """
 
@@ -56,10 +56,15 @@ INSIDE_NAMES = frozenset("article content main post entry story body text mainco
 CONTAINERS = frozenset(("#root", "html", "body"))
 #: Elements that serve menus and articles alike; only their names, links and texts count.
 STRUCTURE = frozenset("div section span ul ol li dl dt dd table thead tbody tfoot tr td th".split())
+#: Tags that are features of their own; all others are one feature, so the features have a bound.
+TAGS = VOID | RAW | INLINE | SCOPE | STRUCTURE | OUTSIDE_TAGS | INSIDE_TAGS | frozenset(
+    "p pre h1 h2 h3 h4 h5 h6 blockquote figure figcaption address details summary hgroup fieldset legend option optgroup datalist output video audio head caption center".split()
+)
 #: Log odds of an element that is named as no content; and how firmly what lies below it follows.
 OUTRIGHT, FIRM = -12.0, 20.0
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes count after an equals sign. No character is looked at twice: a tag without its end ends before the next one.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>?", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -87,15 +92,25 @@ def attribute_names(attributes: str) -> frozenset:
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The tree, and its nodes with parents before children."""
     root = Node("#root", None)
-    nodes, here, block, at, end, links = [root], root, 0, 0, len(page), 0
+    nodes, block, at, end, links = [root], 0, 0, len(page), 0
     closer: dict[str, re.Pattern] = {}
+    # The open elements; and the places of each tag, of scopes and of blocks among them, so that nothing is searched for.
+    stack, places, scopes, blocks = [root], {}, [0], [0]
 
     def leaf(raw: str, space: bool = False) -> None:
         if raw and (space or not raw.isspace() or nodes[-1].block == block):
-            node = Node("#text", here, text=raw, block=block, linked=links)
-            here.children.append(node)
+            node = Node("#text", stack[-1], text=raw, block=block, linked=links)
+            stack[-1].children.append(node)
             nodes.append(node)
 
+    def close(depth: int) -> None:
+        """All but the outermost depth elements end."""
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+            for inner in (scopes, blocks):
+                if inner[-1] == len(stack):
+                    inner.pop()
+
     for found in iter(lambda: MARKUP.search(page, at), None):
         leaf(page[at : found.start()])
         at = found.end()
@@ -108,36 +123,35 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if tag == "a":
                 links = 0 if closing else 1
             names = frozenset() if closing else attribute_names(attributes)
-            if not names & OUTSIDE_NAMES and not (closing and here.tag == tag):
+            if not names & OUTSIDE_NAMES and not (closing and stack[-1].tag == tag):
                 if tag == "br":
                     leaf(" ", True)
                 continue
         else:
             block, links = block + 1, 0
         if closing:
-            node = here
-            while node is not root and node.tag != tag and not (tag in INLINE and node.tag not in INLINE):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                here = node.parent
+            own = places.get(tag)
+            if own and (tag not in INLINE or own[-1] > blocks[-1]):
+                close(own[-1])
             continue
-        if tag not in INLINE:
-            node = here  # open paragraphs and inline elements end before a block
-            ends = CLOSES.get(tag, frozenset())
-            while node is not root and node.tag not in SCOPE:
-                if node.tag in ends or node.tag == "p":
-                    here = node.parent
-                    break
-                node = node.parent
-        node = Node(tag, here, attribute_names(attributes))
-        here.children.append(node)
+        if tag not in INLINE:  # open paragraphs and inline elements end before a block
+            last = max((places[t][-1] for t in (*CLOSES.get(tag, ()), "p") if places.get(t)), default=0)
+            if last > scopes[-1]:
+                close(last)
+        node = Node(tag, stack[-1], attribute_names(attributes))
+        stack[-1].children.append(node)
         nodes.append(node)
         if tag in RAW and not attributes.endswith("/"):
             pattern = closer.setdefault(tag, re.compile(rf"</{tag}\s*>", re.I))
             stop = pattern.search(page, at)
             at = stop.end() if stop else end
         elif tag not in VOID and not attributes.endswith("/"):
-            here = node
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
+            stack.append(node)
     leaf(page[at:])
     return root, nodes
 
@@ -166,10 +180,10 @@ def features(node: Node) -> list[str]:
     if node.text is not None:
         commas = min(sum(map(node.text.count, ",.;:")), 4)
         size = [f"text {min(node.length.bit_length(), 9)} {commas}"] if node.length else []
-        return size if node.parent.tag in STRUCTURE or node.parent.tag in CONTAINERS else [*size, f"in {node.parent.tag}"]
+        return size if node.parent.tag in STRUCTURE or node.parent.tag in CONTAINERS else [*size, f"in {node.parent.tag if node.parent.tag in TAGS else 'other'}"]
     if node.tag in CONTAINERS:
         return []
-    out = [] if node.tag in STRUCTURE else [f"tag {node.tag}"]
+    out = [] if node.tag in STRUCTURE else [f"tag {node.tag if node.tag in TAGS else 'other'}"]
     out += [f"name {n}" for n in node.names if n in OUTSIDE_NAMES or n in INSIDE_NAMES]
     if node.length:
         out.append(f"links {4 * node.linked // node.length} {min(node.length.bit_length(), 9)}")
@@ -296,19 +310,18 @@ def count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, html: str, fit_pages: int) -> Model:
-    """Features are tags and fixed names, so the counts that come to the driver have a bound of their own: unknown tags
-    are rare and are left out below two pages."""
-    rows = pages.select(F.col(html).alias("html")).where("html IS NOT NULL")
+    """Features are known tags, fixed names and sizes, so the counts that come to the driver have a bound of their own."""
+    rows = pages.select("id", F.col(html).alias("html")).where("html IS NOT NULL")
     share = min(1.0, fit_pages / max(rows.count(), 1))
-    sample = rows.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share * 1_000_000)
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("html")
     counts = sample.mapInArrow(count_pages, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
-    return model_of({(f, x): n for f, x, n in counts.where("n > 1").orderBy(F.desc("n"), "feature").limit(5000).collect()})
+    return model_of({(f, x): n for f, x, n in counts.collect()})
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", fit_pages: int = 2000) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages."""
     ship(pages.sparkSession)
-    model = fit(pages, html, fit_pages)
+    model = fit(pages.select(F.struct(page_id, url).alias("id"), html), html, fit_pages)
     chosen = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
