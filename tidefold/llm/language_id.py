@@ -7,7 +7,7 @@ corrected share decides. The score is that share among all languages' shares.
 
 Learning: n-grams are counted over a bounded sample of labelled rows (``fit_rows`` per language, chosen by a hash of
 the row), in Spark; each language keeps its ``grams`` most frequent ones. Prediction reads only the text, all of it,
-in pieces that overlap so that no n-gram is lost.
+in parts of which each brings the n-grams that reach into it from the one before.
 
 Defined results: texts that are null or have no letters are ``und`` with score 0; so is everything if nothing can be
 learned. Texts with no known n-gram get the first language in alphabetical order, score 0. Repeated rows each get the
@@ -35,54 +35,58 @@ HASHES = 4
 #: Characters that are looked at together.
 AT_ONCE = 1 << 18
 
-_letters: list[np.ndarray] = []
+_kinds: list[np.ndarray] = []
 
 
-def letters() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)]))
-    return _letters[0]
+def kinds() -> np.ndarray:
+    """Of each code point: 2 a letter, 1 a mark, which may be part of a word, 0 anything else."""
+    if not _kinds:
+        _kinds.append(np.array(["ML".find(unicodedata.category(chr(c))[0]) + 1 for c in range(0x110000)], np.uint8))
+    return _kinds[0]
 
 
-def words_of(text: str) -> np.ndarray:
-    """Code points in lower case; every run of other characters is one 0, with one at both ends."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    codes = np.concatenate([[0], np.where(letters()[codes], codes, 0), [0]]).astype(np.uint64)
-    return codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]
+def codes_of(text: str) -> Iterator[np.ndarray]:
+    """Code points in lower case, in parts; every run of other characters is one 0, with one at both ends."""
+    yield np.zeros(1, np.uint64)
+    last = 0
+    for lo in range(0, len(text), AT_ONCE):
+        codes = np.frombuffer(text[lo : lo + AT_ONCE].lower().encode("utf-32-le", "replace"), "<u4")
+        codes = np.where(kinds()[codes], codes, 0).astype(np.uint64)
+        codes = codes[(codes != 0) | (np.append(last, codes[:-1]) != 0)]
+        if len(codes):
+            last = codes[-1]
+            yield codes
+    if last:
+        yield np.zeros(1, np.uint64)
 
 
-def grams_of(codes: np.ndarray) -> np.ndarray:
+def has_letter(codes: np.ndarray) -> bool:
+    return bool((kinds()[codes.astype(np.int64)] == 2).any())
+
+
+def grams_of(codes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams: letters of one word, with a 0 for its beginning or end."""
-    out = []
+    end = len(codes) - n + 1
+    if end < 1:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        for n in SIZES:
-            if len(codes) < n:
-                continue
-            end = len(codes) - n + 1
-            h, inner = np.full(end, n, np.uint64), np.ones(end, bool)
-            for k in range(n):
-                part = codes[k : k + end]
-                h = (h ^ part) * np.uint64(MIX[k])
-                h ^= h >> np.uint64(29)
-                if 0 < k < n - 1:
-                    inner &= part != 0
-            out.append(h[inner])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def pieces(text: str) -> Iterator[str]:
-    """Parts of a text that end between words where they can; a longer word is cut with an overlap."""
-    at = 0
-    while at < len(text):
-        end = min(at + AT_ONCE, len(text))
-        if end < len(text):
-            space = text.rfind(" ", at + 1, end)
-            if space > at:
-                yield text[at:space]
-                at = space
-                continue
-        yield text[at:end]
-        at = end
+        h, inner = np.full(end, n, np.uint64), np.ones(end, bool)
+        for k in range(n):
+            part = codes[k : k + end]
+            h = (h ^ part) * np.uint64(MIX[k])
+            h ^= h >> np.uint64(29)
+            if 0 < k < n - 1:
+                inner &= part != 0
+    return h[inner]
+
+
+def text_grams(text: str) -> Iterator[tuple[np.ndarray, bool]]:
+    """(hashes of n-grams, whether there are letters) of a text's parts; what lies across two parts comes with the second."""
+    before = np.zeros(0, np.uint64)
+    for codes in codes_of(text):
+        joined = {n: np.concatenate([before[len(before) - min(n - 1, len(before)) :], codes]) for n in SIZES}
+        yield np.concatenate([grams_of(joined[n], n) for n in SIZES]), has_letter(codes)
+        before = joined[max(SIZES)][-max(SIZES) + 1 :]
 
 
 def places(grams: np.ndarray, slots: int) -> list[np.ndarray]:
@@ -112,11 +116,11 @@ def build(languages: list[str], grams: list[tuple[int, str]], slots: int) -> Mod
 
 def predict(text: str | None, model: Model) -> tuple[str, float]:
     count, hits, lettered = 0, np.zeros(len(model.languages)), False
-    for piece in pieces(text or ""):
-        codes = words_of(piece)
-        lettered = lettered or bool(codes.any())
-        grams = grams_of(codes)
+    for grams, letters in text_grams(text or ""):
+        lettered = lettered or letters
         count += len(grams)
+        if not len(grams):
+            continue
         masks = None
         for at in places(grams, len(model.table)):
             masks = model.table[at] if masks is None else masks & model.table[at]
@@ -134,8 +138,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_lang: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for piece in pieces(text or ""):
-                by_lang.setdefault(lang, []).append(grams_of(words_of(piece)))
+            by_lang.setdefault(lang, []).extend(grams for grams, _ in text_grams(text or ""))
         for lang, found in by_lang.items():
             grams, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -143,14 +146,15 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(labelled: DataFrame, text: str, lang: str, fit_rows: int, grams: int, slots: int) -> Model:
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+def fit(labelled: DataFrame, doc_id: str, text: str, lang: str, fit_rows: int, grams: int, slots: int) -> Model:
+    rows = labelled.select(F.col(doc_id).alias("row"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros((1, 1), np.uint64), np.zeros(0))
     rate = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, fit_rows / n))])
-    sampled = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
-    counts = sampled.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # By row and text, so that a text in very many rows is no larger part of the sample than of the table.
+    sampled = rows.where(F.pmod(F.xxhash64("row", "text"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
+    counts = sampled.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # The most frequent n-grams of each language: first within parts of it, then of those.
     part = W.partitionBy("lang", "part").orderBy(F.desc("n"), "gram")
     first = counts.withColumn("part", F.pmod("gram", F.lit(64))).withColumn("k", F.row_number().over(part)).where(F.col("k") <= grams)
@@ -171,7 +175,7 @@ def identify(
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row for each row of docs. Rows that are held out teach nothing."""
     ship(docs.sparkSession)
-    model = fit(docs.where(~held_out), text, lang, fit_rows, grams, slots)
+    model = fit(docs.where(~held_out), doc_id, text, lang, fit_rows, grams, slots)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
 
