@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, written
+from .common import delete, ship, written
 from .components import components
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -392,6 +392,8 @@ def near_duplicates(
     prints = written(chosen.mapInArrow(of, schema), "fingerprints")
     first = F.min(F.struct("doc_id", "fp", "high", "size", "prefix")).alias("first")
     sets = written(prints.groupBy("node").agg(first).select("node", "first.*"), "shingle-sets")
+    whole, prints = prints, written(prints.select("doc_id", "fp", "node"), "fingerprints")
+    delete(docs.sparkSession, [whole.scratch_path])  # its shingles are in sets, once for copies
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of nodes whose texts are similar."""
@@ -425,4 +427,4 @@ def near_duplicates(
     rooted = sets.select("node", F.col("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.join(least, "root").select("node", "component_id")
-    return prints.select("doc_id", "fp", "node").join(ids, "node").select("doc_id", fingerprint_text(), "component_id")
+    return prints.join(ids, "node").select("doc_id", fingerprint_text(), "component_id")
