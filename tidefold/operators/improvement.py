@@ -166,7 +166,7 @@ def improvement_records(
     listed = casting.let(
         casting.get(F.col(v), "variant", "$.records"), lambda r: F.when(r.isNull(), F.array(F.col(v))).otherwise(casting.get(r, "array<variant>"))
     )
-    judged = computed(df, casting.let(listed, judged_batch))
+    judged = computed(df, casting.let(listed, judged_batch), "_message", "_records")
     rejected = judged.where("_message IS NOT NULL").select(*keep, F.col("_message").alias("message"))
     good = judged.where("_message IS NULL").select(*keep, received_ms, keys.reporter_origin(F.col(x_reporter)).alias("origin"), F.posexplode("_records").alias("position", "r"))
     good = good.select(*keep, F.col(received_ms).alias("reported_at"), "origin", "position", "r.*").drop("problem")
@@ -210,7 +210,7 @@ def record_list(
 
     listed = F.transform(casting.get(F.col(v), "array<variant>", f"$.{name}"), casting.json_null)
     infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False))
-    out = computed(df, casting.let(casting.let(infinite, lambda i: F.transform(listed, lambda e, k: judged(e, k, i))), whole))
+    out = computed(df, casting.let(casting.let(infinite, lambda i: F.transform(listed, lambda e, k: judged(e, k, i))), whole), "_message", "_list")
     rejected = out.where("_message IS NOT NULL").select(*keep, F.col("_message").alias("message"))
     each = out.where("_message IS NULL").select(*keep, F.posexplode("_list").alias("position", "_r"))
     return each.select(*keep, "position", *[F.col(f"_r.values.value_{k}").alias(column_of(f, report)) for k, f in enumerate(schema)]), rejected

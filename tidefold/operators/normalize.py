@@ -31,14 +31,14 @@ def parse_reports(df: DataFrame, data: str = "data") -> tuple[DataFrame, DataFra
         return F.when(casting.type_of(p) == "string", F.try_parse_json(casting.get(p, "string"))).otherwise(p)
 
     once = casting.let(F.try_parse_json(data), lambda p: casting.let(unpacked(p), judged))
-    out = computed(df, once)
+    out = computed(df, once, "v", "message")
     return out.where("message IS NULL").drop("message"), out.where("message IS NOT NULL").drop("v")
 
 
-def computed(df: DataFrame, struct: Column) -> DataFrame:
-    """df with the fields of a struct as columns, computed once for each row: as rows of a generator, so that a filter
-    on one of them does not compute it again below. Columns of df with these names are replaced."""
-    names = df.select(struct.alias("s")).select("s.*").columns
+def computed(df: DataFrame, struct: Column, *names: str) -> DataFrame:
+    """df with the fields of a struct, which are called names, as columns, computed once for each row: as rows of a
+    generator, so that a filter on one of them does not compute it again below. Columns of df with these names are
+    replaced. (Names are given, as asking the struct for them would analyse a large expression once more.)"""
     return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(struct)))
 
 
@@ -134,7 +134,7 @@ def normalize(
     presence: fields that get a companion has_<column>, true if the report had them. data: the raw text, looked at
     for numbers that are not finite."""
     infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False))
-    out = computed(df, casting.let(infinite, lambda i: judged_object(F.col(v), schema, i, F.lit(prefix) if prefix else None)))
+    out = computed(df, casting.let(infinite, lambda i: judged_object(F.col(v), schema, i, F.lit(prefix) if prefix else None)), "issues", "_values", "_has")
     taken = [column_of(f, report) for f in schema]
     keep = [c for c in df.columns if c not in (v, "issues", *taken)]
     values = [F.col(f"_values.value_{k}").alias(c) for k, c in enumerate(taken)]

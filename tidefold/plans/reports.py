@@ -6,12 +6,13 @@ what has to come out."""
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, keys
-from ..operators import improvement, normalize
+from ..operators import improvement, ingest, normalize
 from ..schemas import OBSERVATIONS, REPORTS, Field
 from ..sources import dump, observations
 from ..storage import new_folder, read_table
@@ -300,3 +301,128 @@ def settled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = out.writeStream.format("parquet").option("path", folder).option("checkpointLocation", new_folder(spark, "checkpoint")).trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.parquet(folder).groupBy("o_custkey").agg(F.count("*").alias("versions"))
+
+
+OBSERVED = list(OBSERVATIONS.values())
+STATE_KINDS = ["select_rank", "remodel_recipe", "ship_stat", "enemy_info", "quest", "quest_reward", "item_improvement"]
+
+
+def envelopes(spark: SparkSession, sf_dir: str, kinds: list[str]) -> DataFrame:
+    """Events as reports of the kinds in turn, stored by kind. One body serves all: undeclared fields are dropped.
+    Every eleventh has a wrong field, every thirteenth is no JSON; every seventh has another reporter."""
+    df = as_reports(read_table(spark, sf_dir, "events"))
+    e, k, user = F.col("event_id"), F.col("k"), F.col("user_id")
+    quest = text('"questId":', user, ',"title":"', F.col("event_type"), '","detail":"d","category":', k % 2)
+    members = [
+        text('"teitokuId":"u', user, '","teitokuLv":', F.when(e % 11 == 0, '"x"').otherwise(e.cast("string")), ',"mapareaId":', k % 3, ',"rank":', e % 5),
+        text('"itemId":5,"mapId":', k, ',"ownedShipSnapshot":{"a":1},"poiVersion":"', F.when(k % 2 == 0, "8.0.0").otherwise("7.0.0"), '"'),
+        text('"recipeId":', user + 1, ',"stage":', k % 3 - 1, ',"day":', calendar.jst_weekday(F.col("ms")), ',"secretary":2'),
+        F.when(e % 3 == 0, text('"fuel":', e)).when(e % 3 == 1, F.lit('"fuel":null')),
+        text('"id":', user, ',"lv":1,"los":2,"los_max":3,"asw":4,"asw_max":5,"evasion":6,"evasion_max":', k % 2),
+        *[F.lit(f'"{n}{i}":[1]') for n in ("ships", "levels", "hp") for i in (1, 2) if (n, i) != ("ships", 1)],
+        *[F.lit(f'"{n}{i}":[[1,2]]') for n in ("stats", "equips") for i in (1, 2)],
+        text('"ships1":[', user, '],"planes":3,"bombersMin":', k),
+        F.when(k == 0, F.lit('"bombersMax":null')).when(k % 2 == 0, text('"bombersMax":', k)),
+        quest, text('"selections":[1,', k % 2, '],"bounsCount":1,"quests":[{', quest, "}]"),
+        text('"schemaVersion":1,"source":"list","observedSecondShipId":0,"observedFlagshipId":', k + 1, ',"clientObservedAt":', F.col("ms")),
+    ]
+    body = F.when(e % 13 == 0, "{").otherwise(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
+    reporter = F.when(e % 7 == 0, "Other 1.0.0").otherwise(F.concat(F.lit("Reporter 4."), (k % 2).cast("string"), F.lit(".0")))
+    kind = F.get(F.array(*map(F.lit, kinds)), (e % len(kinds)).cast("int"))
+    out = df.select(e.alias("id"), F.col("ts").cast("timestamp").alias("ingested_at"), kind.alias("kind"), body.alias("data"), reporter.alias("x_reporter"), F.lit("agent").alias("user_agent"))
+    folder = new_folder(spark, "envelopes")
+    out.write.partitionBy("kind").parquet(folder)
+    return spark.read.schema(out.schema).parquet(folder)
+
+
+def kind_sql(kinds: list[str]) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds))
+    return f"""{EVENTS}, env AS (SELECT *, CASE event_id % {len(kinds)} {cases} END AS kind,
+    CASE WHEN event_id % 7 = 0 THEN 'Other 1.0.0' ELSE 'Reporter 4.' || k % 2 || '.0' END AS origin, event_id % 11 = 0 AS wrong FROM ev),
+    good AS (SELECT * FROM env WHERE event_id % 13 <> 0)"""
+
+
+@query(
+    f"""WITH {kind_sql(OBSERVED)}, t AS (SELECT * FROM good WHERE NOT (wrong AND kind IN ('create_ship', 'create_item', 'remodel_item', 'drop_ship', 'pass_event'))
+      AND (kind <> 'aaci' OR k % 2 = 0 AND origin LIKE 'Reporter %')),
+    d AS (SELECT CASE kind {" ".join(f"WHEN '{k}' THEN '{d}'" for d, k in OBSERVATIONS.items())} END AS dataset, * FROM t)
+    SELECT dataset, strftime(ts + INTERVAL 9 HOUR, '%Y-%m') AS dump_month, count(*) AS count, sum(event_id)::BIGINT AS ids,
+    CASE WHEN kind = 'drop_ship' THEN count(*) FILTER (k < 73) WHEN kind NOT IN ('remodel_item', 'night_contact') THEN count(*) FILTER (origin LIKE 'Reporter %') END AS marked
+    FROM d GROUP BY dataset, dump_month, kind"""
+)
+def ingest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of nine kinds as nine streams into nine tables; marked counts emptied snapshots, else own reporters."""
+    reports, root = envelopes(spark, sf_dir, OBSERVED), new_folder(spark, "ingested")
+    stream = spark.readStream.schema(reports.schema).parquet(reports.inputFiles()[0].rsplit("/kind=", 1)[0])
+    checkpoint = new_folder(spark, "checkpoint")
+    for dataset in OBSERVATIONS:
+        rows = ingest.observations_of(stream, dataset)[0]
+        streams.stream_observations(rows, root, dataset, f"{checkpoint}/{dataset}").awaitTermination()
+    parts = []
+    for dataset in OBSERVATIONS:
+        table = observations.read_dataset(spark, root, dataset)
+        mark = F.lit(None).cast("long")
+        if "origin" in table.columns:
+            mark = F.count_if(F.col("origin").startswith("Reporter "))
+        if dataset == "dropShipObservations":
+            mark = F.count_if(F.col("owned_ship_snapshot") == "{}")
+        parts.append(table.groupBy(F.lit(dataset).alias("dataset"), "dump_month").agg(F.count("*").alias("count"), F.sum("id").alias("ids"), mark.alias("marked")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    f"""WITH {kind_sql(OBSERVED[:1] + STATE_KINDS)}
+    SELECT event_id AS id, kind, CASE WHEN event_id % 13 = 0 THEN 'data must be valid JSON' ELSE 'teitokuLv: expected signed 32-bit integer' END AS message
+    FROM env WHERE event_id % 13 = 0 OR wrong AND kind IN ('create_ship', 'select_rank')"""
+)
+def ingest_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the jobs reject of reports of one observation's kind and of all kinds of states."""
+    kinds = OBSERVED[:1] + STATE_KINDS
+    return ingest.rejected_reports(envelopes(spark, sf_dir, kinds), tuple(kinds)).select("id", "kind", "message")
+
+
+STATE_DIGESTS = {
+    "selectRankStates": (("teitoku_id", "maparea_id"), None, ("teitoku_lv", "rank", "origin")),
+    "recipeAggregates": (("recipe_id", "stage", "day"), "count", ("fuel", "origin", "last_reported")),
+    "shipStatAggregates": (("ship_id", "evasion_max"), "count", ("last_timestamp",)),
+    "enemyInfoAggregates": (("ships1",), "count", ("bombers_min", "bombers_max")),
+    "questDefinitions": (("quest_id", "title", "category"), None, ("key", "origin")),
+    "questRewardDefinitions": (("quest_id", "title", "selections"), None, ("key", "category", "origin")),
+    "itemImprovementAvailabilityFacts": (("key",), "count", ("first_reported", "last_reported", "observed_flagship_ids", "sources")),
+}
+
+
+@query(
+    f"""WITH {kind_sql(STATE_KINDS)}, o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS nth, dayofweek(ts + INTERVAL 9 HOUR) AS day FROM good),
+    s AS (SELECT 'selectRankStates' AS dataset, 'u' || user_id || '|' || k % 3 AS key, NULL::BIGINT AS count,
+        arg_max(event_id || '|' || event_id % 5 || '|' || origin, nth) AS value FROM o WHERE kind = 'select_rank' AND NOT wrong GROUP BY user_id, k % 3),
+    r AS (SELECT 'recipeAggregates', (user_id + 1) || '|' || (k % 3 - 1) || '|' || day, count(*),
+        coalesce(arg_max(CASE event_id % 3 WHEN 0 THEN event_id || '' ELSE '-' END, nth) FILTER (event_id % 3 < 2), '-') || '|' || arg_max(origin, nth) || '|' || max(ms)
+        FROM o WHERE kind = 'remodel_recipe' AND k % 3 > 0 GROUP BY user_id, k % 3, day),
+    p AS (SELECT 'shipStatAggregates', user_id || '|' || k % 2, count(*), max(ms) || '' FROM o WHERE kind = 'ship_stat' GROUP BY user_id, k % 2),
+    z AS (SELECT *, max(CASE WHEN k = 0 THEN nth END) OVER (PARTITION BY user_id) AS reset FROM o WHERE kind = 'enemy_info'),
+    n AS (SELECT 'enemyInfoAggregates', '[' || user_id || ']', count(*), max(k) || '|' || coalesce(min(k) FILTER (k > 0 AND k % 2 = 0 AND nth > coalesce(reset, 0)) || '', '-')
+        FROM z GROUP BY user_id),
+    q AS (SELECT 'questDefinitions', user_id || '|' || event_type || '|' || k % 2, NULL, md5(event_type || 'd') || '|' || arg_min(origin, nth)
+        FROM o WHERE kind = 'quest' GROUP BY user_id, event_type, k % 2),
+    w AS (SELECT 'questRewardDefinitions', user_id || '|' || event_type || '|[1,' || k % 2 || ']', NULL, md5(event_type || 'd') || '|' || k % 2 || '|' || arg_min(origin, nth)
+        FROM o WHERE kind = 'quest_reward' GROUP BY user_id, event_type, k % 2),
+    f AS (SELECT user_id, day, k, min(nth) AS nth, count(*) AS n, min(ms) AS lo, max(ms) AS hi FROM o WHERE kind = 'item_improvement' GROUP BY ALL),
+    i AS (SELECT 'itemImprovementAvailabilityFacts', 'v1|availability|' || (user_id + 1) || '|5|' || day || '|0', sum(n)::BIGINT,
+        min(lo) || '|' || max(hi) || '|[' || string_agg(k + 1, ',' ORDER BY nth) || ']|["list"]' FROM f GROUP BY user_id, day)
+    FROM s UNION ALL FROM r UNION ALL FROM p UNION ALL FROM n UNION ALL FROM q UNION ALL FROM w UNION ALL FROM i"""
+)
+def ingest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of seven kinds folded into states in two batches, the second merged with what the first left."""
+    reports, root = envelopes(spark, sf_dir, STATE_KINDS), new_folder(spark, "states")
+    cut = F.lit("2024-01-12").cast("timestamp")
+    parts = []
+    for name, (key, count, values) in STATE_DIGESTS.items():
+        job = ingest.STATE_JOBS[name]
+        for batch_id, batch in enumerate([reports.where(F.col("ingested_at") < cut), reports.where(F.col("ingested_at") >= cut)]):
+            streams.apply_batch(batch, batch_id, job.folded, job.merged, f"{root}/{name}")
+        state = streams.read_state(spark, f"{root}/{name}")
+        arrays = {f.name for f in state.schema if f.dataType.typeName() == "array"}
+        line = lambda names: F.concat_ws("|", *[F.coalesce(F.to_json(c) if c in arrays else F.col(c).cast("string"), F.lit("-")) for c in names])  # noqa: B023, E731
+        parts.append(state.select(F.lit(name).alias("dataset"), line(key).alias("key"), (F.col(count) if count else F.lit(None).cast("long")).alias("count"), line(values).alias("value")))
+    return reduce(DataFrame.unionByName, parts)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.calendar import japan, jst_month
-from ..sources.observations import exists, filesystem
+from ..operators import ingest
+from ..schemas import OBSERVATIONS
+from ..sources.observations import append_observations, exists, filesystem
 
 
 def stream_observations(stream: DataFrame, root: str, dataset: str, checkpoint: str, **options) -> StreamingQuery:
@@ -80,3 +82,24 @@ def split_late(df: DataFrame, published: list[str], ts: str = "ingested_at") ->
     """T5: (rows of open months, rows of months that are published already). published: a name per month."""
     late = jst_month(F.col(ts)).isin(published) if published else F.lit(False)
     return df.where(~late), df.where(late)
+
+
+def ingest_batch(envelopes: DataFrame, batch_id: int, root: str) -> None:
+    """W1, W2 as a batch: observations are appended to ``root/observations``, states become version batch_id.
+
+    States are idempotent by batch_id; observations are not, so a caller that repeats a batch uses stream_reports."""
+    for dataset in OBSERVATIONS:
+        append_observations(ingest.observations_of(envelopes, dataset)[0], f"{root}/observations", dataset)
+    for name, job in ingest.STATE_JOBS.items():
+        apply_batch(envelopes, batch_id, job.folded, job.merged, f"{root}/states/{name}")
+
+
+def stream_reports(stream: DataFrame, root: str, checkpoint: str, **options) -> list[StreamingQuery]:
+    """W1, W2 as streams: one query for each dataset with a checkpoint of its own, each exactly once and restarted by
+    itself. Envelopes stored by kind are pruned to each query's kind."""
+    queries = [
+        stream_observations(ingest.observations_of(stream, d)[0], f"{root}/observations", d, f"{checkpoint}/{d}", **options) for d in OBSERVATIONS
+    ]
+    for name, job in ingest.STATE_JOBS.items():
+        queries.append(stream_state(stream, job.folded, job.merged, f"{root}/states/{name}", f"{checkpoint}/{name}", **options))
+    return queries
