@@ -1,5 +1,11 @@
+import bisect
 import collections
+import hashlib
 import zlib
+from math import ceil
+
+import pytest
+import xxhash
 
 from tidefold.llm.ring_shards import ring_shards
 
@@ -49,3 +55,38 @@ def test_same_rows_whatever_the_layout(spark):
 
 def test_empty(spark):
     assert rows_of(spark, []) == []
+
+
+def walked(keys, shards, vnodes, epsilon):
+    """Shard of every key, by a walk of each along the ring, key by key, in as many rounds as there are shards."""
+    nodes = sorted((int.from_bytes(hashlib.md5(f"{s}/{v}".encode()).digest()[:8], "big"), s) for s in range(shards) for v in range(vnodes))
+    tops = [place >> 48 for place, _ in nodes]
+    n = len(keys)
+    room = [ceil((1 + epsilon) * n / shards)] * shards if epsilon else [n // shards + (s < n % shards) for s in range(shards)]
+    queue = []
+    for key in keys:
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42)
+        at = bisect.bisect_left(tops, h >> 48) % len(nodes)
+        queue.append((at, h % 16, h - (1 << 64 if h >> 63 else 0), key))
+    queue.sort()
+    found = {}
+    for hop in range(shards):
+        for at, _, _, key in queue:
+            if key in found:
+                continue
+            met = []
+            for k in range(len(nodes)):
+                s = nodes[(at + k) % len(nodes)][1]
+                if s not in met:
+                    met.append(s)
+            if room[met[hop]]:
+                room[met[hop]] -= 1
+                found[key] = met[hop]
+    return found
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.1])
+def test_every_row_is_where_a_walk_key_by_key_ends(spark, epsilon):
+    keys = [i * i for i in range(701)]
+    out = rows_of(spark, [(i, "t", 0) for i in keys], shards=6, vnodes=9, epsilon=epsilon)
+    assert {r.doc_id: r.shard for r in out} == walked(keys, 6, 9, epsilon)
