@@ -1,8 +1,10 @@
 """Keyed folds: what repeated reports of one identity leave behind.
 
-Order is a list of columns, ``(ingested_at, id)`` for reports; it must be unique within a key. Every fold is built from
-aggregates that combine before the shuffle, so a key with very many reports costs each task one row. Folds of two
-batches are merged with merge_state; what a merge needs to know of a batch is part of its fold (``has_`` columns).
+Order is a list of columns, ``(ingested_at, id)`` for reports; it must be unique within a key. Folds are built from
+aggregates that combine before the shuffle, so a key with very many reports costs each task one row. Three also join
+their rows with one row a key: range_state (only keys that a null resets), collisions and dedupe_by_key. There a key
+with very many rows is split by Spark's adaptive skew join, which duplicates the one row. Folds of two batches are
+merged with merge_state; what a merge needs to know of a batch is part of its fold (``has_`` columns).
 """
 
 from __future__ import annotations
