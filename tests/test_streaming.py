@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidefold.operators import folds
+from tidefold.sources import observations
 from tidefold.streaming import reports
 
 SCHEMA = "id long, ingested_at timestamp, user long, kind string, value long"
@@ -72,3 +73,22 @@ def test_settled_and_late(spark, stream, tmp_path):
     open_, late = reports.split_late(spark.createDataFrame(rows(60), SCHEMA), ["2024-01"])
     assert late.count() + open_.count() == 60 and late.count() == 9
     assert reports.split_late(open_, [])[1].isEmpty()
+
+
+def test_all_datasets_from_a_stream_of_envelopes(spark, tmp_path):
+    """A query for each dataset; a second start with the same checkpoints adds nothing."""
+    schema = "id long, ingested_at timestamp, data string, x_reporter string, user_agent string, kind string"
+    at = datetime(2024, 1, 31, 16)
+    ranks = [(i, at, f'{{"teitokuId":"t","mapareaId":1,"rank":{i}}}', None, "agent", "select_rank") for i in (1, 2)]
+    others = [(3, at, '{"itemId":5}', "", "agent", "create_item"), (4, at, '{"itemId":"x"}', None, None, "create_item"), (5, at, None, None, None, None)]
+    spark.createDataFrame(ranks + others, schema).write.partitionBy("kind").parquet(str(tmp_path / "in"))
+    root = str(tmp_path / "out")
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        for query in reports.stream_reports(stream, root, str(tmp_path / "checkpoint")):
+            query.awaitTermination()
+    state = reports.read_state(spark, f"{root}/states/selectRankStates")
+    assert [(r.teitoku_id, r["rank"], r.origin) for r in state.collect()] == [("t", 2, "agent")]
+    items = observations.read_dataset(spark, f"{root}/observations", "createItemObservations")
+    assert [(r.id, r.item_id, r.origin, r.dump_month) for r in items.collect()] == [(3, 5, "agent", "2024-02")]
+    assert reports.read_state(spark, f"{root}/states/questDefinitions") is None or reports.read_state(spark, f"{root}/states/questDefinitions").isEmpty()
