@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster, cluster_sql
 from .common import read_table, small_table
 from .decontamination import contaminated
 from .html_text import extract
@@ -12,6 +13,7 @@ from .language_id import identify
 from .line_dedup import dedup_lines
 from .line_quality import line_quality
 from .packing import pack
+from .resampling import resample
 from .ring_shards import ring_shards
 from .simhash import simhash_components
 from .surrogates import replace_entities
@@ -81,6 +83,15 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -119,6 +130,7 @@ def oracle_sql() -> dict[str, str]:
     )
     return {
         "op6_line_quality": LINE_QUALITY,
+        "op12_centroids": cluster_sql(),
         "op3_url_rules": f"""
 WITH rests AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
