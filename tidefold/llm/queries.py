@@ -12,6 +12,7 @@ from .html_text import extract
 from .language_id import identify
 from .line_dedup import dedup_lines
 from .line_quality import line_quality
+from .overlap_join import overlap_components
 from .packing import pack
 from .resampling import resample
 from .ring_shards import ring_shards
@@ -92,6 +93,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
