@@ -160,42 +160,24 @@ def test_digests_are_those_of_the_files(spark, tmp_path):
     assert got == want and len(want) == 2
 
 
-@pytest.mark.parametrize("crash", range(4))
-def test_a_repair_that_crashed_is_finished(spark, tmp_path, crash, monkeypatch):
-    """Whichever rename a repair stops after, no row is lost, and the next repair finishes it."""
+@pytest.mark.parametrize("before", [True, False])
+def test_a_repair_that_crashed_is_repeated(spark, tmp_path, before, monkeypatch):
+    """Whether it breaks off before or after its commit, no row is lost, and the next repair finishes it."""
     root = f"file://{tmp_path}/r"
     df = rows_of(spark, 40).select("id", "ingested_at", F.when(F.col("id") % 4 == 0, "2026-05").otherwise("2026-06").alias("dump_month"))
     df.write.partitionBy("dump_month").parquet(f"{root}/d")
-    real, left = observations.finish_repair, [crash]
+    real = observations.commit
 
-    class Stop(Exception):
-        pass
+    def broken(*args, **kwargs):
+        if not before:
+            real(*args, **kwargs)
+        raise OSError("crash")
 
-    class Files:
-        def __init__(self, fs):
-            self.fs = fs
-
-        def __getattr__(self, name):
-            return getattr(self.fs, name)
-
-        def rename(self, a, b):
-            if not left[0]:
-                raise Stop
-            left[0] -= 1
-            return self.fs.rename(a, b)
-
-    def wrapped(spark, path, of=observations.filesystem):
-        fs, p = of(spark, path)
-        return Files(fs), p
-
-    monkeypatch.setattr(observations, "filesystem", wrapped)
-    try:
+    monkeypatch.setattr(observations, "commit", broken)
+    with pytest.raises(OSError):
         observations.repair_month(spark, root, "d", "2026-06")
-    except Stop:
-        pass
     monkeypatch.undo()
-    assert observations.finish_repair is real
-    observations.repair_month(spark, root, "d", "2026-06")
+    assert observations.read_dataset(spark, root, "d").count() == 40
+    assert observations.repair_month(spark, root, "d", "2026-06") == (10 if before else 0)
     table = observations.read_dataset(spark, root, "d")
     assert table.count() == 40 and {r[0] for r in table.select("dump_month").distinct().collect()} == {"2026-06"}
-    assert not (tmp_path / "r" / "_repair" / "d").exists()

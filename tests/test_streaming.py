@@ -43,7 +43,7 @@ def test_state_equals_batch_and_replays_do_nothing(spark, stream, tmp_path):
 def test_observations_go_to_their_months_once(spark, stream, tmp_path):
     for _ in range(2):
         reports.stream_observations(stream, f"{tmp_path}/root", "x", f"{tmp_path}/ckpt").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/root/x").groupBy("dump_month").count().collect()
+    got = observations.read_dataset(spark, f"{tmp_path}/root", "x").groupBy("dump_month").count().collect()
     want = {}
     for r in rows(60):
         month = f"{r[1] + timedelta(hours=9):%Y-%m}"

@@ -20,6 +20,7 @@ from ..functions.keys import decimal_text
 from ..operators.exports import reconcile, with_ordered_index
 from ..schemas import JSON_KINDS, OBSERVATIONS, observation_fields
 from ..storage import new_folder, written
+from .commits import put, read_text, version
 from .observations import drop_month, exists, filesystem, is_closed, misplaced_counts, read_dataset, read_month
 
 RETENTION = timedelta(hours=168)
@@ -197,7 +198,9 @@ def export_month(spark: SparkSession, root: str, staged: str, dataset: str, mont
 
 
 def publish_month(spark: SparkSession, root: str, out: str, month: str, now: datetime) -> DataFrame:
-    """The month's manifest entries; published before, they are returned as they are."""
+    """The month's manifest entries; published before, they are returned as they are.
+
+    The instant of the first attempt is reserved, so that a run that broke off and is tried again gives the same bytes."""
     manifest = f"{out}/{object_key(month)}"
     if not exists(spark, manifest):
         if not is_closed(month, now):
@@ -209,12 +212,15 @@ def publish_month(spark: SparkSession, root: str, out: str, month: str, now: dat
         for dataset in OBSERVATIONS:
             files.append(export_month(spark, root, f"{staged}/{dataset}", dataset, month))
             publish_immutable(spark, f"{staged}/{dataset}", f"{out}/{object_key(month, dataset)}")
-        text = build_manifest(files, month, now)
-        fs, p = filesystem(spark, manifest)
-        stream = fs.create(p, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-    return manifest_files(read_manifests(spark, out).where(F.col("dump_month") == month))
+        reserved = f"{out}/{month}/published-at"
+        put(spark, reserved, now.isoformat())
+        text = build_manifest(files, month, datetime.fromisoformat(read_text(spark, reserved)))
+        if not put(spark, manifest, text) and read_text(spark, manifest) != text:
+            raise RuntimeError(f"{manifest} exists and differs")
+    said = read_manifests(spark, out).where(F.col("dump_month") == month)
+    if said.isEmpty():
+        raise RuntimeError(f"{manifest} is there and is no manifest")
+    return manifest_files(said)
 
 
 def cleanup_candidates(manifests: DataFrame, now: datetime) -> DataFrame:
@@ -243,8 +249,9 @@ def cleanup_month(spark: SparkSession, root: str, out: str, month: str, now: dat
     if problems:
         raise RuntimeError(f"{month}: {[tuple(p) for p in problems]}")
     kept = {r.dataset: r.row_count for r in said.collect()}
+    at = {dataset: version(spark, f"{root}/{dataset}") for dataset in OBSERVATIONS}
     for dataset in OBSERVATIONS:
-        there = read_month(spark, root, dataset, month).count()
+        there = read_month(spark, root, dataset, month, at=at[dataset]).count()
         if there not in (0, kept[dataset]):
             raise RuntimeError(f"{dataset} {month}: {there} rows, {kept[dataset]} published")
-    return sum(drop_month(spark, root, dataset, month) for dataset in OBSERVATIONS)
+    return sum(drop_month(spark, root, dataset, month, at[dataset]) for dataset in OBSERVATIONS)

@@ -1,9 +1,11 @@
 """Observation tables as month-partitioned Parquet: append, read a month, find and repair misplaced rows.
 
-Layout: ``root/dataset/dump_month=YYYY-MM``. The month is that of Japan time."""
+What belongs to a table, ``root/dataset``, is what its commit log says (see commits.py); every change here is one commit,
+and every read is of one version. The month is that of Japan time."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 from functools import reduce
 
@@ -12,13 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import jst_month, month_bounds, month_bounds_columns
 from ..schemas import KINDS, observation_fields
-
-
-def filesystem(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, and the path as its object."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+from .commits import MONTH, Conflict, Version, commit, filesystem, is_plain, month_of, names, version
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -32,26 +28,59 @@ def schema_of(dataset: str) -> str:
     return ", ".join(["id bigint", "ingested_at timestamp", *columns, "dump_month string"])
 
 
-def append_observations(df: DataFrame, root: str, dataset: str, max_records: int = 5_000_000) -> None:
-    """Every row is appended, none merged. Rows are dealt out by month and evenly, so that the month in which
-    everything arrives has as many writers as it needs, and a month of few rows one file."""
-    out = df.withColumn("dump_month", jst_month(F.col("ingested_at")))
-    out = out.hint("rebalance", "dump_month")
-    out.write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("dump_month").parquet(f"{root}/{dataset}")
+def write_units(df: DataFrame, top: str, max_records: int = 5_000_000) -> list[str]:
+    """Writes rows with dump_month beside the table, and returns the units that a commit can add."""
+    folder = f"_data/commit={uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", max_records).partitionBy("dump_month").parquet(f"{top}/{folder}")
+    return [f"{folder}/{n}" for n in names(df.sparkSession, f"{top}/{folder}") if n.startswith(MONTH)]
+
+
+def append_observations(
+    df: DataFrame, root: str, dataset: str, max_records: int = 5_000_000, writer: str | None = None, batch: int | None = None
+) -> int | None:
+    """Every row is appended, none merged; returns the version. Rows are dealt out by month and evenly, so that the
+    month in which everything arrives has as many writers as it needs, and a month of few rows one file.
+
+    With a writer, its batches have ascending numbers, and one that was appended before is not appended again (None)."""
+    spark, top = df.sparkSession, f"{root}/{dataset}"
+    if writer is not None and version(spark, top).done.get(writer, -1) >= batch:
+        return None
+    out = df.withColumn("dump_month", jst_month(F.col("ingested_at"))).hint("rebalance", "dump_month")
+    return commit(spark, top, write_units(out, top, max_records), writer=writer, batch=batch)
 
 
-def read_dataset(spark: SparkSession, root: str, dataset: str, schema: str | None = None) -> DataFrame:
-    """All months; empty, with the declared columns, if nothing was ever appended."""
-    path = f"{root}/{dataset}"
-    if not exists(spark, path):
+def read_units(spark: SparkSession, top: str, units: set[str]) -> DataFrame | None:
+    """The rows of these units, None without any; others are not opened."""
+    parts = []
+    for base, some in ((top, [u for u in units if is_plain(u)]), (f"{top}/_data", [u for u in units if not is_plain(u)])):
+        if some:
+            df = spark.read.option("basePath", base).parquet(*[f"{top}/{u}" for u in sorted(some)])
+            parts.append(df.drop("commit") if base != top else df)
+    typed = [df.withColumn("dump_month", F.col("dump_month").cast("string")) for df in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), typed) if typed else None
+
+
+def read_dataset(spark: SparkSession, root: str, dataset: str, schema: str | None = None, number: int | None = None) -> DataFrame:
+    """All months of the latest version (or that of a number); empty, with the declared columns, if there is nothing."""
+    found = read_units(spark, f"{root}/{dataset}", version(spark, f"{root}/{dataset}", number).units)
+    return _declared(spark, found, dataset, schema)
+
+
+def _declared(spark: SparkSession, found: DataFrame | None, dataset: str, schema: str | None) -> DataFrame:
+    if found is None:
         return spark.createDataFrame([], schema or schema_of(dataset))
-    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path).withColumn("dump_month", F.col("dump_month").cast("string"))
+    if schema is None:
+        return found
+    fields = spark.createDataFrame([], schema).schema.fields
+    return found.select(*[(F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def read_month(spark: SparkSession, root: str, dataset: str, month: str, schema: str | None = None) -> DataFrame:
-    """S3: one month's partition, the only one that is read."""
+def read_month(spark: SparkSession, root: str, dataset: str, month: str, schema: str | None = None, at: Version | None = None) -> DataFrame:
+    """S3: one month's partition, the only one that is read; at: of this version."""
     month_bounds(month)
-    return read_dataset(spark, root, dataset, schema).where(F.col("dump_month") == month)
+    top = f"{root}/{dataset}"
+    units = (at or version(spark, top)).of_month(month)
+    return _declared(spark, read_units(spark, top, units), dataset, schema)
 
 
 def misplaced_rows(df: DataFrame, month: str | None = None, ts: str = "ingested_at", stored: str = "dump_month") -> DataFrame:
@@ -77,57 +106,38 @@ def check_month_bounds(df: DataFrame, ts: str = "ingested_at", stored: str = "du
 def repair_month(spark: SparkSession, root: str, dataset: str, month: str, ts: str = "ingested_at") -> int:
     """M2: moves the month's misplaced rows into its partition and returns how many; a second run moves none.
 
-    Touched partitions are rebuilt and checked beside the table, in a folder that becomes ready by its last file. From
-    then on the repair can only go forward: whoever finds it ready, after a crash as well, finishes it."""
-    finish_repair(spark, root, dataset)
-    table = read_dataset(spark, root, dataset)
-    wrong = misplaced_rows(table, month, ts)
-    touched = [r[0] for r in wrong.select("dump_month").distinct().collect()]  # months: few
-    if not touched:
-        return 0
-    moved = wrong.count()
-    parts = table.where(F.col("dump_month").isin([*touched, month]))
-    true = jst_month(F.col(ts))
-    staged = f"{root}/_repair/{dataset}"
-    fs, folder = filesystem(spark, staged)
-    fs.delete(folder, True)  # of a repair that never became ready
-    fixed = parts.withColumn("dump_month", F.when(true == month, F.lit(month)).otherwise(F.col("dump_month")))
-    fixed.repartition("dump_month", F.pmod(F.xxhash64("id", ts), F.lit(8))).write.partitionBy("dump_month").parquet(f"{staged}/new")
-    built = spark.read.parquet(f"{staged}/new").withColumn("dump_month", F.col("dump_month").cast("string"))
-    if built.count() != parts.count() or not misplaced_rows(built, month, ts).isEmpty():
-        raise RuntimeError(f"repair of {dataset} {month} lost or left rows")
-    left = {r[0] for r in built.select("dump_month").distinct().collect()}
-    fs.mkdirs(filesystem(spark, f"{staged}/old")[1])
-    fs.mkdirs(filesystem(spark, f"{root}/{dataset}")[1])
-    for name in {*touched, month} - left:  # partitions that end up empty
-        fs.mkdirs(filesystem(spark, f"{staged}/gone/dump_month={name}")[1])
-    fs.create(filesystem(spark, f"{staged}/READY")[1], True).close()
-    finish_repair(spark, root, dataset)
-    return moved
-
-
-def finish_repair(spark: SparkSession, root: str, dataset: str) -> bool:
-    """Moves the partitions of a repair that is ready to their places; each step is done once, however often it is begun."""
-    staged = f"{root}/_repair/{dataset}"
-    if not exists(spark, f"{staged}/READY"):
-        return False
-    fs, folder = filesystem(spark, staged)
-    for kind in ("new", "gone"):
-        source = filesystem(spark, f"{staged}/{kind}")[1]
-        names = [f.getPath().getName() for f in fs.listStatus(source)] if fs.exists(source) else []
-        for name in sorted(n for n in names if n.startswith("dump_month=")):
-            (_, here), (_, aside), (_, staged_one) = (filesystem(spark, f"{top}/{name}") for top in (f"{root}/{dataset}", f"{staged}/old", f"{staged}/{kind}"))
-            if fs.exists(here) and not fs.exists(aside):
-                fs.rename(here, aside)
-            if kind == "new":
-                fs.rename(staged_one, here)
-    return fs.delete(folder, True)
-
-
-def drop_month(spark: SparkSession, root: str, dataset: str, month: str) -> bool:
+    The partitions that have them are written anew, checked, and exchanged in one commit. What is appended meanwhile is
+    kept; if somebody else exchanged the same units meanwhile, the repair starts over."""
+    top = f"{root}/{dataset}"
+    while True:
+        units = version(spark, top).units
+        table = read_units(spark, top, units)
+        if table is None:
+            return 0
+        wrong = misplaced_rows(table, month, ts)
+        per_month = {r.dump_month: r.n for r in wrong.groupBy("dump_month").agg(F.count("*").alias("n")).collect()}  # months: few
+        if not per_month:
+            return 0
+        old = {u for u in units if month_of(u) in per_month or (None in per_month and month_of(u).startswith("__HIVE"))}
+        parts, true = read_units(spark, top, old), jst_month(F.col(ts))
+        fixed = parts.withColumn("dump_month", F.when(true == month, F.lit(month)).otherwise(F.col("dump_month")))
+        new = write_units(fixed.hint("rebalance", "dump_month"), top)
+        built = read_units(spark, top, set(new))
+        if built.count() != parts.count() or not misplaced_rows(built, month, ts).isEmpty():
+            raise RuntimeError(f"repair of {dataset} {month} lost or left rows")
+        try:
+            commit(spark, top, new, sorted(old))
+            return sum(per_month.values())
+        except Conflict:
+            continue
+
+
+def drop_month(spark: SparkSession, root: str, dataset: str, month: str, at: Version | None = None) -> bool:
+    """Removes the month's units, those of a version if one is given; rows that came later then stay. vacuum() frees the disk."""
     month_bounds(month)
-    fs, p = filesystem(spark, f"{root}/{dataset}/dump_month={month}")
-    return fs.exists(p) and fs.delete(p, True)
+    top = f"{root}/{dataset}"
+    units = (at or version(spark, top)).of_month(month)
+    return bool(units) and commit(spark, top, [], sorted(units)) is not None
 
 
 def is_closed(month: str, now: datetime) -> bool:

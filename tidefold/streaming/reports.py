@@ -1,10 +1,11 @@
 """Streams of reports: append, fold into state, settle, count by Japan-time day, split off late rows.
 
-State lives in versioned folders of a root: ``state-00000007`` holds the state after batch 7 in buckets, and the
+State lives in versioned folders of a root: ``state-00000007`` holds the whole state after batch 7, and the
 folder with the highest complete number counts. A replayed batch finds its version written and does nothing."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +15,20 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.calendar import japan, jst_month
 from ..operators import ingest
 from ..schemas import OBSERVATIONS
+from ..sources.commits import read_text
 from ..sources.observations import append_observations, exists, filesystem
 
 
 def stream_observations(stream: DataFrame, root: str, dataset: str, checkpoint: str, **options) -> StreamingQuery:
-    """Every arriving row to its month, exactly once: a batch is written to a folder of its own, then moved in.
+    """Every arriving row to its month, exactly once: a batch is one commit in the table's log, under the query's
+    own id, so a replayed batch adds nothing. Batch appends, repairs and drops go through the same log."""
 
-    The file sink keeps the record of complete batches beside the data."""
-    out = stream.withColumn("dump_month", jst_month(F.col("ingested_at")))
-    writer = out.writeStream.format("parquet").partitionBy("dump_month").outputMode("append")
-    return writer.option("checkpointLocation", checkpoint).option("path", f"{root}/{dataset}").trigger(**(options or {"availableNow": True})).start()
+    def append(batch: DataFrame, batch_id: int) -> None:
+        query_id = json.loads(read_text(batch.sparkSession, f"{checkpoint}/metadata").splitlines()[-1])["id"]
+        append_observations(batch, root, dataset, writer=query_id, batch=batch_id)
+
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(options or {"availableNow": True})).start()
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
@@ -87,9 +92,9 @@ def split_late(df: DataFrame, published: list[str], ts: str = "ingested_at") ->
 def ingest_batch(envelopes: DataFrame, batch_id: int, root: str) -> None:
     """W1, W2 as a batch: observations are appended to ``root/observations``, states become version batch_id.
 
-    States are idempotent by batch_id; observations are not, so a caller that repeats a batch uses stream_reports."""
+    Both are idempotent by batch_id."""
     for dataset in OBSERVATIONS:
-        append_observations(ingest.observations_of(envelopes, dataset)[0], f"{root}/observations", dataset)
+        append_observations(ingest.observations_of(envelopes, dataset)[0], f"{root}/observations", dataset, writer="ingest_batch", batch=batch_id)
     for name, job in ingest.STATE_JOBS.items():
         apply_batch(envelopes, batch_id, job.folded, job.merged, f"{root}/states/{name}")
 
