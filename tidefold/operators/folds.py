@@ -102,10 +102,11 @@ def ordered_set_union(df: DataFrame, keys: list[str], array: str, order: list[st
 
 
 def accumulate_facts(
-    df: DataFrame, keys: list[str], stable: list[str], observed_at: str, reported_at: str, sets: list[str], order: list[str]
+    df: DataFrame, keys: list[str], stable: list[str], observed_at: str, reported_at: str, sets: list[str], order: list[str],
+    born: str | None = None,
 ) -> DataFrame:
     """U8: per key the first report's stable fields, bounds of the observation time, first and last report, count, and
-    the ordered unions of the array columns in sets."""
+    the ordered unions of the array columns in sets. born: name of a column for the first report's place, if wanted."""
     ord_ = _order(order)
     facts = df.groupBy(*keys).agg(
         *[F.min_by(c, ord_).alias(c) for c in stable],
@@ -114,6 +115,7 @@ def accumulate_facts(
         F.min_by(reported_at, ord_).alias("first_reported"),
         F.max(reported_at).alias("last_reported"),
         F.count("*").alias("count"),
+        *([F.min(ord_).alias(born)] if born else []),
     )
     for name in sets:
         union = ordered_set_union(df, keys, name, order)
@@ -158,6 +160,25 @@ def merge_state(old: DataFrame, batch: DataFrame, keys: list[str], spec: dict[st
     return joined.select(*out)
 
 
+def merge_layers(df: DataFrame, keys: list[str], spec: dict[str, str], layer: str) -> DataFrame:
+    """U10 for many folds at once: rows of several batches' folds, numbered by layer, to one row a key.
+
+    Rules as in merge_state but for reset, which needs the layers one after another. A key has at most a row a layer, so
+    the lists of a union are bounded by the number of layers."""
+
+    def union(name: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(layer), F.col(name))))
+        return F.array_distinct(F.flatten(F.filter(F.transform(ordered, lambda x: x[name]), lambda a: a.isNotNull())))
+
+    make = {
+        "last": lambda c: F.max_by(c, layer), "first": lambda c: F.min_by(c, layer), "sum": F.sum, "min": F.min, "max": F.max, "union": union,
+        "patch": lambda c: F.max_by(c, F.when(F.col(f"has_{c}"), F.col(layer))), "any": lambda c: F.coalesce(F.max(c), F.lit(False)),
+    }
+    if unknown := set(spec.values()) - set(make):
+        raise ValueError(f"no rule for layers: {sorted(unknown)}")
+    return df.groupBy(*keys).agg(*[make[rule](c).alias(c) for c, rule in spec.items()])
+
+
 def dedupe_by_key(df: DataFrame, key: str, id: str) -> tuple[DataFrame, DataFrame]:
     """Of rows that share a key that is not null, the one with the smallest id stays: (kept, deleted)."""
     keyed = df.where(F.col(key).isNotNull())

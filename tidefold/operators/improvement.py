@@ -146,11 +146,11 @@ SHARED = ["key", "source", "schema_version", "client_observed_at", "recipe_id",
 MATERIALS = ["fuel", "ammo", "steel", "bauxite", "buildkit", "remodelkit", "certain_buildkit", "certain_remodelkit"]
 
 
-def improvement_records(
+def valid_records(
     df: DataFrame, v: str = "v", received_ms: str = "received_ms", x_reporter: str = "x_reporter", max_batch: int = MAX_BATCH, keep: tuple[str, ...] = ("id", "ingested_at")
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(listed, detailed, executed, rejected). A report has a list ``records`` or is one record
-    itself; its place in the report is ``position``."""
+) -> tuple[DataFrame, DataFrame]:
+    """(a row for each record of all routes, rejected). A report has a list ``records`` or is one
+    record itself; its place in the report is ``position``."""
     from .normalize import computed
 
     def judged_batch(batch):
@@ -169,7 +169,11 @@ def improvement_records(
     judged = computed(df, casting.let(listed, judged_batch), "_message", "_records")
     rejected = judged.where("_message IS NOT NULL").select(*keep, F.col("_message").alias("message"))
     good = judged.where("_message IS NULL").select(*keep, received_ms, keys.reporter_origin(F.col(x_reporter)).alias("origin"), F.posexplode("_records").alias("position", "r"))
-    good = good.select(*keep, F.col(received_ms).alias("reported_at"), "origin", "position", "r.*").drop("problem")
+    return good.select(*keep, F.col(received_ms).alias("reported_at"), "origin", "position", "r.*").drop("problem"), rejected
+
+
+def routed(records: DataFrame, keep: tuple[str, ...] = ("id", "ingested_at")) -> list[DataFrame]:
+    """Valid records as (listed, detailed, executed), each with its key and its columns."""
     recipe, item, day, second, level = (F.col(c) for c in ("recipe_id", "item_id", "day", "observed_second_ship_id", "item_level"))
     key = {
         "list": keys.availability_key(recipe, item, day, second),
@@ -182,8 +186,15 @@ def improvement_records(
         "execution": ["item_level", "upgrade_to_item_id", "upgrade_to_item_level", "upgrade_observed"],
     }
     common = [*keep, "position", "reported_at", "origin"]
-    routed = [good.where(F.col("source") == s).withColumn("key", key[s]).select(*common, *SHARED, *more[s]) for s in ("list", "detail", "execution")]
-    return (*routed, rejected)
+    return [records.where(F.col("source") == s).withColumn("key", key[s]).select(*common, *SHARED, *more[s]) for s in ("list", "detail", "execution")]
+
+
+def improvement_records(
+    df: DataFrame, v: str = "v", received_ms: str = "received_ms", x_reporter: str = "x_reporter", max_batch: int = MAX_BATCH, keep: tuple[str, ...] = ("id", "ingested_at")
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(listed, detailed, executed, rejected)."""
+    records, rejected = valid_records(df, v, received_ms, x_reporter, max_batch, keep)
+    return (*routed(records, keep), rejected)
 
 
 def record_list(

@@ -80,12 +80,22 @@ def enemy_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return taken.withColumn("identity_hash", hashed), rejected
 
 
-def fact_rows(df: DataFrame, route: int) -> tuple[DataFrame, DataFrame]:
-    """Records of item improvement of one route (0 listed, 1 detailed, 2 executed), with their sets of one element."""
+def fact_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of item improvement of all routes."""
     parsed, broken = normalize.parse_reports(df.where(F.col("kind") == "item_improvement"))
-    routed = improvement.improvement_records(parsed.withColumn("received_ms", F.unix_millis("ingested_at")), keep=KEEP)
-    rows = routed[route].withColumns({"sources": F.array("source"), "origins": F.array("origin")}).drop("source", "origin")
-    return rows, _rejections(broken, routed[3])
+    records, rejected = improvement.valid_records(parsed.withColumn("received_ms", F.unix_millis("ingested_at")), keep=KEEP)
+    return records, _rejections(broken, rejected)
+
+
+def routed_rows(records: DataFrame, route: int) -> DataFrame:
+    """Records of one route (0 listed, 1 detailed, 2 executed), with their sets of one element."""
+    rows = improvement.routed(records, KEEP)[route]
+    return rows.withColumns({"sources": F.array("source"), "origins": F.array("origin")}).drop("source", "origin")
+
+
+def fact_rows(df: DataFrame, route: int) -> tuple[DataFrame, DataFrame]:
+    records, rejected = fact_records(df)
+    return routed_rows(records, route), rejected
 
 
 def separated(rows: DataFrame, key: list[str], components: list[str], order: list[str], what: str) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +167,7 @@ def _definitions(key: list[str], rows, values: list[str], order: list[str]) -> S
     return State(key, rows, lambda r: folds.first_definition(r, key, values, order), dict.fromkeys(values, "first"), ("title", "detail"), tuple(order))
 
 
-def _facts(route: int) -> State:
+def _facts(route: int, rows: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None, born: str | None = None) -> State:
     sets, order = ["sources", "origins", "observed_flagship_ids"], [*ORDER, "position"]
     bounds = {"first_client_observed_at": "min", "last_client_observed_at": "max", "first_reported": "first", "last_reported": "max", "count": "sum"}
     detail = ["item_level", "stage", *improvement.MATERIALS, "req_slot_items", "req_use_items", "change_flag"]
@@ -165,9 +175,9 @@ def _facts(route: int) -> State:
     stable = ["schema_version", "recipe_id", "item_id", "day", "observed_second_ship_id", *more]
 
     def fold(rows):
-        return folds.accumulate_facts(rows, ["key"], stable, "client_observed_at", "reported_at", sets, order)
+        return folds.accumulate_facts(rows, ["key"], stable, "client_observed_at", "reported_at", sets, order, born)
 
-    return State(["key"], lambda df: fact_rows(df, route), fold, dict.fromkeys(stable, "first") | bounds | dict.fromkeys(sets, "union"), order=tuple(order))
+    return State(["key"], rows or (lambda df: fact_rows(df, route)), fold, dict.fromkeys(stable, "first") | bounds | dict.fromkeys(sets, "union"), order=tuple(order))
 
 
 STATE_JOBS = {
@@ -185,6 +195,11 @@ STATE_JOBS = {
 }
 
 
+#: The tables of sources/facts.py: their rows come from fact_records, validated and written once for all three, and
+#: folds keep the place of a fact's first report, by which it is numbered.
+FACTS = ["itemImprovementAvailabilityFacts", "itemImprovementCostFacts", "itemImprovementUpdateFacts"]
+FACT_JOBS = {name: _facts(k, lambda records, k=k: (routed_rows(records, k), None), "born") for k, name in enumerate(FACTS)}
+
 #: The state whose job judges each kind of report; the three of facts reject the same.
 JUDGES = {
     "select_rank": "selectRankStates", "remodel_recipe": "recipeAggregates", "ship_stat": "shipStatAggregates", "enemy_info": "enemyInfoAggregates",

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, keys
-from ..operators import improvement, ingest, normalize
+from ..operators import exports, improvement, ingest, normalize
 from ..schemas import OBSERVATIONS, REPORTS, Field
-from ..sources import dump, observations
+from ..sources import dump, facts, observations
 from ..storage import new_folder, read_table
 from ..streaming import reports as streams
 from .catalog import EVENTS, INGESTED, as_reports, ingested_orders, query
@@ -426,3 +426,48 @@ def ingest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         line = lambda names: F.concat_ws("|", *[F.coalesce(F.to_json(c) if c in arrays else F.col(c).cast("string"), F.lit("-")) for c in names])  # noqa: B023, E731
         parts.append(state.select(F.lit(name).alias("dataset"), line(key).alias("key"), (F.col(count) if count else F.lit(None).cast("long")).alias("count"), line(values).alias("value")))
     return reduce(DataFrame.unionByName, parts)
+
+
+EXPORT_NOW = 1_706_000_000_000
+FACT_SOURCES = ("list", "detail", "execution")
+MATERIAL_TEXT = ",".join(f'"{name}":{n}' for n, name in enumerate(("fuel", "ammo", "steel", "bauxite", "buildkit", "remodelkit", "certainBuildkit", "certainRemodelkit"), 1))
+
+
+@query(
+    f"""WITH {EVENTS}, r AS (SELECT *, (ts < TIMESTAMP '2024-01-12')::INT AS batch, k % 3 AS route, CASE k % 3
+      WHEN 0 THEN 'v1|availability|' || (user_id + 1) || '|5|' || dayofweek(ts + INTERVAL 9 HOUR) || '|0'
+      WHEN 1 THEN 'v1|cost|' || (user_id + 1) || '|5|9|2|' || dayofweek(ts + INTERVAL 9 HOUR) || '|0|1|2|3|4|5|6|7|8|317:3|-|0'
+      ELSE 'v1|update|' || (user_id + 1) || '|5|9|' || dayofweek(ts + INTERVAL 9 HOUR) || '|0|7|1' END AS key FROM ev WHERE event_id % 13 <> 0),
+    f AS (SELECT route, key, count(*) AS count, max(ms) AS last_reported, min({{'b': batch, 't': ts, 'e': event_id}}) AS born,
+      '[' || array_to_string(list_sort(list(DISTINCT k + 1)), ',') || ']' AS flagships FROM r GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (ORDER BY born) AS id FROM f),
+    p AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY last_reported, id) - 1 AS place FROM n WHERE last_reported <= {EXPORT_NOW} - 30000)
+    SELECT CASE route {" ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(ingest.FACTS))} END AS dataset, key, count, last_reported, flagships,
+    lpad(printf('%x', id), 24, '0') AS export_id, place // 50 AS page, place % 50 AS position FROM p"""
+)
+def ingest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of three routes, the later half as the first batch, folded into the fact store, and all pages of a walk.
+
+    Batches are sent twice. Facts of the second batch have higher ids, whatever their time; known ones keep theirs."""
+    df = as_reports(read_table(spark, sf_dir, "events"))
+    e, k = F.col("event_id"), F.col("k")
+    members = [
+        text('"schemaVersion":1,"recipeId":', F.col("user_id") + 1, ',"itemId":5,"itemLevel":9,"stage":2,"day":', calendar.jst_weekday(F.col("ms"))),
+        text('"observedSecondShipId":0,"upgradeObserved":true,"upgradeToItemId":7,"upgradeToItemLevel":1,"clientObservedAt":', F.col("ms")),
+        F.lit(MATERIAL_TEXT + ',"reqSlotItems":[{"id":317,"count":3}],"reqUseItems":[]'),
+        text('"observedFlagshipId":', k + 1, ',"source":"', one_of(k, *FACT_SOURCES), '"'),
+    ]
+    body = F.when(e % 13 == 0, "{").otherwise(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
+    reports = df.select(
+        e.alias("id"), F.col("ts").cast("timestamp").alias("ingested_at"), F.lit("item_improvement").alias("kind"), body.alias("data"),
+        F.lit(None).cast("string").alias("x_reporter"), F.lit("agent").alias("user_agent"),
+    )
+    root, early = new_folder(spark, "facts"), F.col("ingested_at") < F.lit("2024-01-12").cast("timestamp")
+    for number in (0, 0, 1, 0, 1):
+        facts.apply_facts(reports.where(early if number else ~early), number, root, max_layers=1 + number)
+    parts = []
+    for name in ingest.FACTS:
+        pages = exports.export_pages(facts.read_facts(spark, root, name), EXPORT_NOW, 50)
+        flagships = F.to_json(F.array_sort("observed_flagship_ids")).alias("flagships")
+        parts.append(pages.select(F.lit(name).alias("dataset"), "key", "count", "last_reported", flagships, "export_id", "page", "position"))
+    return reduce(DataFrame.unionByName, parts)

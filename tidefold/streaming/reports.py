@@ -16,6 +16,7 @@ from ..functions.calendar import japan, jst_month
 from ..operators import ingest
 from ..schemas import OBSERVATIONS
 from ..sources.commits import read_text
+from ..sources.facts import apply_facts
 from ..sources.observations import append_observations, exists, filesystem
 
 
@@ -24,8 +25,7 @@ def stream_observations(stream: DataFrame, root: str, dataset: str, checkpoint:
     own id, so a replayed batch adds nothing. Batch appends, repairs and drops go through the same log."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        query_id = json.loads(read_text(batch.sparkSession, f"{checkpoint}/metadata").splitlines()[-1])["id"]
-        append_observations(batch, root, dataset, writer=query_id, batch=batch_id)
+        append_observations(batch, root, dataset, writer=query_id(batch.sparkSession, checkpoint), batch=batch_id)
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(**(options or {"availableNow": True})).start()
@@ -68,6 +68,21 @@ def stream_state(
     return writer.option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """A streaming query's own id, which is kept with its checkpoint."""
+    return json.loads(read_text(spark, f"{checkpoint}/metadata").splitlines()[-1])["id"]
+
+
+def stream_facts(stream: DataFrame, root: str, checkpoint: str, **options) -> StreamingQuery:
+    """Envelopes to the fact store, a version for each batch; a replayed batch adds nothing and numbers nothing."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        apply_facts(batch, batch_id, root, writer=query_id(batch.sparkSession, checkpoint))
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(options or {"availableNow": True})).start()
+
+
 def settled_facts(stream: DataFrame, time: str = "last_reported_ts", key: tuple[str, ...] = ("export_id",), delay: str = "30 seconds") -> DataFrame:
     """Each version of a fact (key and time) once; the watermark bounds what is remembered to the settling time."""
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([*key, time])
@@ -90,21 +105,26 @@ def split_late(df: DataFrame, published: list[str], ts: str = "ingested_at") ->
 
 
 def ingest_batch(envelopes: DataFrame, batch_id: int, root: str) -> None:
-    """W1, W2 as a batch: observations are appended to ``root/observations``, states become version batch_id.
+    """W1, W2 as a batch: observations are appended to ``root/observations``, states become version batch_id, and facts
+    a layer of the store ``root/facts``, numbered for export.
 
-    Both are idempotent by batch_id."""
+    All are idempotent by batch_id."""
     for dataset in OBSERVATIONS:
         append_observations(ingest.observations_of(envelopes, dataset)[0], f"{root}/observations", dataset, writer="ingest_batch", batch=batch_id)
     for name, job in ingest.STATE_JOBS.items():
-        apply_batch(envelopes, batch_id, job.folded, job.merged, f"{root}/states/{name}")
+        if name not in ingest.FACT_JOBS:
+            apply_batch(envelopes, batch_id, job.folded, job.merged, f"{root}/states/{name}")
+    apply_facts(envelopes, batch_id, f"{root}/facts", writer="ingest_batch")
 
 
 def stream_reports(stream: DataFrame, root: str, checkpoint: str, **options) -> list[StreamingQuery]:
-    """W1, W2 as streams: one query for each dataset with a checkpoint of its own, each exactly once and restarted by
-    itself. Envelopes stored by kind are pruned to each query's kind."""
+    """W1, W2 as streams: one query for each dataset, and one for all facts, with a checkpoint of its own, each exactly
+    once and restarted by itself. Envelopes stored by kind are pruned to each query's kind."""
     queries = [
         stream_observations(ingest.observations_of(stream, d)[0], f"{root}/observations", d, f"{checkpoint}/{d}", **options) for d in OBSERVATIONS
     ]
+    queries.append(stream_facts(stream, f"{root}/facts", f"{checkpoint}/facts", **options))
     for name, job in ingest.STATE_JOBS.items():
-        queries.append(stream_state(stream, job.folded, job.merged, f"{root}/states/{name}", f"{checkpoint}/{name}", **options))
+        if name not in ingest.FACT_JOBS:
+            queries.append(stream_state(stream, job.folded, job.merged, f"{root}/states/{name}", f"{checkpoint}/{name}", **options))
     return queries
