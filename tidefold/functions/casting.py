@@ -17,8 +17,9 @@ SAFE = 9_007_199_254_740_991
 
 
 def let(value: Column, use) -> Column:
-    """use(value), with value computed once for each row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value), with value computed once for each row. (Of an array's elements element_at remembers the type; get
+    would ask the whole expression for it in every row.)"""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
 
 
 TYPES = {"VOI": "null", "BOO": "boolean", "STR": "string", "ARR": "array", "OBJ": "object"}
@@ -35,9 +36,22 @@ def get(v: Column, type: str, path: str = "$") -> Column:
     return F.try_variant_get(v, path, type)
 
 
+def parts(v: Column, names: list[str]) -> Column:
+    """A struct with these members of an object, as VARIANT, found in one pass over it."""
+    if len({n.lower() for n in names}) < len(names):  # a struct cannot tell such fields apart
+        return F.struct(*[get(v, "variant", f"$['{n}']").alias(n) for n in names])
+    return get(v, f"struct<{','.join(f'`{n}`:variant' for n in names)}>")
+
+
 def scanned(v: Column, use) -> Column:
-    """use(s) with s = (kind, text, number) of a value, looked up once."""
-    return let(F.struct(type_of(v).alias("kind"), get(v, "string").alias("text"), get(v, "double").alias("number")), use)
+    """use(s) with s = (kind, text, number) of a value, looked up once: text of texts and booleans, number of numbers.
+    Nothing is cast in vain: a text that is no number would cost an exception in every row."""
+
+    def of(kind):
+        text, number = F.when(kind.isin("string", "boolean"), get(v, "string")), F.when(kind == "number", get(v, "double"))
+        return F.struct(kind.alias("kind"), text.alias("text"), number.alias("number"))
+
+    return let(let(type_of(v), of), use)
 
 
 def result(value: Column, code: Column, at: Column | None = None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import casting
 from ..functions.keys import origin_of, semver
 from ..schemas import KINDS, Field, column_of
+from ..storage import written
 
 MAX_ISSUES, MAX_VALUE = 20, 256
 #: Fixed values of the version gate.
@@ -23,14 +24,18 @@ ISSUE = "struct<path:string,code:string,expected_type:string,received_type:strin
 def parse_reports(df: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
     """(reports with the object as VARIANT v, rejected with a message). data is a JSON object, or a JSON text of
     one. Of repeated keys the last counts if spark.sql.variant.allowDuplicateKeys is true; else they reject."""
-    def judged(v):
-        message = F.when(v.isNull(), "data must be valid JSON").when(casting.type_of(v) != "object", "data must be a JSON object")
-        return F.struct(v.alias("v"), message.alias("message"))
+    def opening(text):  # tells what a JSON text holds, without a look at all of it
+        return F.substring(F.ltrim(text, F.lit(" \t\r\n")), 1, 1)
 
-    def unpacked(p):
-        return F.when(casting.type_of(p) == "string", F.try_parse_json(casting.get(p, "string"))).otherwise(p)
+    def judged(text):
+        def of(v):
+            message = F.when(v.isNull(), "data must be valid JSON").when(opening(text) != "{", "data must be a JSON object")
+            return F.struct(v.alias("v"), message.alias("message"))
 
-    once = casting.let(F.try_parse_json(data), lambda p: casting.let(unpacked(p), judged))
+        return casting.let(F.try_parse_json(text), of)
+
+    unpacked = F.when(opening(F.col(data)) == '"', casting.get(F.try_parse_json(data), "string")).otherwise(F.col(data))
+    once = casting.let(unpacked, judged)
     out = computed(df, once, "v", "message")
     return out.where("message IS NULL").drop("message"), out.where("message IS NOT NULL").drop("v")
 
@@ -42,6 +47,12 @@ def computed(df: DataFrame, struct: Column, *names: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(struct)))
 
 
+def stored(judged: DataFrame) -> DataFrame:
+    """Judged rows for results that are read more than once: validation is the dearest step, so they are written, and
+    all that follows reads them. A stream, which is read once, stays as it is."""
+    return judged if judged.isStreaming else written(judged, "judged")
+
+
 def has_infinite(text: Column) -> Column:
     """Whether a JSON text has a number that no double holds; texts inside are not looked at."""
     bare = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', '""')
@@ -71,7 +82,7 @@ def issue_of(path: Column, code: Column, expected: Column, v: Column) -> Column:
     return casting.scanned(v, entry)
 
 
-def kind_results(v: Column, names: list[str], kind: str, infinite: Column) -> Column:
+def kind_results(members: Column, names: list[str], kind: str, infinite: Column) -> Column:
     """For the fields of one kind, an array of (v, value, present, code, at): one cast expression for all of them."""
     type = KINDS[kind]
     default = F.array() if type.startswith("array") else F.lit("[]") if kind == "jsonArray" else F.lit(None)
@@ -86,7 +97,7 @@ def kind_results(v: Column, names: list[str], kind: str, infinite: Column) -> Co
         gone = F.struct(x["v"].alias("v"), default.cast(type).alias("value"), F.lit(False).alias("present"), F.lit(None).cast("string").alias("code"), F.lit("").alias("at"))
         return F.when(x["v"].isNull(), gone).otherwise(casting.let(casting.cast_field(x["v"], kind), of))
 
-    fields = F.array(*[F.struct(casting.get(v, "variant", f"$['{n}']").alias("v")) for n in names])
+    fields = F.array(*[F.struct(members[n].alias("v")) for n in names])
     return F.transform(fields, judged)
 
 
@@ -117,7 +128,10 @@ def judged_object(v: Column, schema: dict[str, Field], infinite: Column, prefix:
         has = [of[f]["present"].alias(f"has_{k}") for k, f in enumerate(schema)]
         return F.struct(F.transform(bad, issue).alias("issues"), F.struct(*values).alias("_values"), F.struct(*has).alias("_has"))
 
-    return casting.let(F.struct(*[kind_results(v, names, k, infinite).alias(k) for k, names in by_kind.items()]), judged)
+    def by_kinds(members):
+        return casting.let(F.struct(*[kind_results(members, names, k, infinite).alias(k) for k, names in by_kind.items()]), judged)
+
+    return casting.let(casting.parts(v, list(schema)), by_kinds)
 
 
 def message_of(issues: Column) -> Column:
@@ -127,14 +141,17 @@ def message_of(issues: Column) -> Column:
 
 
 def normalize(
-    df: DataFrame, schema: dict[str, Field], v: str = "v", data: str = "data", prefix: str = "", report: str = "", presence: tuple[str, ...] = ()
+    df: DataFrame, schema: dict[str, Field], v: str = "v", data: str = "data", prefix: str = "", report: str = "", presence: tuple[str, ...] = (),
+    once: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted with a column per declared field, rejected with issues and message).
 
     presence: fields that get a companion has_<column>, true if the report had them. data: the raw text, looked at
-    for numbers that are not finite."""
+    for numbers that are not finite. once: see stored()."""
     infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False))
     out = computed(df, casting.let(infinite, lambda i: judged_object(F.col(v), schema, i, F.lit(prefix) if prefix else None)), "issues", "_values", "_has")
+    if once:
+        out = stored(out.drop(v))
     taken = [column_of(f, report) for f in schema]
     keep = [c for c in df.columns if c not in (v, "issues", *taken)]
     values = [F.col(f"_values.value_{k}").alias(c) for k, c in enumerate(taken)]
