@@ -4,7 +4,7 @@ An envelope is (id, ingested_at, kind, data, x_reporter, user_agent); kind names
 ``quest`` (a list) or ``item_improvement`` (a batch of records). Every job reads only its own kind, so envelopes that
 are stored by kind are read once for each dataset that the kind fills. Envelopes of other kinds are nobody's.
 
-Validation has no shuffle. A state costs the shuffles of its fold, whose aggregates combine first, and one join with
+Validation has no shuffle. Reports of states whose fold reads them several times are validated once and written. A state costs the shuffles of its fold, whose aggregates combine first, and one join with
 the stored rows. A null kind, empty envelopes and batches without a kind leave the tables as they are."""
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ def _rejections(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(*KEEP, "message") for p in parts])
 
 
-def valid_reports(df: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+def valid_reports(df: DataFrame, kind: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Reports of a kind with their columns, and the rejected with id, ingested_at and message. Origins are filled in,
-    early snapshots emptied; reports that are accepted but not stored are in neither."""
+    early snapshots emptied; reports that are accepted but not stored are in neither. once: see normalize.stored()."""
     parsed, broken = normalize.parse_reports(df.where(F.col("kind") == kind))
-    taken, bad = normalize.normalize(parsed, REPORTS[kind], report=kind, presence=PRESENCE.get(kind, ()))
+    taken, bad = normalize.normalize(parsed, REPORTS[kind], report=kind, presence=PRESENCE.get(kind, ()), once=once)
     # an absent origin is filled in before validation, so it is always present
     if "origin" in REPORTS[kind]:
         taken = normalize.with_origin(taken)
@@ -65,25 +65,25 @@ def quest_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed, broken = normalize.parse_reports(df.where(F.col("kind") == "quest"))
     said = F.when(casting.type_of(casting.get(F.col("v"), "variant", "$.origin")) == "string", casting.get(F.col("v"), "string", "$.origin"))
     parsed = normalize.with_origin(parsed.withColumn("origin", said))
-    taken, bad = improvement.record_list(parsed, REPORTS["quest"], keep=(*KEEP, "origin"), report="quest")
+    taken, bad = improvement.record_list(parsed, REPORTS["quest"], keep=(*KEEP, "origin"), report="quest", once=True)
     return taken.withColumn("key", keys.definition_key(F.col("title"), F.col("detail"))), _rejections(broken, bad)
 
 
 def reward_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    taken, rejected = valid_reports(df, "quest_reward")
+    taken, rejected = valid_reports(df, "quest_reward", once=True)
     return taken.withColumn("key", keys.definition_key(F.col("title"), F.col("detail"))), rejected
 
 
 def enemy_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    taken, rejected = valid_reports(df, "enemy_info")
+    taken, rejected = valid_reports(df, "enemy_info", once=True)
     hashed = keys.identity_hash(*[F.col(column_of(f)) for f in ENEMY if f != "planes"], scalars=(F.col("planes"),))
     return taken.withColumn("identity_hash", hashed), rejected
 
 
-def fact_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of item improvement of all routes."""
+def fact_records(df: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Records of item improvement of all routes. once: see normalize.stored()."""
     parsed, broken = normalize.parse_reports(df.where(F.col("kind") == "item_improvement"))
-    records, rejected = improvement.valid_records(parsed.withColumn("received_ms", F.unix_millis("ingested_at")), keep=KEEP)
+    records, rejected = improvement.valid_records(parsed.withColumn("received_ms", F.unix_millis("ingested_at")), keep=KEEP, once=once)
     return records, _rejections(broken, rejected)
 
 
@@ -94,7 +94,7 @@ def routed_rows(records: DataFrame, route: int) -> DataFrame:
 
 
 def fact_rows(df: DataFrame, route: int) -> tuple[DataFrame, DataFrame]:
-    records, rejected = fact_records(df)
+    records, rejected = fact_records(df, once=True)
     return routed_rows(records, route), rejected
 
 
