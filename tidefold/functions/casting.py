@@ -43,6 +43,23 @@ def parts(v: Column, names: list[str]) -> Column:
     return get(v, f"struct<{','.join(f'`{n}`:variant' for n in names)}>")
 
 
+def as_printed(members: Column, types: dict[str, str]) -> Column:
+    """A struct of these members of an object, read with these types from what they print as; null if one of them does
+    not print the same again. A member that does has the type already, and needs no lenient cast, which costs far more.
+    JSON null is null. (A VARIANT prints an object's keys in order, so types must name them in order.)"""
+    schema = f"struct<{','.join(f'`{n}`:{t}' for n, t in types.items())}>"
+
+    def checked(x):
+        bare = F.struct(*[F.when(~F.is_variant_null(members[n]), members[n]).alias(n) for n in types])
+        same = (x["printed"] == x["given"]) | (x["given"].contains(":null") & (x["printed"] == F.to_json(bare)))
+        return F.when(same, x["read"])
+
+    def read(given):
+        return let(F.from_json(given, schema), lambda c: let(F.struct(c.alias("read"), F.to_json(c).alias("printed"), given.alias("given")), checked))
+
+    return let(F.to_json(F.struct(*[members[n].alias(n) for n in types])), read)
+
+
 def scanned(v: Column, use) -> Column:
     """use(s) with s = (kind, text, number) of a value, looked up once: text of texts and booleans, number of numbers.
     Nothing is cast in vain: a text that is no number would cost an exception in every row."""

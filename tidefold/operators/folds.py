@@ -69,8 +69,9 @@ def range_state(
             F.min(F.when(F.col(has_high) & after, F.col(high))).alias(high),
             F.coalesce(F.max(null), F.lit(False)).alias("has_null"),
             F.count("*").alias("count"),
-            *[F.min_by(c, ord_).alias(c) for c in carry],
+            *([F.min_by(F.struct(*carry), ord_).alias("_first")] if carry else []),
         )
+        .select(*keys, low, high, "has_null", "count", *[F.col(f"_first.{c}").alias(c) for c in carry])
     )
 
 
@@ -101,6 +102,25 @@ def ordered_set_union(df: DataFrame, keys: list[str], array: str, order: list[st
     return gathered.select(*keys, F.transform("_all", lambda x: x["_e"]).alias(array))
 
 
+def ordered_set_unions(df: DataFrame, keys: list[str], arrays: list[str], order: list[str]) -> DataFrame:
+    """U9 for several array columns, in one pass over the rows; empty where a key has no element of a column."""
+    types = [df.schema[a].dataType.elementType for a in arrays]
+
+    def numbered(k, a):
+        def element(x, p):
+            return F.struct(F.lit(k).alias("s"), p.alias("p"), *[(x if i == k else F.lit(None)).cast(t).alias(f"e{i}") for i, t in enumerate(types)])
+
+        return F.coalesce(F.transform(a, element), F.array())
+
+    there = [numbered(k, a) for k, a in enumerate(arrays)]
+    each = df.select(*keys, _order(order).alias("_o"), F.explode(F.concat(*there)).alias("_x")).select(*keys, "_o", "_x.*")
+    elements = [f"e{i}" for i in range(len(arrays))]
+    each = each.where(reduce(Column.__or__, [F.col(e).isNotNull() for e in elements]))
+    first = each.groupBy(*keys, "s", *elements).agg(F.min(F.struct("_o", "p")).alias("_at"))
+    gathered = first.groupBy(*keys).agg(*[F.collect_list(F.when(F.col("s") == i, F.struct("_at", e))).alias(e) for i, e in enumerate(elements)])
+    return gathered.select(*keys, *[F.sort_array(e)[e].alias(a) for e, a in zip(elements, arrays)])
+
+
 def accumulate_facts(
     df: DataFrame, keys: list[str], stable: list[str], observed_at: str, reported_at: str, sets: list[str], order: list[str],
     born: str | None = None,
@@ -108,22 +128,25 @@ def accumulate_facts(
     """U8: per key the first report's stable fields, bounds of the observation time, first and last report, count, and
     the ordered unions of the array columns in sets. born: name of a column for the first report's place, if wanted."""
     ord_ = _order(order)
+    first = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate([*stable, reported_at])])
     facts = df.groupBy(*keys).agg(
-        *[F.min_by(c, ord_).alias(c) for c in stable],
+        F.min_by(first, ord_).alias("_first"),
         F.min(observed_at).alias("first_client_observed_at"),
         F.max(observed_at).alias("last_client_observed_at"),
-        F.min_by(reported_at, ord_).alias("first_reported"),
         F.max(reported_at).alias("last_reported"),
         F.count("*").alias("count"),
         *([F.min(ord_).alias(born)] if born else []),
     )
-    for name in sets:
-        union = ordered_set_union(df, keys, name, order)
-        union = union.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], name)
-        on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
-        empty = F.array().cast(df.schema[name].dataType)
-        facts = facts.join(union, on, "left").withColumn(name, F.coalesce(name, empty)).drop(*[f"_{i}" for i in range(len(keys))])
-    return facts
+    facts = facts.select(
+        *keys, *[F.col(f"_first._{k}").alias(c) for k, c in enumerate(stable)], "first_client_observed_at", "last_client_observed_at",
+        F.col(f"_first._{len(stable)}").alias("first_reported"), "last_reported", "count", *([born] if born else []),
+    )
+    if not sets:
+        return facts
+    unions = ordered_set_unions(df, keys, sets, order).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], *sets)
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+    empty = {name: F.array().cast(df.schema[name].dataType) for name in sets}
+    return facts.join(unions, on, "left").withColumns({name: F.coalesce(name, empty[name]) for name in sets}).drop(*[f"_{i}" for i in range(len(keys))])
 
 
 #: What merge_state can do with a column of the old state and of the batch's fold.

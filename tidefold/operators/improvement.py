@@ -22,6 +22,9 @@ LEVELS = {
 }
 ITEMS = "array<struct<id:bigint,count:bigint>>"
 NUMBERS = COMMON | LEVELS["detail"] | LEVELS["execution"]
+#: Members of a record with the types that they have if they are sent as what they are.
+TYPES = {"source": "string", **dict.fromkeys(NUMBERS, "bigint"), **dict.fromkeys("day clientObservedAt observedFlagshipId changeFlag".split(), "bigint")}
+TYPES |= {"observedFlagshipIds": "array<bigint>", "upgradeObserved": "boolean"} | dict.fromkeys(("reqSlotItems", "reqUseItems"), "array<struct<count:bigint,id:bigint>>")
 MEMBERS = ["source", *NUMBERS, *"day clientObservedAt observedFlagshipId observedFlagshipIds reqSlotItems reqUseItems changeFlag upgradeObserved".split()]
 
 
@@ -52,7 +55,12 @@ def summed_items(items: Column) -> Column:
     return casting.let(F.filter(items, lambda x: ~((x["id"] == 0) & (x["count"] == 0))), of)
 
 
-def required_items(v: Column) -> Column:
+def pairs_of(v: Column) -> Column:
+    """The pairs (id, count) of a list as whole numbers; null if it is no list."""
+    return F.transform(casting.get(v, "array<struct<id:variant,count:variant>>"), lambda e: F.struct(int32(e["id"]).alias("id"), int32(e["count"]).alias("count")))
+
+
+def required_items(pairs: Column) -> Column:
     """Struct (items, at, bad): at is the place of the first bad pair, null if there is none."""
 
     def judged(raw):
@@ -65,14 +73,13 @@ def required_items(v: Column) -> Column:
             lambda b: F.struct(F.when(b.isNull(), summed_items(raw)).alias("items"), b["k"].alias("at"), (b.isNotNull() & b["type"]).alias("wrong_type")),
         )
 
-    pairs = F.transform(casting.get(v, "array<struct<id:variant,count:variant>>"), lambda e: F.struct(int32(e["id"]).alias("id"), int32(e["count"]).alias("count")))
     none = F.struct(F.lit(None).cast(ITEMS).alias("items"), F.lit(-1).alias("at"), F.lit(True).alias("wrong_type"))
-    return casting.let(pairs, lambda raw: F.when(raw.isNotNull(), judged(raw)).otherwise(none))  # null: no list
+    return F.when(pairs.isNotNull(), judged(pairs)).otherwise(none)  # null: no list
 
 
 def flagship_ids(one: Column, many: Column) -> Column:
     """P25: the union of an id and a list, distinct and ascending."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(one), F.coalesce(many, F.array().cast("array<bigint>"))))))
+    return F.sort_array(F.array_distinct(F.array_compact(F.concat(F.array(one), F.coalesce(many, F.array().cast("array<bigint>"))))))
 
 
 def plausible_time(ms: Column, received: Column) -> Column:
@@ -88,62 +95,93 @@ def day_problem(day: Column, observed: Column, received: Column) -> Column:
 
 def record_of(r: Column, received: Column) -> Column:
     """A record's fields with problem, the first thing that is wrong with it."""
-    return casting.let(casting.parts(r, MEMBERS), lambda members: _record_of(members, received))
+
+    def of(members):
+        plain = casting.let(casting.as_printed(members, TYPES), lambda cast: F.when(cast.isNotNull(), _plain_fields(members, cast)))
+        return _record_of(F.coalesce(plain, _fields(members)), received)
+
+    return casting.let(casting.parts(r, MEMBERS), of)
+
+
+def _plain_fields(members: Column, cast: Column) -> Column:
+    """What _fields makes of a record whose members have the types of TYPES already."""
+    whole = lambda n, least=-2147483648, most=2147483647: F.when(n.between(least, most), n)
+    pairs = lambda items: F.transform(items, lambda e: F.struct(whole(e["id"]).alias("id"), whole(e["count"]).alias("count")))
+    return F.struct(
+        cast["source"].alias("source"),
+        *[whole(cast[n], least).alias(n) for n, least in NUMBERS.items()],
+        whole(cast["day"], 0).alias("day"),
+        whole(cast["clientObservedAt"], -casting.SAFE, casting.SAFE).alias("clientObservedAt"),
+        whole(cast["observedFlagshipId"], 1).alias("one"),
+        F.transform(cast["observedFlagshipIds"], lambda e: whole(e, 1)).alias("many"),
+        members["observedFlagshipId"].isNotNull().alias("has_one"),
+        members["observedFlagshipIds"].isNotNull().alias("has_many"),
+        pairs(cast["reqSlotItems"]).alias("slots"),
+        pairs(cast["reqUseItems"]).alias("uses"),
+        members["reqSlotItems"].isNotNull().alias("has_slots"),
+        members["reqUseItems"].isNotNull().alias("has_uses"),
+        F.when(members["changeFlag"].isNull(), F.lit(0).cast("long")).otherwise(whole(cast["changeFlag"])).alias("changeFlag"),
+        F.coalesce(cast["upgradeObserved"], F.lit(False)).alias("upgradeObserved"),
+    )
 
 
-def _record_of(members: Column, received: Column) -> Column:
+def _fields(members: Column) -> Column:
     part = lambda name: members[name]
     source = casting.get(part("source"), "string")
-    numbers = NUMBERS
     ids = F.transform(casting.get(part("observedFlagshipIds"), "array<variant>"), lambda e: int32(e, 1))
-    fields = F.struct(
+    return F.struct(
         F.when(casting.type_of(part("source")) == "string", source).alias("source"),
-        *[int32(part(n), least).alias(n) for n, least in numbers.items()],
+        *[int32(part(n), least).alias(n) for n, least in NUMBERS.items()],
         int32(part("day"), 0).alias("day"),
         strict_whole(part("clientObservedAt")).alias("clientObservedAt"),
         int32(part("observedFlagshipId"), 1).alias("one"),
         ids.alias("many"),
         part("observedFlagshipId").isNotNull().alias("has_one"),
         part("observedFlagshipIds").isNotNull().alias("has_many"),
-        required_items(part("reqSlotItems")).alias("slots"),
-        required_items(part("reqUseItems")).alias("uses"),
+        pairs_of(part("reqSlotItems")).alias("slots"),
+        pairs_of(part("reqUseItems")).alias("uses"),
         part("reqSlotItems").isNotNull().alias("has_slots"),
         part("reqUseItems").isNotNull().alias("has_uses"),
         F.when(part("changeFlag").isNull(), F.lit(0).cast("long")).otherwise(int32(part("changeFlag"))).alias("changeFlag"),
         F.coalesce((casting.type_of(part("upgradeObserved")) == "boolean") & casting.get(part("upgradeObserved"), "boolean"), F.lit(False)).alias("upgradeObserved"),
     )
 
-    def judged(x):
+
+def _record_of(fields: Column, received: Column) -> Column:
+    def judged(x, slots, uses):
         detail, execution = x["source"] == "detail", x["source"] == "execution"
-        wrong = F.when(~F.coalesce(x["source"].isin("list", "detail", "execution"), F.lit(False)), "source: must be list, detail or execution")
-        for n, least in COMMON.items():
-            wrong = wrong.when(x[n].isNull(), f"{n}: must be a {'positive' if least else 'non-negative'} integer")
-        wrong = wrong.when(x["day"].isNull() | (x["day"] > 6), "day: must be between 0 and 6")
-        wrong = wrong.when(x["clientObservedAt"].isNull() | ~plausible_time(x["clientObservedAt"], received), "clientObservedAt: is not a plausible timestamp")
-        wrong = wrong.when(x["has_one"] & x["one"].isNull(), "observedFlagshipId: must be a positive integer")
-        wrong = wrong.when(x["has_many"] & (x["many"].isNull() | F.exists(x["many"], lambda i: i.isNull())), "observedFlagshipIds: must be positive integers")
-        for side, here in (("detail", detail), ("execution", execution)):
-            for n, least in LEVELS[side].items():
-                wrong = wrong.when(here & x[n].isNull(), f"{n}: must be a {'positive' if least else 'non-negative'} integer")
-        wrong = wrong.when(execution & ~x["upgradeObserved"], "upgradeObserved: must be true")
-        for name, side, has in (("reqSlotItems", "slots", "has_slots"), ("reqUseItems", "uses", "has_uses")):
+        number = lambda n, least: F.when(x[n].isNull(), f"{n}: must be a {'positive' if least else 'non-negative'} integer")
+        levels = lambda side: F.coalesce(*[number(n, least) for n, least in LEVELS[side].items()])
+        wrong = [F.when(~F.coalesce(x["source"].isin("list", "detail", "execution"), F.lit(False)), "source: must be list, detail or execution")]
+        wrong += [number(n, least) for n, least in COMMON.items()]
+        wrong.append(F.when(x["day"].isNull() | (x["day"] > 6), "day: must be between 0 and 6"))
+        wrong.append(F.when(x["clientObservedAt"].isNull() | ~plausible_time(x["clientObservedAt"], received), "clientObservedAt: is not a plausible timestamp"))
+        wrong.append(F.when(x["has_one"] & x["one"].isNull(), "observedFlagshipId: must be a positive integer"))
+        wrong.append(F.when(x["has_many"] & (x["many"].isNull() | F.exists(x["many"], lambda i: i.isNull())), "observedFlagshipIds: must be positive integers"))
+        wrong += [F.when(detail, levels("detail")), F.when(execution, levels("execution"))]
+        wrong.append(F.when(execution & ~x["upgradeObserved"], "upgradeObserved: must be true"))
+        for name, items, has in (("reqSlotItems", slots, "has_slots"), ("reqUseItems", uses, "has_uses")):
             used = detail | ((x["source"] == "list") & x[has])
-            problem = F.when(x[side]["at"] < 0, f"{name}: must be a list").otherwise(
-                F.concat(F.lit(f"{name}."), x[side]["at"].cast("string"), F.when(x[side]["wrong_type"], ": must have whole id and count").otherwise(": must contain positive id and count"))
+            problem = F.when(items["at"] < 0, f"{name}: must be a list").otherwise(
+                F.concat(F.lit(f"{name}."), items["at"].cast("string"), F.when(items["wrong_type"], ": must have whole id and count").otherwise(": must contain positive id and count"))
             )
-            wrong = wrong.when(used & x[side]["at"].isNotNull(), problem)
-        wrong = wrong.when(detail & x["changeFlag"].isNull(), "changeFlag: must be an integer")
-        wrong = F.coalesce(wrong, day_problem(x["day"], x["clientObservedAt"], received))
+            wrong.append(F.when(used & items["at"].isNotNull(), problem))
+        wrong.append(F.when(detail & x["changeFlag"].isNull(), "changeFlag: must be an integer"))
+        wrong = F.coalesce(*wrong, day_problem(x["day"], x["clientObservedAt"], received))
         return F.struct(
             wrong.alias("problem"), x["source"].alias("source"), x["schemaVersion"].alias("schema_version"), x["clientObservedAt"].alias("client_observed_at"),
             x["recipeId"].alias("recipe_id"), x["itemId"].alias("item_id"), x["day"].alias("day"), x["observedSecondShipId"].alias("observed_second_ship_id"),
             flagship_ids(x["one"], x["many"]).alias("observed_flagship_ids"),
             *[x[n].alias("".join(f"_{c.lower()}" if c.isupper() else c for c in n)) for n in (LEVELS["detail"] | LEVELS["execution"])],
-            x["slots"]["items"].alias("req_slot_items"), x["uses"]["items"].alias("req_use_items"), x["changeFlag"].alias("change_flag"),
+            slots["items"].alias("req_slot_items"), uses["items"].alias("req_use_items"), x["changeFlag"].alias("change_flag"),
             x["upgradeObserved"].alias("upgrade_observed"),
         )
 
-    return casting.let(fields, judged)
+    def with_items(x):
+        items = F.struct(required_items(x["slots"]).alias("slots"), required_items(x["uses"]).alias("uses"))
+        return casting.let(items, lambda y: judged(x, y["slots"], y["uses"]))
+
+    return casting.let(fields, with_items)
 
 
 SHARED = ["key", "source", "schema_version", "client_observed_at", "recipe_id", "item_id", "day", "observed_second_ship_id", "observed_flagship_ids"]
@@ -230,7 +268,7 @@ def record_list(
 
     listed = F.transform(casting.get(F.col(v), "array<variant>", f"$.{name}"), casting.json_null)
     infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False))
-    out = computed(df, casting.let(casting.let(infinite, lambda i: F.transform(listed, lambda e, k: judged(e, k, i))), whole), "_message", "_list")
+    out = computed(df, casting.let(F.transform(listed, lambda e, k: judged(e, k, infinite)), whole), "_message", "_list")
     if once:
         out = stored(out.select(*keep, "_message", "_list"))
     rejected = out.where("_message IS NOT NULL").select(*keep, F.col("_message").alias("message"))

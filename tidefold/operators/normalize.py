@@ -17,6 +17,10 @@ AFTER_VERSION, FROM_REPORTER, REPORTER = "7.9.1", "3.6.0", "Reporter "
 #: A number in JSON that may not fit a double: three digits of exponent, or very many digits.
 HUGE = r"-?[0-9]+(?:\.[0-9]+)?[eE]\+?[0-9]{3,}|-?[0-9]{309,}(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
+#: Kinds whose values are mostly sent as what they are, with the type of the plain cast.
+PLAIN = {
+    "integer": "int", "safeInteger": "bigint", "boolean": "boolean", "string": "string", "integerArray": "array<int>", "nestedIntegerArray": "array<array<int>>",
+}
 ARRAYS = ("integerArray", "numberArray", "nestedIntegerArray")
 ISSUE = "struct<path:string,code:string,expected_type:string,received_type:string,invalid_value:string,received_size:int>"
 
@@ -82,19 +86,23 @@ def issue_of(path: Column, code: Column, expected: Column, v: Column) -> Column:
     return casting.scanned(v, entry)
 
 
+def default_of(kind: str) -> Column:
+    """The value of a field that is absent."""
+    return (F.array() if KINDS[kind].startswith("array") else F.lit("[]") if kind == "jsonArray" else F.lit(None)).cast(KINDS[kind])
+
+
 def kind_results(members: Column, names: list[str], kind: str, infinite: Column) -> Column:
     """For the fields of one kind, an array of (v, value, present, code, at): one cast expression for all of them."""
-    type = KINDS[kind]
-    default = F.array() if type.startswith("array") else F.lit("[]") if kind == "jsonArray" else F.lit(None)
+    type, default = KINDS[kind], default_of(kind)
 
     def judged(x):
         def of(c):
             code = c["code"]
             if kind in ("json", "jsonArray"):
-                code = F.when(infinite & F.coalesce(c["value"].rlike(r'"-?Infinity"'), F.lit(False)), "invalid_type")
+                code = F.when(F.coalesce(c["value"].rlike(r'"-?Infinity"'), F.lit(False)) & infinite, "invalid_type")
             return F.struct(x["v"].alias("v"), c["value"].cast(type).alias("value"), F.lit(True).alias("present"), code.alias("code"), c["at"].alias("at"))
 
-        gone = F.struct(x["v"].alias("v"), default.cast(type).alias("value"), F.lit(False).alias("present"), F.lit(None).cast("string").alias("code"), F.lit("").alias("at"))
+        gone = F.struct(x["v"].alias("v"), default.alias("value"), F.lit(False).alias("present"), F.lit(None).cast("string").alias("code"), F.lit("").alias("at"))
         return F.when(x["v"].isNull(), gone).otherwise(casting.let(casting.cast_field(x["v"], kind), of))
 
     fields = F.array(*[F.struct(members[n].alias("v")) for n in names])
@@ -102,10 +110,13 @@ def kind_results(members: Column, names: list[str], kind: str, infinite: Column)
 
 
 def judged_object(v: Column, schema: dict[str, Field], infinite: Column, prefix: Column | None = None) -> Column:
-    """P3-P12 for one object: struct (issues, _values, _has), a value and a presence for each field of the schema."""
+    """P3-P12 for one object: struct (issues, _values, _has), a value and a presence for each field of the schema.
+
+    An object whose fields are what they are declared to be is taken as it stands; only others need every cast."""
     by_kind: dict[str, list[str]] = {}
     for f, field in schema.items():
         by_kind.setdefault(field.kind, []).append(f)
+    plain = {f: PLAIN[field.kind] for f, field in schema.items() if field.kind in PLAIN}
 
     def issue(m):
         seen = F.when(m["array"] & (m["at"] != ""), part_of(m["v"], m["at"])).otherwise(m["v"])
@@ -128,8 +139,28 @@ def judged_object(v: Column, schema: dict[str, Field], infinite: Column, prefix:
         has = [of[f]["present"].alias(f"has_{k}") for k, f in enumerate(schema)]
         return F.struct(F.transform(bad, issue).alias("issues"), F.struct(*values).alias("_values"), F.struct(*has).alias("_has"))
 
+    def as_it_stands(members, x):
+        cast, rest = x["cast"], {f: F.get(x[k], F.lit(i)) for k, names in by_kind.items() if k not in PLAIN for i, f in enumerate(names)}
+        ok, values = cast.isNotNull(), []
+        for f, field in schema.items():
+            value = rest[f]["value"] if f in rest else cast[f]
+            if f in rest:
+                ok = ok & rest[f]["code"].isNull()
+            elif field.kind in ARRAYS:
+                value = F.when(members[f].isNull(), default_of(field.kind)).otherwise(value)
+            if field.kind == "safeInteger":
+                ok = ok & F.coalesce(value.between(0, casting.SAFE), F.lit(True))
+            if field.required:
+                ok = ok & value.isNotNull()
+            values.append(value.alias(f"value_{len(values)}"))
+        has = [members[f].isNotNull().alias(f"has_{k}") for k, f in enumerate(schema)]
+        return F.when(ok, F.struct(F.array().cast(f"array<{ISSUE}>").alias("issues"), F.struct(*values).alias("_values"), F.struct(*has).alias("_has")))
+
     def by_kinds(members):
-        return casting.let(F.struct(*[kind_results(members, names, k, infinite).alias(k) for k, names in by_kind.items()]), judged)
+        results = {k: kind_results(members, names, k, infinite).alias(k) for k, names in by_kind.items()}
+        full = casting.let(F.struct(*results.values()), judged)
+        quick = F.struct(casting.as_printed(members, plain).alias("cast"), *[r for k, r in results.items() if k not in PLAIN])
+        return F.coalesce(casting.let(quick, lambda x: as_it_stands(members, x)), full) if plain and len({f.lower() for f in plain}) == len(plain) else full
 
     return casting.let(casting.parts(v, list(schema)), by_kinds)
 
@@ -148,8 +179,8 @@ def normalize(
 
     presence: fields that get a companion has_<column>, true if the report had them. data: the raw text, looked at
     for numbers that are not finite. once: see stored()."""
-    infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False))
-    out = computed(df, casting.let(infinite, lambda i: judged_object(F.col(v), schema, i, F.lit(prefix) if prefix else None)), "issues", "_values", "_has")
+    infinite = F.coalesce(has_infinite(F.col(data)), F.lit(False))  # looked at only where a value prints as infinite
+    out = computed(df, judged_object(F.col(v), schema, infinite, F.lit(prefix) if prefix else None), "issues", "_values", "_has")
     if once:
         out = stored(out.drop(v))
     taken = [column_of(f, report) for f in schema]
