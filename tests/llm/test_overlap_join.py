@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.llm.overlap_join import met, needed, overlap_components, probed, short_lists, smallest
+from tidefold.llm.overlap_join import met, needed, overlap_components, probed, short_lists, similar_sets, smallest
 from tidefold.llm.simhash import shingle_codes
 
 
@@ -98,3 +99,10 @@ def test_groups_chains_and_edge_cases(spark):
 def test_few_rows(spark, texts):
     rows = list(enumerate(texts))
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_pairs_are_decided_by_their_sorted_shingles():
+    sets = [(range(10), range(10)), (range(10), range(1, 11)), (range(10), range(2, 12)), (range(4), range(5)), (range(3), range(50))]
+    x, y = (pa.array([np.array(p[k], np.uint64).tobytes() for p in sets], pa.binary()) for k in (0, 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), x, y], names=["a", "b", "x", "y"])
+    assert [b.column("a").to_pylist() for b in similar_sets(iter([batch]), 80)] == [[0, 1, 3]]

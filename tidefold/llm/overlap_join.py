@@ -11,9 +11,11 @@ Which lists are long is an estimate from a bounded sample; it only decides an or
 Documents with one set are one class. Linear rounds come first: within each short list, rows sorted by size are met
 with their neighbour of another component only, each row keeps its most frequent partner, and links are decided at once,
 so large groups of near copies grow together. The last round is whole: it meets all rows of each list that are still in
-different components and whose sizes allow a link. So no link between components is lost, and none within one is needed.
+different components and whose sizes allow a link. Of these pairs one for each component is decided first, then one
+for each two components, again while that joins some, BRIDGES times at most; then all that are left. So no link between components is lost, none within one is needed, and
+two large components cost one link, not as many as their sizes' product.
 
-Shuffles: short lists (a fifth of the shingles), pairs, and the texts of pairs. A list is one key; it is sorted and
+Shuffles: short lists (a fifth of the shingles), pairs, and the shingles of pairs, hashed. A list is one key; it is sorted and
 streamed in the linear rounds, and held by one task, as numbers, in the last.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing, not with
@@ -38,6 +40,8 @@ from .simhash import common_shingles, shingle_codes
 MEET = 2
 #: Linear rounds before the whole one.
 LINEAR_ROUNDS = 3
+#: Rounds at most of either kind in which components are joined by single pairs, before all that are left are decided.
+BRIDGES = 8
 
 
 def needed(n: int, percent: int) -> int:
@@ -167,12 +171,13 @@ def whole(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield from gathered(of([np.concatenate(x) for x in zip(*held)]))
 
 
-def similar_texts(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+def similar_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Those pairs (a, b) whose sorted shingles x and y, as bytes, are similar."""
     for batch in batches:
         ok = []
-        for x, y in zip(batch.column("x").cast(pa.binary()), batch.column("y").cast(pa.binary())):
-            p, q = (shingle_codes(t.as_py(), shingle)[:, 0] for t in (x, y))
-            both = probed(p, np.sort(q))
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            p, q = sorted((np.frombuffer(codes.as_buffer(), np.uint64) for codes in (x, y)), key=len)
+            both = probed(p, q) if 100 * len(p) >= percent * len(q) else 0
             ok.append(100 * both >= percent * (len(p) + len(q) - both))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -195,13 +200,16 @@ def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:  # of several texts under one id, those with this set
-                codes = [set_codes(shingle_codes(t.as_py(), shingle)) for t in batch.column("text").cast(pa.binary())]
-                ok = [c == want for c, want in zip(codes, zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist()))]
-                yield batch.select(["node", "text"]).filter(pa.array(ok, pa.bool_()))
+                for lo in range(0, batch.num_rows, 500):
+                    part = batch.slice(lo, 500)
+                    codes = [shingle_codes(t.as_py(), shingle) for t in part.column("text").cast(pa.binary())]
+                    ok = [set_codes(c) == want for c, want in zip(codes, zip(part.column("h1").to_pylist(), part.column("h2").to_pylist()))]
+                    own = pa.array([np.sort(c[:, 0]).tobytes() if k else None for c, k in zip(codes, ok)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("node"), own], names=["node", "x"]).filter(pa.array(ok, pa.bool_()))
 
-        texts = written(found.mapInArrow(own, "node long, text string").groupBy("node").agg(F.min("text").alias("x")), "pair-texts")
-        both = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(lambda b: similar_texts(b, shingle, percent), "a long, b long")
+        shingles = written(found.mapInArrow(own, "node long, x binary").groupBy("node").agg(F.first("x").alias("x")), "pair-shingles")
+        both = pairs.join(shingles.withColumnRenamed("node", "a"), "a").join(shingles.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(lambda b: similar_sets(b, percent), "a long, b long")
 
     def lists(roots: DataFrame | None) -> DataFrame:
         """Postings (token, size, node, root), each list whole and sorted."""
@@ -210,6 +218,18 @@ def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         postings = rooted.select(F.explode("short").alias("token"), "size", "node", "root")
         return postings.repartition("token").sortWithinPartitions("token", "size", "node")
 
+    def with_roots(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+        return links if roots is None else links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+
+    def separate(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Pairs (a, b, n) of different components, with these as (ra, rb) in order."""
+        if roots is None:
+            return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+        of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+        joined = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+        x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+        return joined.where(x != y).select("a", "b", "n", F.least(x, y).alias("ra"), F.greatest(x, y).alias("rb"))
+
     def counted(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MEET)
 
@@ -223,14 +243,24 @@ def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         links = written(decided(written(best[0].union(best[1]).distinct(), "adjacent-candidates")), "adjacent-links")
         if links.isEmpty():
             break
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        roots = written(components(links), "roots")
-    more = written(counted(lists(roots).mapInArrow(lambda b: whole(b, percent), "a long, b long")).select("a", "b"), "list-pairs")
-    links = decided(more)
-    if roots is not None:
-        links = links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    roots = components(links)
+        roots = written(components(with_roots(links, roots)), "roots")
+    more = written(counted(lists(roots).mapInArrow(lambda b: whole(b, percent), "a long, b long")), "list-pairs")
+    best = F.max(F.struct("n", "a", "b")).alias("m")
+    for of_each in (True, False):  # a pair for each component, then one for each two components
+        for _ in range(BRIDGES):
+            apart = separate(more, roots)
+            if of_each:
+                apart = apart.select(F.explode(F.array("ra", "rb")).alias("ra"), F.lit(0).alias("rb"), "n", "a", "b")
+            tried = written(apart.groupBy("ra", "rb").agg(best).select("m.a", "m.b").distinct(), "bridge-candidates")
+            if tried.isEmpty():
+                break
+            links = written(decided(tried), "bridges")
+            more = more.join(tried, ["a", "b"], "left_anti")
+            if links.isEmpty():
+                break
+            roots = written(components(with_roots(links, roots)), "roots")
+            more = written(separate(more, roots).select("a", "b", "n"), "list-pairs")
+    roots = components(with_roots(decided(separate(more, roots).select("a", "b")), roots))
     rooted = sets.select("h1", "h2", "node", F.col("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = written(rooted.join(least, "root").select("h1", "h2", "component_id"), "component-ids")
