@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.llm.overlap_join import met, needed, overlap_components, probed, short_lists, similar_sets, smallest
+from tidefold.llm.overlap_join import NEAR, SKETCH, adjacent, allowed, differing, met, needed, overlap_components, parities, probed, shared, short_lists, similar_sets, smallest, whole
 from tidefold.llm.simhash import shingle_codes
 
 
@@ -106,3 +106,56 @@ def test_pairs_are_decided_by_their_sorted_shingles():
     x, y = (pa.array([np.array(p[k], np.uint64).tobytes() for p in sets], pa.binary()) for k in (0, 1))
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), x, y], names=["a", "b", "x", "y"])
     assert [b.column("a").to_pylist() for b in similar_sets(iter([batch]), 80)] == [[0, 1, 3]]
+
+
+def near_copies(changes, n=300):
+    """Codes of variants of one text with so many words changed, and rows of one list of them."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    codes = []
+    for i in range(n):
+        words = base[:]
+        for k in range(changes):
+            words[10 * k + rng.randrange(5)] = f"v{i}-{k}"
+        codes.append(shingle_codes(" ".join(words).encode(), 5))
+    sizes, nodes = pa.array([len(c) for c in codes]), pa.array(range(n))
+    rows = [pa.array([7] * n), sizes, nodes, nodes, pa.array([parities(c) for c in codes])]
+    return codes, pa.RecordBatch.from_arrays(rows, names=["token", "size", "node", "root", "sketch"])
+
+
+def test_sketches_lose_no_similar_sets():
+    rng = random.Random(5)
+    for n in (4, 30, 400, 4000):
+        words = [str(rng.random()) for _ in range(n)]
+        for percent in (50, 80):
+            for cut in range(0, n, max(1, n // 20)):
+                p, q = (shingle_codes(" ".join(w).encode(), 5) for w in (words, words[cut:]))
+                both = len(np.intersect1d(p[:, 0], q[:, 0]))
+                x, y = (np.frombuffer(parities(c), np.uint64).reshape(1, SKETCH // 64) for c in (p, q))
+                assert differing(x, y)[0] <= len(p) + len(q) - 2 * both
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    assert allowed(differing(x, y), len(p) + len(q), percent).all()
+
+
+def test_near_copies_below_the_similarity_leave_no_pairs():
+    _, far = near_copies(6)
+    assert sum(b.num_rows for b in whole(iter([far]), 80)) == 0  # 44,850 pairs meet
+    codes, near = near_copies(2, 60)
+    got = {p for b in whole(iter([near.slice(0, 25), near.slice(25)]), 80) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+    assert got >= {(i, j) for j in range(60) for i in range(j) if 9 * len(np.intersect1d(codes[i][:, 0], codes[j][:, 0])) >= 4 * (len(codes[i]) + len(codes[j]))}
+    assert len(got) == 60 * 59 // 2
+
+
+def test_linear_rounds_give_one_partner_a_row():
+    _, rows = near_copies(2)
+    found = [list(zip(*(b.column(c).to_pylist() for c in ("node", "other")))) for b in adjacent((rows.slice(k, 70) for k in range(0, 300, 70)), 80)]
+    pairs = [p for part in found for p in part]
+    assert [a for a, _ in pairs] == list(range(1, 300)) and all(0 < a - b <= NEAR for a, b in pairs)
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 20])
+def test_lists_of_one_row_are_dropped(step):
+    token = [1, 1, 2, 3, 3, 3, 4, 5, 6, 6]
+    rows = pa.RecordBatch.from_arrays([pa.array(token), pa.array(range(10))], names=["token", "node"])
+    got = [n for b in shared(rows.slice(k, step) for k in range(0, 10, step)) for n in b.column("node").to_pylist()]
+    assert got == [0, 1, 3, 4, 5, 8, 9]

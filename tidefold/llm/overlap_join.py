@@ -8,15 +8,21 @@ are looked up by binary search among the sorted shingles of the other.
 
 Which lists are long is an estimate from a bounded sample; it only decides an order, in which no link can be missed.
 
-Documents with one set are one class. Linear rounds come first: within each short list, rows sorted by size are met
-with their neighbour of another component only, each row keeps its most frequent partner, and links are decided at once,
-so large groups of near copies grow together. The last round is whole: it meets all rows of each list that are still in
-different components and whose sizes allow a link. Of these pairs one for each component is decided first, then one
-for each two components, again while that joins some, BRIDGES times at most; then all that are left. So no link between components is lost, none within one is needed, and
-two large components cost one link, not as many as their sizes' product.
-
-Shuffles: short lists (a fifth of the shingles), pairs, and the shingles of pairs, hashed. A list is one key; it is sorted and
-streamed in the linear rounds, and held by one task, as numbers, in the last.
+Documents with one set are one class. Lists with one class are dropped once, those that are left are a small part. Their
+classes carry a sketch: for each of 1024 buckets, whether an odd number of the set's shingles falls there. Two sketches
+differ in no more bits than the sets do in shingles, so who differs in too many is not similar: no link is lost, and
+of near copies below the similarity few are left to be probed.
+
+Linear rounds come first: within each short list, in another order each round, rows are compared with the NEAR before
+them of other components, each class keeps the partner with the nearest sketch, and links are decided at once, so large
+groups of near copies grow together. The last round is whole: all rows of each list that are still in different
+components are compared, and the pairs that sizes and sketches allow are counted and decided. So no link between
+components is lost, and none within one is needed.
+
+Shuffles: short lists (a fifth of the shingles) once, texts once, to hash those of classes with lists left; then lists
+that are left, and the shingles of pairs. A list is one key; it is sorted and streamed in the linear rounds, and held by
+one task, as numbers, in the last: there its rows outside of the largest component are compared with all of its rows.
+Pairs that differ in little more than the limit, or sets far larger than the sketch, still leave a candidate each.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing, not with
 each other. Fewer words than a shingle: the whole sequence is one. Repeated rows are linked and each get a row. A null
@@ -28,20 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, written
+from .common import delete, ship, sweep, written
 from .components import components
 from .simhash import common_shingles, shingle_codes
 
 #: Short lists in which a pair must meet.
 MEET = 2
-#: Linear rounds before the whole one.
-LINEAR_ROUNDS = 3
-#: Rounds at most of either kind in which components are joined by single pairs, before all that are left are decided.
-BRIDGES = 8
+#: Linear rounds before the whole one, and rows of a list that each row is compared with in them.
+LINEAR_ROUNDS, NEAR = 3, 32
+#: Bits of a sketch; pairs whose sketches are compared at once.
+SKETCH, AT_ONCE = 1024, 1 << 15
 
 
 def needed(n: int, percent: int) -> int:
@@ -68,13 +74,29 @@ def set_codes(codes: np.ndarray) -> tuple[int, int]:
     return int(x), int(y)
 
 
+def parities(codes: np.ndarray) -> bytes:
+    """Which of SKETCH buckets hold an odd number of the shingles."""
+    odd = np.bincount((codes[:, 1] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches, row by row, differ: in as many shingles at least the sets do."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def allowed(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes in sum that differ in so many shingles can be similar."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
 def probed(x: np.ndarray, y: np.ndarray) -> int:
     """How many of x's shingles binary search finds in y, which is sorted."""
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
 
 
 def scan(docs: DataFrame, shingle: int, percent: int, common: np.ndarray, often: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, h1, h2, size, short)"""
+    """docs (doc_id, text) -> (doc_id, h1, h2, size, short, sketch); sets too small to be similar to others have no short lists and sketch"""
     least = smallest(percent)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,13 +106,16 @@ def scan(docs: DataFrame, shingle: int, percent: int, common: np.ndarray, often:
                 rows = []
                 for t in part.column(1).cast(pa.binary()):
                     codes = shingle_codes(t.as_py() or b"", shingle)
-                    rows.append((*set_codes(codes), len(codes), short_lists(codes, percent, common, often) if len(codes) >= least else []))
+                    more = (short_lists(codes, percent, common, often), parities(codes)) if len(codes) >= least else ([], None)
+                    rows.append((*set_codes(codes), len(codes), *more))
                 numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
                 lists = pa.array([r[3] for r in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, lists], names=["doc_id", "h1", "h2", "size", "short"])
+                sketches = pa.array([r[4] for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, lists, sketches], names=["doc_id", "h1", "h2", "size", "short", "sketch"])
 
     numbers = [T.StructField(c, T.LongType()) for c in ("h1", "h2", "size")]
-    return docs.mapInArrow(of, T.StructType([docs.schema["doc_id"], *numbers, T.StructField("short", T.ArrayType(T.LongType()))]))
+    more = [T.StructField("short", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    return docs.mapInArrow(of, T.StructType([docs.schema["doc_id"], *numbers, *more]))
 
 
 def smallest(percent: int) -> int:
@@ -101,21 +126,63 @@ def smallest(percent: int) -> int:
     return n
 
 
-def adjacent(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, size, node, root) come sorted; each is met with the row before it, if that is of the same list and
-    another component, and sizes allow it."""
-    last = [np.zeros(0, np.int64)] * 4
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, node), sorted by token, those whose token another row has too."""
+    last, repeated = None, False  # the row before this batch, not yet given out, and whether one before it has its token
     for batch in batches:
-        rows = [np.concatenate([b, batch.column(c).to_numpy(zero_copy_only=False)]) for b, c in zip(last, ("token", "size", "node", "root"))]
-        token, size, node, root = rows
-        last = [x[-1:] for x in rows]
-        ok = (token[1:] == token[:-1]) & (root[1:] != root[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        a, b = node[:-1][ok], node[1:][ok]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+        token = rows.column("token").to_numpy()
+        same = token[1:] == token[:-1]
+        ok = np.append(same, False) | np.append(repeated, same)
+        yield from rows.slice(0, len(token) - 1).filter(pa.array(ok[:-1])).to_batches()
+        last, repeated = rows.slice(len(token) - 1).to_batches()[0], bool(ok[-1])
+    if repeated:
+        yield last
+
+
+NAMES = ("token", "size", "node", "root", "sketch")
+
 
+def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in NAMES[:-1]]
+    return [*numbers, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)]
 
-def met(size: np.ndarray, node: np.ndarray, root: np.ndarray, percent: int, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list, sorted by size, of different components. The largest component's rows are met only from outside."""
+
+def adjacent(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows NAMES come sorted; each is compared with the NEAR before it, if of the same list and another component.
+    (node, other, apart): the one of those that sizes and sketches allow whose sketch is nearest for its size."""
+    last: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = columns(batch) if last is None else [np.concatenate(x) for x in zip(last, columns(batch))]
+        first = 0 if last is None else len(last[0])
+        token, size, node, root, sketch = rows
+        best, other = np.full(len(token), 1 << 30), np.zeros(len(token), np.int64)
+        at = np.arange(first, len(token))
+        for k in range(1, NEAR + 1):
+            at = at[at >= k]
+            at = at[token[at] == token[at - k]]  # sorted: who differs k places away differs further away
+            if not len(at):
+                break
+            x, y = size[at], size[at - k]
+            rows_k = at[(root[at] != root[at - k]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
+            for lo in range(0, len(rows_k), AT_ONCE):
+                i = rows_k[lo : lo + AT_ONCE]
+                apart, sizes = differing(sketch[i], sketch[i - k]), size[i] + size[i - k]
+                ratio = np.where(allowed(apart, sizes, percent), 100_000 * apart // sizes, 1 << 30)
+                i, ratio = (z[ratio < best[i]] for z in (i, ratio))
+                best[i], other[i] = ratio, node[i - k]
+        hit = np.flatnonzero(best < 1 << 30)
+        yield pa.RecordBatch.from_arrays([pa.array(z[hit]) for z in (node, other, best)], names=["node", "other", "apart"])
+        last = [z[-NEAR:] for z in rows]
+
+
+def met(size: np.ndarray, node: np.ndarray, root: np.ndarray, percent: int, cells: int = 1 << 20, sketch: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one list, sorted by size, of different components. The largest component's rows are met only from outside.
+    With sketches only the pairs that these allow."""
     groups, which, counts = np.unique(root, return_inverse=True, return_counts=True)
     if len(groups) == 1:
         return
@@ -130,20 +197,24 @@ def met(size: np.ndarray, node: np.ndarray, root: np.ndarray, percent: int, cell
         x, y = rows[:, None], others[None, :]
         ok = (y >= begins[lo:hi, None]) & (y < ends[lo:hi, None]) & (root[x] != root[y]) & (inside[y] | (y > x))
         i, j = np.nonzero(ok)
-        yield node[rows[i]], node[others[j]]
+        i, j = rows[i], others[j]
+        if sketch is not None:
+            parts = [slice(k, k + AT_ONCE) for k in range(0, len(i), AT_ONCE)]
+            near = [allowed(differing(sketch[i[p]], sketch[j[p]]), size[i[p]] + size[j[p]], percent) for p in parts]
+            i, j = (z[np.concatenate(near)] if near else z for z in (i, j))
+        yield node[i], node[j]
         lo = hi
 
 
 def whole(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of met() over the lists of rows (token, size, node, root), which come sorted."""
+    """All pairs of met() over the lists of rows NAMES, which come sorted by list and size."""
     def of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         token = rows[0]
         cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         ends = np.append(cuts[1:], len(token))
         mixed = np.minimum.reduceat(rows[3], cuts) != np.maximum.reduceat(rows[3], cuts)
         for lo, hi in zip(cuts[mixed].tolist(), ends[mixed].tolist()):
-            for a, b in met(*(x[lo:hi] for x in rows[1:]), percent):
-                yield a, b
+            yield from met(*(x[lo:hi] for x in rows[1:4]), percent, sketch=rows[4][lo:hi])
 
     def gathered(found: Iterator) -> Iterator[pa.RecordBatch]:
         a, b, n = [], [], 0
@@ -161,7 +232,7 @@ def whole(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "size", "node", "root")]
+        new = columns(batch)
         first = int(np.searchsorted(new[0], new[0][-1]))  # the last list may go on in the next batch
         if first or (held and held[0][0][0] != new[0][0]):
             yield from gathered(of([np.concatenate(x) for x in zip(*held, [x[:first] for x in new])]))
@@ -188,79 +259,61 @@ def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     common, often = common_shingles(chosen, shingle)
     prints = written(scan(chosen, shingle, percent, common, often), "scanned-sets")
-    same = [F.first(c).alias(c) for c in ("size", "short")]  # equal sets have them alike
+    spark, scanned = docs.sparkSession, prints
+    same = [F.first(c).alias(c) for c in ("size", "short", "sketch")]  # equal sets have them alike
     classes = prints.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), *same)
-    sets = written(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    full = written(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    prints = written(scanned.select("doc_id", "h1", "h2", "size"), "scanned-sets")
+    delete(spark, [scanned.scratch_path])  # its lists are in full, once for copies
+    sets = written(full.select("node", "h1", "h2", "doc_id"), "shingle-sets")
+    postings = full.select(F.explode("short").alias("token"), "node").repartition("token").sortWithinPartitions("token")
+    postings = written(postings.mapInArrow(shared, "token long, node long"), "shared-postings")
+    nodes = written(full.drop("short").join(postings.select("node").distinct(), "node", "left_semi"), "shared-sets")
+    delete(spark, [full.scratch_path])
+    sweep(spark, collect=True)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # of several texts under one id, those with this set
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                codes = [shingle_codes(t.as_py(), shingle) for t in part.column("text").cast(pa.binary())]
+                ok = [set_codes(c) == want for c, want in zip(codes, zip(part.column("h1").to_pylist(), part.column("h2").to_pylist()))]
+                own = pa.array([np.sort(c[:, 0]).tobytes() if k else None for c, k in zip(codes, ok)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("node"), own], names=["node", "x"]).filter(pa.array(ok, pa.bool_()))
+
+    ids = nodes.select("node", "h1", "h2", F.col("doc_id").alias("id")).hint("shuffle_hash")  # texts need no sorting
+    found = chosen.where(F.col("text").isNotNull()).join(ids, chosen["doc_id"].eqNullSafe(ids["id"])).select("node", "h1", "h2", "text")
+    shingles = written(found.mapInArrow(own, "node long, x binary").dropDuplicates(["node"]), "sorted-shingles")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of nodes whose texts are similar."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = sets.select("node", "h1", "h2", F.col("doc_id").alias("id")).join(asked, "node", "left_semi")
-        found = chosen.join(ids, chosen["doc_id"].eqNullSafe(ids["id"])).where(F.col("text").isNotNull()).select("node", "h1", "h2", "text")
-
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:  # of several texts under one id, those with this set
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
-                    codes = [shingle_codes(t.as_py(), shingle) for t in part.column("text").cast(pa.binary())]
-                    ok = [set_codes(c) == want for c, want in zip(codes, zip(part.column("h1").to_pylist(), part.column("h2").to_pylist()))]
-                    own = pa.array([np.sort(c[:, 0]).tobytes() if k else None for c, k in zip(codes, ok)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column("node"), own], names=["node", "x"]).filter(pa.array(ok, pa.bool_()))
-
-        shingles = written(found.mapInArrow(own, "node long, x binary").groupBy("node").agg(F.first("x").alias("x")), "pair-shingles")
+        """Those pairs (a, b) of nodes whose sets are similar."""
         both = pairs.join(shingles.withColumnRenamed("node", "a"), "a").join(shingles.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(lambda b: similar_sets(b, percent), "a long, b long")
 
-    def lists(roots: DataFrame | None) -> DataFrame:
-        """Postings (token, size, node, root), each list whole and sorted."""
-        rows = sets.where(F.size("short") > 0).select("node", "size", "short")
+    def lists(roots: DataFrame | None, *order: Column | str) -> DataFrame:
+        """Postings NAMES, each list whole and sorted in this order."""
+        rows = nodes.select("size", "node", "sketch")
         rooted = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        postings = rooted.select(F.explode("short").alias("token"), "size", "node", "root")
-        return postings.repartition("token").sortWithinPartitions("token", "size", "node")
-
-    def with_roots(links: DataFrame, roots: DataFrame | None) -> DataFrame:
-        return links if roots is None else links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        dealt = postings.join(rooted, "node").select(*NAMES).repartition("token")
+        return dealt.sortWithinPartitions("token", *order, "node")
 
-    def separate(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """Pairs (a, b, n) of different components, with these as (ra, rb) in order."""
-        if roots is None:
-            return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
-        of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-        joined = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
-        x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-        return joined.where(x != y).select("a", "b", "n", F.least(x, y).alias("ra"), F.greatest(x, y).alias("rb"))
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MEET)
+    def joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+        known = links if roots is None else links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        return written(components(known), "roots")
 
     roots = None
-    for _ in range(LINEAR_ROUNDS):
-        often_met = written(counted(lists(roots).mapInArrow(lambda b: adjacent(b, percent), "a long, b long")), "adjacent-pairs")
-        best = [
-            often_met.groupBy(side).agg(F.max(F.struct("n", F.col(other).alias("other"))).alias("m")).select(F.least(side, "m.other").alias("a"), F.greatest(side, "m.other").alias("b"))
-            for side, other in (("a", "b"), ("b", "a"))
-        ]
-        links = written(decided(written(best[0].union(best[1]).distinct(), "adjacent-candidates")), "adjacent-links")
+    for k in range(LINEAR_ROUNDS):
+        order = ["size"] if k == 0 else [F.substring("sketch", 1 + 8 * k, 8)]
+        near = lists(roots, *order).mapInArrow(lambda b: adjacent(b, percent), "node long, other long, apart long")
+        best = near.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("m")).select("node", "m.other")
+        pairs = written(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "adjacent-candidates")
+        links = written(decided(pairs), "adjacent-links")
         if links.isEmpty():
             break
-        roots = written(components(with_roots(links, roots)), "roots")
-    more = written(counted(lists(roots).mapInArrow(lambda b: whole(b, percent), "a long, b long")), "list-pairs")
-    best = F.max(F.struct("n", "a", "b")).alias("m")
-    for of_each in (True, False):  # a pair for each component, then one for each two components
-        for _ in range(BRIDGES):
-            apart = separate(more, roots)
-            if of_each:
-                apart = apart.select(F.explode(F.array("ra", "rb")).alias("ra"), F.lit(0).alias("rb"), "n", "a", "b")
-            tried = written(apart.groupBy("ra", "rb").agg(best).select("m.a", "m.b").distinct(), "bridge-candidates")
-            if tried.isEmpty():
-                break
-            links = written(decided(tried), "bridges")
-            more = more.join(tried, ["a", "b"], "left_anti")
-            if links.isEmpty():
-                break
-            roots = written(components(with_roots(links, roots)), "roots")
-            more = written(separate(more, roots).select("a", "b", "n"), "list-pairs")
-    roots = components(with_roots(decided(separate(more, roots).select("a", "b")), roots))
+        roots = joined(links, roots)
+    met_often = lists(roots, "size").mapInArrow(lambda b: whole(b, percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+    more = written(met_often.where(F.col("n") >= MEET).select("a", "b"), "list-pairs")
+    roots = joined(decided(more), roots)
     rooted = sets.select("h1", "h2", "node", F.col("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = written(rooted.join(least, "root").select("h1", "h2", "component_id"), "component-ids")
