@@ -3,8 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from tidefold.llm import packing
 from tidefold.llm.packing import Encoder, encode_texts, pack
 from tidefold.llm.queries import word_tokenizer
 
@@ -74,3 +76,17 @@ def test_unweighted_sources_come_last_and_empty(spark):
     check(rows, out, 4)
     assert min(out, key=lambda r: (r.sequence_id, r.offset)).doc_id == 2
     assert pack(df.limit(0), word_tokenizer()).collect() == []
+
+
+def test_a_worker_remembers_no_chunks_after_its_task(spark):
+    path = word_tokenizer()
+
+    def left(batches):
+        n = sum(x.num_rows for x in packing.tokenize(batches, path, 1, pa.int64()))
+        e = packing._encoders[path]
+        kept = sum(map(len, (e.chunks, e.old_chunks, e.pieces, e.old_pieces)))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([kept], pa.int64())], names=["n", "kept"])
+
+    rows = [(i, f"word{i} some other words, {i * i}", "web") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    assert [tuple(r) for r in docs.mapInArrow(left, "n long, kept long").collect()] == [(300, 0)]

@@ -12,7 +12,7 @@ tokenizing pass, where the sum is kept as documents come), over the blocks of a
 source, block) and windows. Ids are written once to the shared folder and shuffled once, to meet their places.
 
 Tokens of a text are the tokens of its chunks between ASCII white space, which the tokenizer never joins; a chunk is
-encoded once per worker while it is remembered.
+encoded once per task while it is remembered.
 
 Defined results: a null text is empty; each document ends with end_id, so an empty one is that id alone. A null
 source is a queue of its own. Sources without a positive weight are sent after all others. Repeated rows are
@@ -52,13 +52,16 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.chunks, self.old_chunks = {}, {}
-        self.pieces, self.old_pieces = {}, {}
+        self.forget()
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in kept]
         self.byte_letters = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(moved)}
         self.direct = self.agrees()
 
+    def forget(self) -> None:
+        self.chunks, self.old_chunks = {}, {}
+        self.pieces, self.old_pieces = {}, {}
+
     def agrees(self) -> bool:
         """Whether this tokenizer treats plain chunks as described; another kind of tokenizer never takes the short way."""
         probes = ["Word.", "straße", "É", "naïve,", "ÿ!?", "a", "übermäßigerweise;;", "Aa%%%"]
@@ -127,6 +130,14 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
 
 def tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """A row per document, with its tokens' running sum in its queue within this task."""
+    try:
+        yield from tokenized(batches, path, end_id, id_type)
+    finally:  # the worker goes on to other steps, and waits between them: it keeps the tokenizer only
+        if path in _encoders:
+            _encoders[path].forget()
+
+
+def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     end = end_id.to_bytes(4, "little")
     block, row, sums = TaskContext.get().partitionId(), 0, {}
     for batch in batches:
