@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.llm.overlap_join import NEAR, SKETCH, adjacent, allowed, differing, met, needed, overlap_components, parities, probed, shared, short_lists, similar_sets, smallest, whole
+from tidefold.llm.overlap_join import NEAR, SKETCH, adjacent, allowed, differing, met, needed, overlap_components, parities, probed, shared, set_codes, short_lists, similar_sets, smallest, sorted_shingles, whole
 from tidefold.llm.simhash import shingle_codes
 
 
@@ -159,3 +159,15 @@ def test_lists_of_one_row_are_dropped(step):
     rows = pa.RecordBatch.from_arrays([pa.array(token), pa.array(range(10))], names=["token", "node"])
     got = [n for b in shared(rows.slice(k, step) for k in range(0, 10, step)) for n in b.column("node").to_pylist()]
     assert got == [0, 1, 3, 4, 5, 8, 9]
+
+
+def test_shingles_are_not_shuffled_and_repeated_ids_give_one_row(spark):
+    texts = [" ".join(f"w{i}{j}" for j in range(9)) for i in range(3)]
+    rows = [(1, texts[0])] * 40 + [(1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[0]), (2, None), (3, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    codes = [shingle_codes(t.encode(), 5) for t in texts]
+    nodes = spark.createDataFrame([(10 + k, *set_codes(c), d) for k, (c, d) in enumerate(zip(codes, (1, 1, None)))], "node long, h1 long, h2 long, doc_id long")
+    out = sorted_shingles(docs, nodes, 5)
+    assert sorted(map(tuple, out.collect())) == [(10 + k, np.sort(c[:, 0]).tobytes()) for k, c in enumerate(codes)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]

@@ -20,7 +20,7 @@ components are compared, and the pairs that sizes and sketches allow are counted
 components is lost, and none within one is needed.
 
 Shuffles: short lists (a fifth of the shingles) once, texts once, to hash those of classes with lists left; then lists
-that are left, and the shingles of pairs. A list is one key; it is sorted and streamed in the linear rounds, and held by
+that are left, and the shingles of pairs. Shingles are made where the texts have met, and are written from there. A list is one key; it is sorted and streamed in the linear rounds, and held by
 one task, as numbers, in the last: there its rows outside of the largest component are compared with all of its rows.
 Pairs that differ in little more than the limit, or sets far larger than the sketch, still leave a candidate each.
 
@@ -253,6 +253,33 @@ def similar_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def sorted_shingles(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """docs (doc_id, text), nodes (node, h1, h2, doc_id) -> (node, x): a set's sorted shingles, as bytes.
+
+    All texts under one id meet in one task, where the first with the set is taken. If Spark splits such a task, each
+    part may give the same row; pairs then come repeatedly, which changes no component."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:  # of several texts under one id, those with this set
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                found, got = [], []
+                for node, h1, h2, text in zip(*(part.column(c).to_pylist() for c in ("node", "h1", "h2")), part.column("text").cast(pa.binary())):
+                    if node in done:
+                        continue
+                    codes = shingle_codes(text.as_py(), shingle)
+                    if set_codes(codes) == (h1, h2):
+                        done.add(node)
+                        found.append(node)
+                        got.append(np.sort(codes[:, 0]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(got, pa.binary())], names=["node", "x"])
+
+    ids = nodes.select("node", "h1", "h2", F.col("doc_id").alias("id")).hint("shuffle_hash")  # texts need no sorting
+    found = docs.where(F.col("text").isNotNull()).join(ids, docs["doc_id"].eqNullSafe(ids["id"])).select("node", "h1", "h2", "text")
+    return found.mapInArrow(own, "node long, x binary")
+
+
 def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of 100 * shared >= percent * union, a row for each row of docs."""
     ship(docs.sparkSession)
@@ -272,18 +299,8 @@ def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     delete(spark, [full.scratch_path])
     sweep(spark, collect=True)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # of several texts under one id, those with this set
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                codes = [shingle_codes(t.as_py(), shingle) for t in part.column("text").cast(pa.binary())]
-                ok = [set_codes(c) == want for c, want in zip(codes, zip(part.column("h1").to_pylist(), part.column("h2").to_pylist()))]
-                own = pa.array([np.sort(c[:, 0]).tobytes() if k else None for c, k in zip(codes, ok)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("node"), own], names=["node", "x"]).filter(pa.array(ok, pa.bool_()))
-
-    ids = nodes.select("node", "h1", "h2", F.col("doc_id").alias("id")).hint("shuffle_hash")  # texts need no sorting
-    found = chosen.where(F.col("text").isNotNull()).join(ids, chosen["doc_id"].eqNullSafe(ids["id"])).select("node", "h1", "h2", "text")
-    shingles = written(found.mapInArrow(own, "node long, x binary").dropDuplicates(["node"]), "sorted-shingles")
+    shingles = written(sorted_shingles(chosen, nodes, shingle), "sorted-shingles")
+    sweep(spark, collect=True)  # the shuffled texts go
 
     def decided(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of nodes whose sets are similar."""
