@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.llm.overlap_join import NEAR, SKETCH, adjacent, allowed, differing, met, needed, overlap_components, parities, probed, shared, set_codes, short_lists, similar_sets, smallest, sorted_shingles, whole
+from tidefold.llm import overlap_join
+from tidefold.llm.overlap_join import NEAR, SKETCH, adjacent, allowed, asked_sets, differing, met, needed, overlap_components, parities, probed, shared, set_codes, short_lists, similar_sets, smallest, sorted_shingles, whole
 from tidefold.llm.simhash import shingle_codes
 
 
@@ -171,3 +172,15 @@ def test_shingles_are_not_shuffled_and_repeated_ids_give_one_row(spark):
     assert sorted(map(tuple, out.collect())) == [(10 + k, np.sort(c[:, 0]).tobytes()) for k, c in enumerate(codes)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_only_the_sets_of_pairs_are_shuffled(spark, monkeypatch):
+    shingles = spark.range(1000).select(F.col("id").alias("node"), F.col("id").cast("string").cast("binary").alias("x"))
+    pairs = spark.createDataFrame([(1, 5), (5, 9), (1, 9)], "a long, b long")
+    for asked in (6, 5):  # broadcast, and joined by a shuffle
+        monkeypatch.setattr(overlap_join, "ASKED", asked)
+        some = asked_sets(pairs, shingles)
+        assert sorted(r.node for r in some.collect()) == [1, 5, 9]
+    monkeypatch.setattr(overlap_join, "ASKED", 6)
+    plan = asked_sets(pairs, shingles)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Range" in plan

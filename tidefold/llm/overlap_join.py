@@ -48,6 +48,8 @@ MEET = 2
 LINEAR_ROUNDS, NEAR = 3, 32
 #: Bits of a sketch; pairs whose sketches are compared at once.
 SKETCH, AT_ONCE = 1024, 1 << 15
+#: Nodes of pairs that are broadcast; more are joined by a shuffle.
+ASKED = 1 << 20
 
 
 def needed(n: int, percent: int) -> int:
@@ -280,6 +282,12 @@ def sorted_shingles(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFram
     return found.mapInArrow(own, "node long, x binary")
 
 
+def asked_sets(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Those of shingles (node, x) that pairs (a, b) need: no others are shuffled, while the nodes are few enough to be broadcast."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return shingles.join(F.broadcast(asked) if 2 * pairs.count() <= ASKED else asked, "node", "left_semi")
+
+
 def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of 100 * shared >= percent * union, a row for each row of docs."""
     ship(docs.sparkSession)
@@ -304,7 +312,8 @@ def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def decided(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of nodes whose sets are similar."""
-        both = pairs.join(shingles.withColumnRenamed("node", "a"), "a").join(shingles.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+        some = asked_sets(pairs, shingles)
+        both = pairs.join(some.withColumnRenamed("node", "a"), "a").join(some.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(lambda b: similar_sets(b, percent), "a long, b long")
 
     def lists(roots: DataFrame | None, *order: Column | str) -> DataFrame:
