@@ -312,6 +312,7 @@ def overlap_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def decided(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of nodes whose sets are similar."""
+        sweep(spark, collect=True)  # the lists that the pairs are from go, and the last round's sets
         some = asked_sets(pairs, shingles)
         both = pairs.join(some.withColumnRenamed("node", "a"), "a").join(some.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(lambda b: similar_sets(b, percent), "a long, b long")
