@@ -2,12 +2,14 @@ import collections
 import random
 import re
 from concurrent.futures import ThreadPoolExecutor
+from itertools import combinations
 
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_line_dedup import bounds
 from tests.llm.test_line_quality import brute as brute_quality
+from tidefold.llm import simhash
 from tidefold.llm.queries import word_tokenizer
 from tidefold.llm.simhash import near_duplicates, shingle_set
 
@@ -129,3 +131,24 @@ def test_near_duplicates_of_a_template_against_all_pairs(spark):
     sets = [shingle_set(t.encode(), 5) for t in texts]
     alike = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(alike) > 100 and not [(i, j) for i, j in alike if got[i] != got[j]]
+
+
+def test_near_duplicates_read_texts_for_little_more_than_links(spark, monkeypatch):
+    """Documents that share one of two passages meet in their rarest shingles, but are far from similar."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passages = [" ".join(word() for _ in range(100)) for _ in range(20)]
+    texts = [" ".join(p) for p in rng.sample(list(combinations(passages, 2)), 60)]
+    texts += [texts[0] + " more", texts[1] + " words"]
+    read, written = collections.Counter(), simhash.written
+
+    def counted(df, name):
+        out = written(df, name)
+        read[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert got == {k: {60: 0, 61: 1}.get(k, k) for k in range(62)}
+    assert read["sharing-candidates"] > 50 and read["candidate-texts"] <= 8

@@ -40,14 +40,15 @@ from pyspark.sql import types as T
 
 from .common import delete, ship, sweep, written
 from .components import components
-from .simhash import common_shingles, shingle_codes
+from .simhash import common_shingles, shared, shingle_codes
+from .sketches import SKETCH, differing, parities
 
 #: Short lists in which a pair must meet.
 MEET = 2
 #: Linear rounds before the whole one, and rows of a list that each row is compared with in them.
 LINEAR_ROUNDS, NEAR = 3, 32
-#: Bits of a sketch; pairs whose sketches are compared at once.
-SKETCH, AT_ONCE = 1024, 1 << 15
+#: Pairs whose sketches are compared at once.
+AT_ONCE = 1 << 15
 #: Nodes of pairs that are broadcast; more are joined by a shuffle.
 ASKED = 1 << 20
 
@@ -76,17 +77,6 @@ def set_codes(codes: np.ndarray) -> tuple[int, int]:
     return int(x), int(y)
 
 
-def parities(codes: np.ndarray) -> bytes:
-    """Which of SKETCH buckets hold an odd number of the shingles."""
-    odd = np.bincount((codes[:, 1] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many bits the sketches, row by row, differ: in as many shingles at least the sets do."""
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-
-
 def allowed(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes in sum that differ in so many shingles can be similar."""
     return (100 + percent) * apart <= (100 - percent) * sizes
@@ -128,22 +118,6 @@ def smallest(percent: int) -> int:
     return n
 
 
-def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, node), sorted by token, those whose token another row has too."""
-    last, repeated = None, False  # the row before this batch, not yet given out, and whether one before it has its token
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
-        token = rows.column("token").to_numpy()
-        same = token[1:] == token[:-1]
-        ok = np.append(same, False) | np.append(repeated, same)
-        yield from rows.slice(0, len(token) - 1).filter(pa.array(ok[:-1])).to_batches()
-        last, repeated = rows.slice(len(token) - 1).to_batches()[0], bool(ok[-1])
-    if repeated:
-        yield last
-
-
 NAMES = ("token", "size", "node", "root", "sketch")
 
 

@@ -32,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import delete, ship, written
+from .common import delete, ship, sweep, written
 from .components import components
+from .sketches import close_sketches, growing_parities
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 LOWERED = bytes.maketrans(UPPER, LOWER)
@@ -41,6 +42,8 @@ GROUPS, BLOCKS, BLOCK_BITS = 4, 8, 2
 SCATTERED = 16
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 14
+#: Nodes whose texts are asked for that are broadcast; more are joined by a shuffle.
+ASKED = 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -344,12 +347,34 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield from pairs([np.concatenate(x) for x in zip(*held)])
 
 
-def sharing(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """sets (node, size, prefix), roots (node, root) -> (a, b): nodes of different roots that share a shingle of their
-    prefixes and can be similar by size and place. No pair of this similarity and of different roots is missing."""
-    rooted = sets.select("node", "size", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = rooted.select("root", "node", "size", F.posexplode("prefix").alias("at", "token"))
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, node), sorted by token, those whose token another row has too."""
+    last, repeated = None, False  # the row before this batch, not yet given out, and whether one before it has its token
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+        token = rows.column("token").to_numpy()
+        same = token[1:] == token[:-1]
+        ok = np.append(same, False) | np.append(repeated, same)
+        yield from rows.slice(0, len(token) - 1).filter(pa.array(ok[:-1])).to_batches()
+        last, repeated = rows.slice(len(token) - 1).to_batches()[0], bool(ok[-1])
+    if repeated:
+        yield last
+
+
+def shared_postings(sets: DataFrame) -> DataFrame:
+    """sets (node, prefix) -> (token, node, at): the shingles of prefixes that several nodes have, and their places."""
+    rows = sets.select("node", F.posexplode("prefix").alias("at", "token")).select("token", "node", "at")
     dealt = rows.repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(shared, "token long, node long, at int")
+
+
+def sharing(postings: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """postings (token, node, at), sets (node, size), roots (node, root) -> (a, b): nodes of different roots that share a
+    posting and can be similar by size and place. No pair of this similarity and of different roots is missing."""
+    rooted = sets.select("node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dealt = postings.join(rooted, "node").repartition("token").sortWithinPartitions("token")
     return dealt.select("token", "root", "node", "size", "at").mapInArrow(lambda b: meetings(b, similarity), "a long, b long").distinct()
 
 
@@ -366,16 +391,20 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of documents whose sets of shingles have this Jaccard similarity.
 
-    Rows with one set of shingles are one node. Candidates come in two rounds, and texts verify every pair of both. The
-    first draws large groups together in linear time: fingerprints up to two of 64 bits apart, found as above, and, as a
+    Rows with one set of shingles are one node. Candidates come in two rounds. Sketches of both sets discard nearly all
+    that are not similar, and texts verify every pair that is left, so texts are shuffled for little more than links. The
+    first round draws large groups together in linear time: fingerprints up to two of 64 bits apart, found as above, and, as a
     similarity near 0.8 parts fingerprints by ten bits and more, which distances to pivots cannot tell from chance,
     fingerprints with a second half that are neighbours in tables of sampled single-bit references. The second round is
     exact: sets of that similarity share one of the rarest shingles of each, and all those that do, that sizes and
-    places allow to be similar and that are not yet in one group are compared."""
-    ship(docs.sparkSession)
+    places allow to be similar and that are not yet in one group are compared. Shingles of one node alone are dropped
+    before. Shuffles that are over are deleted at once, as a driver with a large heap would long keep them."""
+    spark = docs.sparkSession
+    ship(spark)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     long = T.LongType()
     common, often = common_shingles(chosen, shingle)
+    sweep(spark, collect=True)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,20 +414,33 @@ def near_duplicates(
                 got = [(*long_fingerprint(c), set_code(c), len(c)) for c in codes]
                 numbers = [pa.array([g[k] for g in got], pa.int64()) for k in range(4)]
                 rare = pa.array([prefix(c, similarity, common, often) if len(c) else [] for c in codes], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, rare], names=["doc_id", "fp", "high", "node", "size", "prefix"])
+                sketches = pa.array([growing_parities(c) for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, rare, sketches], names=["doc_id", "fp", "high", "node", "size", "prefix", "sketch"])
 
     fields = [T.StructField(c, long) for c in ("fp", "high", "node", "size")]
-    schema = T.StructType([chosen.schema["doc_id"], *fields, T.StructField("prefix", T.ArrayType(long))])
+    more = [T.StructField("prefix", T.ArrayType(long)), T.StructField("sketch", T.BinaryType())]
+    schema = T.StructType([chosen.schema["doc_id"], *fields, *more])
     prints = written(chosen.mapInArrow(of, schema), "fingerprints")
-    first = F.min(F.struct("doc_id", "fp", "high", "size", "prefix")).alias("first")
-    sets = written(prints.groupBy("node").agg(first).select("node", "first.*"), "shingle-sets")
+    first = F.min(F.struct("doc_id", "fp", "high", "size", "prefix", "sketch")).alias("first")
+    full = written(prints.groupBy("node").agg(first).select("node", "first.*"), "shingle-sets")
     whole, prints = prints, written(prints.select("doc_id", "fp", "node"), "fingerprints")
-    delete(docs.sparkSession, [whole.scratch_path])  # its shingles are in sets, once for copies
+    delete(spark, [whole.scratch_path])  # its shingles are in full, once for copies
+    sweep(spark, collect=True)
+    postings = written(shared_postings(full), "shared-postings")
+    sets = written(full.drop("prefix"), "shingle-sets")
+    delete(spark, [full.scratch_path])
+    sweep(spark, collect=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of nodes whose texts are similar."""
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sweep(spark, collect=True)  # what the pairs were made from goes
+        sides = [sets.select(F.col("node").alias(c), F.col("size").alias(f"s{c}"), F.col("sketch").alias(x)) for c, x in (("a", "x"), ("b", "y"))]
+        both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb", "x", "y")
+        close = written(both.mapInArrow(lambda b: close_sketches(b, similarity), "a long, b long"), "close-candidates")
+        sweep(spark, collect=True)
+        asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = sets.select("node", F.col("doc_id").alias("id")).join(asked, "node", "left_semi")
+        ids = F.broadcast(ids) if 2 * close.count() <= ASKED else ids  # then no other texts are shuffled
         source = chosen.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("x"))
         found = source.join(ids, source["doc_id"].eqNullSafe(ids["id"])).select("node", "x")
 
@@ -409,7 +451,7 @@ def near_duplicates(
                 yield batch.select(["node", "x"]).filter(pa.array(ok, pa.bool_()))
 
         texts = written(found.mapInArrow(own, "node long, x string").groupBy("node").agg(F.min("x").alias("x")), "candidate-texts")
-        both = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+        both = close.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(lambda b: similar(b, shingle, similarity), "a long, b long")
 
     # Of the nodes with one fingerprint the first stands for all; it is a candidate with each of the others.
@@ -421,7 +463,7 @@ def near_duplicates(
     same = sets.select("fp", F.col("node").alias("y")).join(classes.select("fp", F.col("node").alias("x")), "fp").where("x <> y")
     pairs = written(found.unionByName(same.select("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-candidates")
     roots = written(components(verified(pairs)), "first-round")
-    more = written(sharing(sets, roots, similarity), "sharing-candidates")
+    more = written(sharing(postings, sets, roots, similarity), "sharing-candidates")
     every = verified(more).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
     roots = components(every)
     rooted = sets.select("node", F.col("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
